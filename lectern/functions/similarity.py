@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern import lexicon
 from lectern.functions.words import words
 
 
@@ -22,13 +21,17 @@ def ratio_above(a: str, b: str, floor: float, inclusive: bool = False) -> float
     return value
 
 
-@F.pandas_udf("double")
-def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def similarity_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp ratio of each pair; null when either side is null."""
-    return pd.Series(
-        [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
-        dtype="float64",
-    )
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)],
+            dtype="float64",
+        )
+
+    return ratio(a, b)
 
 
 def length_can_reach(a: Column, b: Column, floor: float) -> Column:

@@ -110,7 +110,6 @@ def select_collections(requests: DataFrame, collections: DataFrame) -> DataFrame
     Order: collections of the subject and grade by name, then the subject's
     general ones, then, only if none was found, the two fallbacks.
     """
-    spark = requests.sparkSession
     known = collections.select(F.col("collection")).distinct()
     asks = requests.select(
         "request_id",
@@ -133,22 +132,19 @@ def select_collections(requests: DataFrame, collections: DataFrame) -> DataFrame
         ).alias("_key"),
     ).where(F.col("_key").rlike("_grade_"))
     board = asks.join(keyed, "_key").select("request_id", "collection", F.lit(0).alias("tier"), F.lit(0).alias("place"))
-    general_rows = [
-        (subject, name, place) for subject, names in lexicon.SUBJECT_COLLECTIONS for place, name in enumerate(names)
-    ]
-    general = spark.createDataFrame(general_rows, "subject string, collection string, place int")
-    mapped = asks.join(F.broadcast(general), "subject").join(known, "collection", "left_semi").select(
-        "request_id", "collection", F.lit(1).alias("tier"), "place"
-    )
+    # The fixed subject table rides along as a literal map; no join needed for it.
+    general = F.create_map(*[
+        part for subject, names in lexicon.SUBJECT_COLLECTIONS
+        for part in (F.lit(subject), F.array(*[F.lit(n) for n in names]))
+    ])
+    mapped = asks.select("request_id", F.lit(1).alias("tier"), F.posexplode(F.try_element_at(general, "subject")).alias("place", "collection"))
+    mapped = mapped.join(known, "collection", "left_semi")
     found = board.unionByName(mapped)
-    fallback = spark.createDataFrame(
-        [(name, place) for place, name in enumerate(lexicon.FALLBACK_COLLECTIONS)], "collection string, place int"
-    ).join(known, "collection", "left_semi")
+    fallback = F.array(*[F.lit(n) for n in lexicon.FALLBACK_COLLECTIONS])
     rest = (
         asks.join(found.select("request_id").distinct(), "request_id", "left_anti")
-        .withColumn("collection", F.explode(F.array(*[F.lit(n) for n in lexicon.FALLBACK_COLLECTIONS])))
-        .join(F.broadcast(fallback), "collection")
-        .select("request_id", "collection", F.lit(2).alias("tier"), "place")
+        .select("request_id", F.lit(2).alias("tier"), F.posexplode(fallback).alias("place", "collection"))
+        .join(known, "collection", "left_semi")
     )
     order = Window.partitionBy("request_id").orderBy("tier", "place", "collection")
     return (

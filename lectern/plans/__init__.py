@@ -6,7 +6,7 @@ import importlib
 
 from lectern.plans import registry
 
-AREAS = ["retrieval", "progress"]
+AREAS = ["retrieval", "progress", "questions", "mining", "ingest"]
 
 
 def load() -> tuple[dict[str, registry.Query], dict[str, str]]:

@@ -62,6 +62,25 @@ def l2_hits(spark, folder):
     return hits.select("query_id", "collection", "vec_id", *_six("score"))
 
 
+@query(
+    "j2_every_vector",
+    """
+WITH hits AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, concat('c', s.label) AS collection, s.vec_id,
+           round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 12) AS score
+    FROM embeddings q, embeddings s))
+SELECT query_id, collection, vec_id, round(score, 6) AS score FROM hits WHERE rank <= 2""",
+)
+def every_vector(spark, folder):
+    """Each stored vector asks for its nearest two in every collection, in hash blocks of probes and items."""
+    vecs = views.table(spark, folder, "embeddings")
+    store = vecs.select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("collection"), "embedding")
+    asked = vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    hits = retrieval.top_hits(asked, store, probe_rows=200, item_rows=200)
+    return hits.select("query_id", "collection", "vec_id", *_six("score"))
+
+
 @query(
     "s8_list_collections",
     with_views("store") + "SELECT DISTINCT collection FROM store",

@@ -7,7 +7,6 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -17,41 +16,51 @@ TABLES = (
 ).split()
 
 
-def oracle_frame(sql: str, folder: str) -> pd.DataFrame:
+KINDS = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "float": "FLOAT", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def oracle_rows(sql: str, folder: str) -> tuple[dict[str, str], list[tuple]]:
     con = duckdb.connect()
     con.execute("SET threads TO 4")
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
-    return con.execute(sql).df()
-
-
-def canonical(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)].copy()
-    for name in df.columns:
-        values = df[name]
-        if pd.api.types.is_float_dtype(values):
-            df[name] = values.map(lambda v: "null" if pd.isna(v) else f"{v + 0.0:.6f}")
-        elif pd.api.types.is_datetime64_any_dtype(values):
-            df[name] = values.map(str)
-        else:
-            df[name] = values.map(lambda v: "null" if v is None or v is pd.NA or v != v else str(v))
-    return df.sort_values(list(df.columns)).reset_index(drop=True)
-
-
-def difference(actual: pd.DataFrame, expected: pd.DataFrame) -> str | None:
-    """What differs, or None."""
-    if sorted(actual.columns) != sorted(expected.columns):
-        return f"columns {sorted(actual.columns)} != {sorted(expected.columns)}"
-    a, b = canonical(actual), canonical(expected)
-    if len(a) != len(b):
-        return f"rows {len(a)} != {len(b)}"
-    if not a.equals(b):
-        rows = (a != b).any(axis=1)
-        cols = [c for c in a.columns if (a[c] != b[c]).any()]
-        return f"{int(rows.sum())} rows differ in {cols}:\n{a[rows].head(3).to_dict('records')}\n{b[rows].head(3).to_dict('records')}"
-    kinds = {c: (str(actual[c].dtype), str(expected[c].dtype)) for c in actual.columns}
-    odd = {c: k for c, k in kinds.items() if k[0] != k[1]}
-    return f"types {odd}" if odd else None
+    done = con.execute(sql)
+    names = [d[0] for d in done.description]
+    kinds = dict(zip(names, [str(d[1]) for d in done.description]))
+    return kinds, done.fetchall()
+
+
+def text_of(value) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, float):
+        return f"{value + 0.0:.6f}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(text_of, value)) + "]"
+    return str(value)
+
+
+def canonical(names: list[str], rows: list) -> list[tuple[str, ...]]:
+    order = [names.index(n) for n in sorted(names)]
+    return sorted(tuple(text_of(row[i]) for i in order) for row in rows)
+
+
+def difference(df, sql: str, folder: str) -> tuple[str | None, int]:
+    """What differs between a query and its SQL check, or None."""
+    rows = [tuple(r) for r in df.collect()]
+    kinds, expected = oracle_rows(sql, folder)
+    if sorted(df.columns) != sorted(kinds):
+        return f"columns {sorted(df.columns)} != {sorted(kinds)}", len(rows)
+    a, b = canonical(df.columns, rows), canonical(list(kinds), expected)
+    if a != b:
+        sa, sb = set(a), set(b)
+        only_a, only_b = [r for r in a if r not in sb], [r for r in b if r not in sa]
+        return f"rows {len(a)}/{len(b)}, differing {len(only_a)}/{len(only_b)} {sorted(kinds)}\n S {only_a[:3]}\n D {only_b[:3]}", len(rows)
+    odd = {n: (t, kinds[n]) for n, t in df.dtypes if KINDS.get(t, t) != kinds[n]}
+    return (f"types {odd}" if odd else None), len(rows)
 
 
 def main(names: list[str]) -> int:
@@ -65,21 +74,19 @@ def main(names: list[str]) -> int:
     bad = 0
     for name in chosen:
         start = time.time()
+        n = 0
         try:
-            actual = queries[name](spark, folder).toPandas()
-            took = time.time() - start
             if name in oracles:
-                start = time.time()
-                diff = difference(actual, oracle_frame(oracles[name], folder))
+                diff, n = difference(queries[name](spark, folder), oracles[name], folder)
                 verdict = "ok" if diff is None else f"DIFF {diff[:1500]}"
-                verdict += f" (sql {time.time() - start:.1f}s)"
             else:
+                n = len(queries[name](spark, folder).collect())
                 verdict = "rows only"
         except Exception as error:  # noqa: BLE001
-            took, verdict = time.time() - start, f"FAIL {str(error)[:1800]}"
-            actual = []
+            verdict = f"FAIL {str(error)[:1800]}"
+        took = time.time() - start
         bad += verdict.startswith(("DIFF", "FAIL"))
-        print(f"{name}: {len(actual)} rows {took:.1f}s {verdict}", flush=True)
+        print(f"{name}: {n} rows {took:.1f}s {verdict}", flush=True)
     print(f"{len(chosen)} queries, {bad} bad, {sum(q in oracles for q in chosen)} with sql")
     return bad
 
