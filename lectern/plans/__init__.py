@@ -6,7 +6,7 @@ import importlib
 
 from lectern.plans import registry
 
-AREAS = ["retrieval", "progress", "questions", "mining", "ingest", "curriculum", "catalogue", "answers"]
+AREAS = ["retrieval", "progress", "questions", "mining", "ingest", "curriculum", "catalogue", "answers", "streams"]
 
 
 def load() -> tuple[dict[str, registry.Query], dict[str, str]]:

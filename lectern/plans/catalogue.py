@@ -47,7 +47,7 @@ _SCORED = """
 pairs AS (SELECT conv_id, turn, id, len(list_intersect(q, terms)) AS m, len(q) AS n FROM asked, known WHERE {where}),
 scored AS (SELECT *, least(1.0, m / n * CASE WHEN m >= 2 THEN 1.1 ELSE 1 END) AS confidence FROM pairs WHERE m > 0)
 SELECT conv_id, turn, id, round(confidence, 6) AS confidence FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY confidence DESC, id) AS r FROM scored) WHERE r = 1 AND confidence >= 0.3"""
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY confidence DESC, id) AS r FROM scored) WHERE r = 1 AND confidence >= 0.15"""
 
 
 @query(
@@ -56,7 +56,7 @@ SELECT conv_id, turn, id, round(confidence, 6) AS confidence FROM (
     + _SCORED.format(where="true"),
 )
 def match(spark, folder):
-    out = catalogue.match_questions(views.messy_questions(spark, folder), _entries(spark, folder))
+    out = catalogue.match_questions(views.messy_questions(spark, folder), _entries(spark, folder), floor=0.15)
     return out.select("conv_id", "turn", "id", F.round("confidence", 6).alias("confidence"))
 
 
@@ -80,7 +80,7 @@ def match_filtered(spark, folder):
         "subject": F.when(t % 4 == 0, "SCIENCE").when(t % 4 == 2, "english").when(t % 4 == 3, "latin"),
         "grade": F.when(n % 5 == 1, 3).when(n % 5 > 1, 8 + n % 5),
     })
-    out = catalogue.match_questions(asked, _entries(spark, folder))
+    out = catalogue.match_questions(asked, _entries(spark, folder), floor=0.15)
     return out.select("conv_id", "turn", "id", F.round("confidence", 6).alias("confidence"))
 
 

@@ -16,8 +16,12 @@ def micros(ts: Column) -> Column:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    return attempts_of(table(spark, folder, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_id", "ts", "user_id",
         F.col("event_type").alias("subject"),
         F.concat(F.lit("t"), (k % 5 % 2).cast("string")).alias("topic"),
@@ -32,11 +36,11 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "conversations")
-        .where(F.col("role") == "user")
-        .select("conv_id", "turn", F.col("text").alias("question"))
-    )
+    return questions_of(table(spark, folder, "conversations"))
+
+
+def questions_of(turns: DataFrame) -> DataFrame:
+    return turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,6 +53,10 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messy_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return messy_of(table(spark, folder, "conversations"))
+
+
+def messy_of(turns: DataFrame) -> DataFrame:
     text = F.col("question")
     kind = (F.col("conv_id") * 7 + F.col("turn")) % 8
     prefix = {
@@ -62,7 +70,7 @@ def messy_questions(spark: SparkSession, folder: str) -> DataFrame:
     made = F.when(kind == 2, F.upper(F.replace(text, F.lit("ß"), F.lit("ss"))))
     for n, (head, tail) in prefix.items():
         made = made.when(kind == n, F.concat(F.lit(head), tail))
-    return questions(spark, folder).select("conv_id", "turn", made.otherwise(text).alias("question"))
+    return questions_of(turns).select("conv_id", "turn", made.otherwise(text).alias("question"))
 
 
 def keyword_entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,8 +78,12 @@ def keyword_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_of(table(spark, folder, "documents"))
+
+
+def corpus_of(documents: DataFrame) -> DataFrame:
     grade = 8 + F.col("doc_id") % 5
-    return table(spark, folder, "documents").select(
+    return documents.select(
         "doc_id",
         F.concat(F.lit("neb_"), "lang", F.lit("_grade_"), grade.cast("string")).alias("collection"),
         F.col("lang").alias("subject"),
