@@ -27,14 +27,14 @@ _SUBJECT = "CASE id % 3 WHEN 0 THEN 'Science' WHEN 1 THEN 'english' ELSE 'maths'
 _ENTRIES = f"""shaped AS (
   SELECT id, title, CASE WHEN length(title) % 2 = 0 THEN 'process' ELSE 'structure' END AS type, lower({_SUBJECT}) AS subject,
          [8 + id % 5, 9 + id % 3] AS grades,
-         CASE WHEN length(title) % 3 = 0 THEN list_transform({sql_words('title')}[6:12], lambda k: upper(k)) END AS given FROM entries),
+         CASE WHEN length(title) % 3 = 0 THEN list_transform({sql_words('title')}[6:12], lambda k: upper(replace(k, 'ß', 'ss'))) END AS given FROM entries),
 known AS (SELECT *, list_distinct(list_concat(list_transform(coalesce(given, list_concat({_sql_terms('title')}, [type])), lambda k: lower(k)),
                                               {_sql_terms('title')})) AS terms FROM shaped)"""
 
 
 def _entries(spark, folder):
     n = F.col("id")
-    given = F.transform(F.slice(F.filter(F.split("title", r"\s+"), lambda w: w != ""), 6, 7), lambda k: F.upper(k))
+    given = F.transform(F.slice(F.filter(F.split("title", r"\s+"), lambda w: w != ""), 6, 7), lambda k: F.upper(F.replace(k, F.lit("ß"), F.lit("ss"))))
     return views.keyword_entries(spark, folder).select(
         "id", "title", F.when(F.length("title") % 2 == 0, "process").otherwise("structure").alias("type"),
         F.when(n % 3 == 0, "Science").when(n % 3 == 1, "english").otherwise("maths").alias("subject"),

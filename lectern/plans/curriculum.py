@@ -15,19 +15,36 @@ from lectern.sources import curriculum as source
 from lectern.views import with_views
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _files(spark, folder):
+    """The curriculum files, made from the documents once per session and stored."""
+    made = (spark.sparkContext.applicationId, folder)
+    if made not in _STORED:
+        path = shared_folder(spark, "curricula")
+        spread = spark.sparkContext.defaultParallelism
+        _made_files(views.table(spark, folder, "documents").repartition(spread, "doc_id")).write.parquet(path)
+        _STORED[made] = path
+    return spark.read.parquet(_STORED[made])
+
+
+def _made_files(documents):
     """(doc_id, path, value, flat) with value the JSON of one curriculum per document."""
 
     def concept(text):
-        w = words(text)
-        question = F.struct(
-            F.concat(text, F.lit("?")).alias("question"), F.slice(w, 1, 2).alias("acceptable_answers"),
-            F.when(F.size(w) > 2, F.slice(w, -1, 1)).alias("hints"),
-        )
-        return F.struct(
-            F.lower(F.coalesce(F.get(w, F.lit(0)), F.lit(""))).alias("name"), text.alias("summary"), w.alias("steps"),
-            F.array(question).alias("questions"),
-        )
+        def shaped(w):
+            question = F.struct(
+                F.concat(text, F.lit("?")).alias("question"), F.slice(w, 1, 2).alias("acceptable_answers"),
+                F.when(F.size(w) > 2, F.slice(w, -1, 1)).alias("hints"),
+            )
+            return F.struct(
+                F.lower(F.coalesce(F.get(w, F.lit(0)), F.lit(""))).alias("name"), text.alias("summary"), w.alias("steps"),
+                F.array(question).alias("questions"),
+            )
+
+        # A lambda over a one-element array names the words, so they are split once.
+        return F.get(F.transform(F.array(words(text)), shaped), F.lit(0))
 
     def subtopic(text, j):
         clauses = text.contains(",")
@@ -48,7 +65,7 @@ def _files(spark, folder):
         subject.alias("subject"), (8 + F.col("doc_id") % 7).cast("string").alias("grade"), topics.alias("topics")
     ))
     path = F.concat(F.lit("/content/"), F.col("doc_id").cast("string"), F.lit(".json"))
-    return views.table(spark, folder, "documents").select("doc_id", path.alias("path"), value.alias("value"), F.lit(True).alias("flat"))
+    return documents.select("doc_id", path.alias("path"), value.alias("value"), F.lit(True).alias("flat"))
 
 
 def _subjects(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUESTION = "struct<question: string, acceptable_answers: array<string>, hints: array<string>>"
@@ -37,13 +37,21 @@ def load(files: DataFrame, depth: int = DEPTH) -> DataFrame:
     nested file is its folder. Nested files come after flat ones. A file that is
     not JSON is skipped. ``files``: path, value and flat.
     """
-    doc = F.from_json("value", content_schema(depth), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
     parts = F.split("path", "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.json$", "")
-    parsed = files.withColumn("doc", doc).where(
-        F.col("doc.subject").isNotNull() | F.col("doc.topics").isNotNull() | F.col("doc.grade").isNotNull()
+
+    def named(doc: str) -> Column:
+        return F.when(F.col("flat"), F.coalesce(f"{doc}.subject", stem)).otherwise(F.element_at(parts, -2))
+
+    # Who wins is decided on names alone; a file's content is parsed once, and only if it won.
+    # The one-element explode keeps the optimiser from repeating the parse per field.
+    head = F.from_json("value", "struct<subject: string, grade: string, topics: string>")
+    names = files.select("path", "flat", F.explode(F.array(head)).alias("h")).where(
+        F.col("h.subject").isNotNull() | F.col("h.topics").isNotNull() | F.col("h.grade").isNotNull()
+    )
+    last = F.max_by("path", F.struct((~F.col("flat")).alias("nested"), F.col("path")))
+    winners = names.select(named("h").alias("subject"), "path", "flat").groupBy("subject").agg(last.alias("path"))
+    doc = F.explode(F.array(F.from_json("value", content_schema(depth))))
+    return files.join(winners, "path").select("subject", "path", doc.alias("doc")).select(
+        "subject", "doc.grade", "doc.topics", "path"
     )
-    key = F.when(F.col("flat"), F.coalesce("doc.subject", stem)).otherwise(F.element_at(parts, -2))
-    rows = parsed.select(key.alias("subject"), "doc.grade", "doc.topics", "path", (~F.col("flat")).alias("nested"))
-    newest = F.max_by(F.struct("grade", "topics", "path"), F.struct("nested", "path"))
-    return rows.groupBy("subject").agg(newest.alias("r")).select("subject", "r.*")
