@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,12 +41,34 @@ def length_can_reach(a: Column, b: Column, floor: float) -> Column:
     return 2.0 * F.least(la, lb) >= floor * (la + lb)
 
 
+def likely_windows(lowered: list[str], phrase: str, floor: float) -> list[int]:
+    """Starts of the word windows that share enough characters with the phrase.
+
+    The ratio never exceeds 2 x (characters in common) / (sum of lengths), and
+    characters in common follow from running counts per letter, so one array
+    operation rules out almost every window.
+    """
+    span = len(phrase.split())
+    if len(lowered) < span:
+        return []
+    ends = np.cumsum([len(w) + 1 for w in lowered]) - 1
+    starts = np.r_[0, ends[:-1] + 1][: len(lowered) - span + 1]
+    ends = ends[span - 1 :]
+    codes = np.frombuffer(" ".join(lowered).encode("utf-32-le"), dtype="<u4")
+    letters = sorted(set(phrase))
+    wanted = np.array([[phrase.count(ch)] for ch in letters])
+    runs = np.zeros((len(letters), len(codes) + 1), dtype="int32")
+    np.cumsum(codes[None, :] == np.array([[ord(ch)] for ch in letters]), axis=1, out=runs[:, 1:])
+    common = np.minimum(runs[:, ends] - runs[:, starts], wanted).sum(axis=0)
+    return np.flatnonzero(2 * common + 1e-9 >= floor * (ends - starts + len(phrase))).tolist()
+
+
 def best_window(tokens: list[str], phrase: str, floor: float) -> int:
     """Start of the first best window of ``tokens`` that resembles ``phrase``, or -1."""
     span = len(phrase.split())
     lowered = [t.lower() for t in tokens]
     best, where = 0.0, -1
-    for i in range(len(tokens) - span + 1):
+    for i in likely_windows(lowered, phrase, floor):
         value = ratio_above(" ".join(lowered[i : i + span]), phrase, floor, inclusive=True)
         if value is not None and value > best:
             best, where = value, i

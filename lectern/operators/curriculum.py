@@ -12,6 +12,7 @@ from lectern import lexicon
 from lectern.functions import gates, similarity
 from lectern.functions.words import strip
 from lectern.operators import blocks
+from lectern.operators.layout import spread_small
 from lectern.sources.curriculum import CONCEPT, DEPTH
 
 _FLAT = f"array<struct<subtopic_path: array<string>, ord: array<int>, c: {CONCEPT}>>"
@@ -259,8 +260,7 @@ def search(
     items = concepts.select(
         "subject", "ord", F.transform(F.array_compact(texts), lambda t: F.lower(t)).alias("texts")
     )
-    # Scoring costs far more than moving the rows: use every core even for a small curriculum.
-    items = items.repartition(concepts.sparkSession.sparkContext.defaultParallelism)
+    items = spread_small(items)
 
     def trim(found: pd.DataFrame) -> pd.DataFrame:
         ordered = found.assign(key=found["ord"].map(tuple)).sort_values(["query_id", "subject", "key"])
@@ -294,7 +294,7 @@ def search(
 def relevant_sentence(df: DataFrame, keys: list[str], summary: str, question: str) -> DataFrame:
     """The sentence most like the question, the first of equals."""
     sentences = df.select(*keys, F.lower(question).alias("_q"), F.posexplode(F.split(summary, r"\. ")).alias("_n", "sentence"))
-    scored = sentences.withColumn("ratio", similarity.similarity_ratio(F.lower("sentence"), F.col("_q")))
+    scored = spread_small(sentences).withColumn("ratio", similarity.similarity_ratio(F.lower("sentence"), F.col("_q")))
     best = F.max_by(F.struct("sentence", "ratio"), F.struct(F.col("ratio"), -F.col("_n")))
     return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import lexicon
 from lectern.functions import similarity
+from lectern.operators.layout import spread_small
 
 
 def grade(attempts: DataFrame, key: DataFrame, ratio: float = lexicon.GRADING_RATIO) -> DataFrame:
@@ -21,7 +22,7 @@ def grade(attempts: DataFrame, key: DataFrame, ratio: float = lexicon.GRADING_RA
     pairs = said.join(accepted, "question").withColumn("_exact", F.col("_a") == F.col("_k"))
     near = ~F.col("_exact") & similarity.length_can_reach(F.col("_a"), F.col("_k"), ratio)
     measured = similarity.similarity_ratio(F.when(near, F.col("_a")), F.when(near, F.col("_k")))
-    judged = pairs.withColumn("_r", measured).groupBy("question", "_a").agg(
+    judged = spread_small(pairs).withColumn("_r", measured).groupBy("question", "_a").agg(
         F.bool_or(F.col("_exact") | F.coalesce(F.col("_r") > ratio, F.lit(False))).alias("correct")
     )
     graded = attempts.withColumn("_a", F.lower("answer")).join(judged, ["question", "_a"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chunking, vectors
+from lectern.operators.layout import spread_small
 
 
 def chunk_documents(docs: DataFrame, text: str = "text", keep_failures: bool = True, **size) -> DataFrame:
@@ -14,7 +15,7 @@ def chunk_documents(docs: DataFrame, text: str = "text", keep_failures: bool = T
     Every other column of ``docs`` is carried along on the JVM side.
     """
     cols = [c for c in docs.columns if c != text]
-    cut = docs.withColumn("_chunks", chunking.chunks_of(F.col(text), **size))
+    cut = spread_small(docs).withColumn("_chunks", chunking.chunks_of(F.col(text), **size))
     explode = F.explode_outer if keep_failures else F.explode
     return cut.select(
         *cols, F.when(F.col(text).isNull(), "no text").alias("error"), explode("_chunks").alias("c")
