@@ -41,26 +41,38 @@ def length_can_reach(a: Column, b: Column, floor: float) -> Column:
     return 2.0 * F.least(la, lb) >= floor * (la + lb)
 
 
-def likely_windows(lowered: list[str], phrase: str, floor: float) -> list[int]:
-    """Starts of the word windows that share enough characters with the phrase.
+def rows_with_likely_window(rows: list[list[str]], phrases: list[str], floor: float) -> set[int]:
+    """Numbers of the rows (lists of lower-case words) in which a window may resemble a phrase.
 
     The ratio never exceeds 2 x (characters in common) / (sum of lengths), and
-    characters in common follow from running counts per letter, so one array
-    operation rules out almost every window.
+    characters in common follow from running counts per letter. So a few array
+    operations over a whole batch rule out almost every window.
     """
-    span = len(phrase.split())
-    if len(lowered) < span:
-        return []
-    ends = np.cumsum([len(w) + 1 for w in lowered]) - 1
-    starts = np.r_[0, ends[:-1] + 1][: len(lowered) - span + 1]
-    ends = ends[span - 1 :]
-    codes = np.frombuffer(" ".join(lowered).encode("utf-32-le"), dtype="<u4")
-    letters = sorted(set(phrase))
-    wanted = np.array([[phrase.count(ch)] for ch in letters])
-    runs = np.zeros((len(letters), len(codes) + 1), dtype="int32")
-    np.cumsum(codes[None, :] == np.array([[ord(ch)] for ch in letters]), axis=1, out=runs[:, 1:])
-    common = np.minimum(runs[:, ends] - runs[:, starts], wanted).sum(axis=0)
-    return np.flatnonzero(2 * common + 1e-9 >= floor * (ends - starts + len(phrase))).tolist()
+    words = [w for row in rows for w in row]
+    owner = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+    if not words:
+        return set()
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    codes = np.frombuffer(" ".join(words).encode("utf-32-le"), dtype="<u4")
+    letters = sorted(set("".join(phrases)))
+    # Counts before each word start and at each word end, one letter at a time.
+    at_start, at_end = (np.empty((len(letters), len(words)), dtype="int32") for _ in range(2))
+    for n, letter in enumerate(letters):
+        seen = np.r_[0, np.cumsum(codes == ord(letter), dtype="int32")]
+        at_start[n], at_end[n] = seen[starts], seen[ends]
+    likely: set[int] = set()
+    for phrase in phrases:
+        span = len(phrase.split())
+        n = len(words) - span + 1
+        if n <= 0:
+            continue
+        wanted = np.array([[phrase.count(ch)] for ch in letters], dtype="int32")
+        common = np.minimum(at_end[:, span - 1 :] - at_start[:, :n], wanted).sum(axis=0)
+        size = ends[span - 1 :] - starts[:n] + len(phrase)
+        hit = (2 * common + 1e-9 >= floor * size) & (owner[:n] == owner[span - 1 :])
+        likely.update(owner[:n][hit].tolist())
+    return likely
 
 
 def best_window(tokens: list[str], phrase: str, floor: float) -> int:
@@ -68,7 +80,7 @@ def best_window(tokens: list[str], phrase: str, floor: float) -> int:
     span = len(phrase.split())
     lowered = [t.lower() for t in tokens]
     best, where = 0.0, -1
-    for i in likely_windows(lowered, phrase, floor):
+    for i in range(len(tokens) - span + 1):
         value = ratio_above(" ".join(lowered[i : i + span]), phrase, floor, inclusive=True)
         if value is not None and value > best:
             best, where = value, i
@@ -78,20 +90,26 @@ def best_window(tokens: list[str], phrase: str, floor: float) -> int:
 def fuzzy_removal(phrases: list[str], floor: float):
     """An Arrow function: question to (text, number of phrases removed)."""
 
+    lowered = [p.lower() for p in phrases]
+
+    def clean(question: str) -> tuple[str, int]:
+        n = 0
+        for phrase in lowered:
+            tokens = question.split()
+            at = best_window(tokens, phrase, floor)
+            if at >= 0:
+                question = " ".join(tokens[:at] + tokens[at + len(phrase.split()) :])
+                n += 1
+        return question, n
+
     @F.pandas_udf("text string, hits int")
     def remove(questions: pd.Series) -> pd.DataFrame:
-        texts, hits = [], []
-        for question in questions:
-            n = 0
-            for phrase in phrases if question is not None else ():
-                tokens = question.split()
-                at = best_window(tokens, phrase.lower(), floor)
-                if at >= 0:
-                    question = " ".join(tokens[:at] + tokens[at + len(phrase.split()) :])
-                    n += 1
-            texts.append(question)
-            hits.append(n)
-        return pd.DataFrame({"text": texts, "hits": hits})
+        texts = questions.tolist()
+        rows = [[] if not isinstance(q, str) else q.lower().split() for q in texts]
+        likely = rows_with_likely_window(rows, lowered, floor)
+        # A row without a likely window cannot lose a phrase: its text stays as it is.
+        done = [clean(q) if i in likely else (q, 0) for i, q in enumerate(texts)]
+        return pd.DataFrame({"text": [t for t, _ in done], "hits": [n for _, n in done]})
 
     return remove
 
