@@ -13,6 +13,7 @@ from lectern.sinks import tables
 
 TTL = 3_600_000_000
 THRESHOLD = 0.92
+KEYS = ["subject", "grade", "_n", "_b"]
 
 
 def exact_hits(requests: DataFrame, fills: DataFrame, ttl: int = TTL) -> DataFrame:
@@ -48,8 +49,8 @@ def semantic_hits(
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        groups = {k: g for k, g in q.groupby(["subject", "grade", "_n"], sort=False)}
-        for key, part in c.groupby(["subject", "grade", "_n"], sort=False):
+        groups = {k: g for k, g in q.groupby(KEYS, sort=False)}
+        for key, part in c.groupby(KEYS, sort=False):
             asked = groups.get(key)
             if asked is None:
                 continue
@@ -68,13 +69,17 @@ def semantic_hits(
     def trim(found: pd.DataFrame) -> pd.DataFrame:
         return found.sort_values(["score", "entry_id"], ascending=[False, True]).groupby("request_id", sort=False).head(1)
 
-    def usable(df: DataFrame) -> DataFrame:
-        return df.withColumn("_n", F.size("embedding")).where(F.exists("embedding", lambda x: x != 0))
+    def usable(df: DataFrame, buckets: Column) -> DataFrame:
+        sized = df.withColumn("_n", F.size("embedding")).where(F.exists("embedding", lambda x: x != 0))
+        return sized.withColumn("_b", buckets)
+
+    # An entry lives for one TTL: only requests of its time bucket and the next can meet it.
+    bucket = F.floor(F.col("us") / ttl)
 
     partial = blocks.match_blocks(
-        usable(requests.select("request_id", "subject", "grade", "us", "embedding")),
-        usable(entries.select("entry_id", "subject", "grade", "us", "embedding")),
-        score, "request_id long, entry_id long, score double", keys=["subject", "grade", "_n"], trim=trim, **limits,
+        usable(requests.select("request_id", "subject", "grade", "us", "embedding"), bucket),
+        usable(entries.select("entry_id", "subject", "grade", "us", "embedding"), F.explode(F.array(bucket, bucket + 1))),
+        score, "request_id long, entry_id long, score double", keys=KEYS, trim=trim, **limits,
     )
     first = F.min_by(F.struct("entry_id", "score"), F.struct((-F.col("score")).alias("s"), F.col("entry_id")))
     return partial.groupBy("request_id").agg(first.alias("b")).select("request_id", "b.*")

@@ -1,8 +1,11 @@
-"""Partition layout for stages that spend their time in Python."""
+"""Partition layout: input for stages that spend their time in Python, and global numbering."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lectern.session import shared_folder
 
 BYTES_PER_CORE = 32 << 20
 
@@ -27,3 +30,23 @@ def spread_small(df: DataFrame) -> DataFrame:
     if size is None or size >= cores * BYTES_PER_CORE:
         return df
     return df.repartition(cores)
+
+
+def number_rows(df: DataFrame, order: list[Column | str], name: str = "number") -> DataFrame:
+    """Adds the place of each row in the whole order, from 0, without sorting in one task.
+
+    Rows are range partitioned and sorted; a row's place is its place within its
+    partition plus the sizes of the partitions before. The ranges come from a
+    sample, so the sorted rows are written once to the shared folder: counting
+    and numbering then see the same partitions, also after an executor is lost.
+    """
+    path = shared_folder(df.sparkSession, "numbered")
+    # The upper bits of this id are the partition, the lower 33 the row within it.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_shift")
+    return rows.join(shifts, "_part").withColumn(name, place).drop("_id", "_part", "_shift")

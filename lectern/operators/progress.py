@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import lexicon
+from lectern.operators.layout import number_rows
 
 QUESTION_KEY = ["subject", "topic", "concept", "question"]
 CONCEPT_KEY = ["subject", "topic", "concept"]
@@ -164,13 +165,7 @@ def next_concept(counts: DataFrame, catalogue: DataFrame, order: list[str] = CON
         F.count(F.lit(1)).alias("questions"), *[F.min(c).alias(f"_o{i}") for i, c in enumerate(order) if c not in CONCEPT_KEY]
     )
     sort = [F.col(c) if c in CONCEPT_KEY else F.col(f"_o{i}") for i, c in enumerate(order)]
-    # Number within a subject, then shift by the sizes of the subjects before it.
-    place = F.row_number().over(Window.partitionBy("subject").orderBy(*sort)) - 1
-    concepts = concepts.withColumn("_place", place)
-    sizes = concepts.groupBy("subject").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*sort)).alias("_first"))
-    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("subject", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    numbered = concepts.join(shifts, "subject").withColumn("number", F.col("_place") + F.col("_shift"))
+    numbered = number_rows(concepts, sort)
 
     done = (
         known_counts(counts.where(mastered(F.col("correct"))), catalogue)

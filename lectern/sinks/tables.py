@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +49,17 @@ def upsert(
     the last by ``order`` wins.
     """
     spark = new.sparkSession
-    fresh = _bucketed(latest(new, keys, order), keys, buckets)
+    # Used three times below; kept so that, say, an encoder runs once per row.
+    fresh = _bucketed(latest(new, keys, order), keys, buckets).persist(StorageLevel.MEMORY_AND_DISK)
     parts = [*within, "bucket"]
     old = read_table(spark, path)
+    rows = fresh
     if old is not None:
         touched = fresh.select(*parts).distinct()
         kept = old.join(touched, parts, "left_semi").join(fresh.select(*keys), keys, "left_anti")
-        fresh = fresh.unionByName(kept.select(*fresh.columns))
-    _replace_partitions(fresh, path, parts)
+        rows = fresh.unionByName(kept.select(*fresh.columns))
+    _replace_partitions(rows, path, parts)
+    fresh.unpersist()
 
 
 def append_version(rows: DataFrame, path: str, within: list[str] = ()) -> None:

@@ -46,8 +46,10 @@ def feedback(logs: DataFrame, path: str, review: str, checkpoint: str | None = N
 
     def write(batch: DataFrame, number: int) -> None:
         # One folder per micro-batch: a retried batch replaces its own output.
+        batch.persist()
         batch.write.mode("overwrite").json(f"{path}/batch={number}")
         batch.where(gates.low_confidence(F.col("confidence"))).write.mode("overwrite").json(f"{review}/batch={number}")
+        batch.unpersist()
 
     return start(logs, write, "append", checkpoint)
 
@@ -72,12 +74,14 @@ def semantic_cache(
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch.persist()
         entries = tables.read_table(spark, entries_path).where(F.col("batch") < number)
         hits = cache.semantic_hits(batch, entries, threshold, ttl)
         hits.write.mode("overwrite").parquet(f"{hits_path}/batch={number}")
         answered = spark.read.parquet(f"{hits_path}/batch={number}")
         new = cache.misses(batch, answered).withColumnRenamed("request_id", "entry_id")
         new.write.mode("overwrite").parquet(f"{entries_path}/batch={number}")
+        batch.unpersist()
 
     return start(requests, write, "append", checkpoint)
 
