@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import answers, catalogue, gates, normalise, vectors
-from lectern.operators import cache, retrieval
+from lectern.operators import cache, layout, retrieval
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -40,8 +40,8 @@ def answer_sources(prepared: DataFrame, fills: DataFrame, entries: DataFrame, th
     """
     told = cache.exact_hits(prepared, fills).withColumnRenamed("value", "_exact")
     left = told.where(F.col("reply").isNull() & F.col("_exact").isNull())
-    near = cache.semantic_hits(left, entries, threshold).select("request_id", "entry_id")
-    near = near.join(entries.select("entry_id", F.col("value").alias("_near")), "entry_id").drop("entry_id")
+    near = layout.written(cache.semantic_hits(left, entries, threshold).select("request_id", "entry_id"), "near")
+    near = entries.select("entry_id", F.col("value").alias("_near")).join(near, "entry_id").drop("entry_id")
     return told.join(near, "request_id", "left").withColumns({
         "source": F.when(F.col("reply").isNotNull(), "edge_case").when(F.col("_exact").isNotNull(), "exact_cache")
         .when(F.col("_near").isNotNull(), "semantic_cache").otherwise("rag_response"),

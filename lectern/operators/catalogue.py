@@ -69,8 +69,12 @@ def _wide_subsets(entries: DataFrame) -> DataFrame:
     )
 
 
-def _scopes(entries: DataFrame) -> DataFrame:
+def _scopes(entries: DataFrame, by_subject: bool, by_grade: bool) -> DataFrame:
     """Each entry under every (subject, grade) filter it answers to; '' and -1 mean no filter."""
+    if not by_subject:
+        entries = entries.withColumn("subject", F.lit(""))
+    if not by_grade:
+        entries = entries.withColumn("grades", F.array().cast("array<int>"))
     any_ = lambda s, g: F.struct(s.alias("subject"), g.alias("grade"))
     subject, none, no_grade = F.coalesce("subject", F.lit("")), F.lit(""), F.lit(-1)
     grades = F.coalesce("grades", F.array().cast("array<int>"))
@@ -111,24 +115,30 @@ def match_questions(
     ``grade`` narrow the candidates (U2): an unknown value is ignored, and an
     empty intersection falls back to the whole catalogue.
     """
-    entries = normalise_entries(entries)
-    scoped = _scopes(entries)
-    asked = questions.withColumn("_terms", F.array_sort(F.array_distinct(cat.key_terms(F.col(text)))))
-    subject = F.lower("subject") if "subject" in questions.columns else F.lit(None).cast("string")
-    grade = F.col("grade").cast("int") if "grade" in questions.columns else F.lit(None).cast("int")
-    asked = asked.withColumns({"_subject": F.coalesce(subject, F.lit("")), "_grade": F.coalesce(grade, F.lit(-1))})
+    has_subject, has_grade = ("subject" in questions.columns), ("grade" in questions.columns)
+    scoped = _scopes(normalise_entries(entries), has_subject, has_grade)
+    subject = F.lower("subject") if has_subject else F.lit("")
+    grade = F.col("grade").cast("int") if has_grade else F.lit(-1)
+    asked = questions.withColumns({
+        "_terms": F.array_sort(F.array_distinct(cat.key_terms(F.col(text)))),
+        "_subject": F.coalesce(subject, F.lit("")), "_grade": F.coalesce(grade, F.lit(-1)),
+    })
     signature = ["_subject", "_grade", "_terms"]
     distinct = asked.select(*signature).distinct()
 
+    # Unknown values count as no filter, and so does a pair nothing answers to.
+    told = distinct.withColumns({"subject": F.col("_subject"), "grade": F.col("_grade")})
     known = scoped.select("subject", "grade").distinct()
-    subjects = known.where("grade = -1").select(F.col("subject").alias("_subject"), F.lit(True).alias("_s"))
-    grades = known.where("subject = ''").select(F.col("grade").alias("_grade"), F.lit(True).alias("_g"))
-    told = distinct.join(subjects, "_subject", "left").join(grades, "_grade", "left").withColumns(
-        {"subject": F.when(F.col("_s"), F.col("_subject")).otherwise(""), "grade": F.when(F.col("_g"), F.col("_grade")).otherwise(-1)}
-    )
-    told = told.join(known.withColumn("_k", F.lit(True)), ["subject", "grade"], "left").withColumns(
-        {"subject": F.when(F.col("_k"), F.col("subject")).otherwise(""), "grade": F.when(F.col("_k"), F.col("grade")).otherwise(-1)}
-    )
+    if has_subject:
+        names = known.where("grade = -1").select("subject", F.lit(True).alias("_s"))
+        told = told.join(names, "subject", "left").withColumn("subject", F.when(F.col("_s"), F.col("subject")).otherwise(""))
+    if has_grade:
+        grades = known.where("subject = ''").select("grade", F.lit(True).alias("_g"))
+        told = told.join(grades, "grade", "left").withColumn("grade", F.when(F.col("_g"), F.col("grade")).otherwise(-1))
+    if has_subject and has_grade:
+        told = told.join(known.withColumn("_k", F.lit(True)), ["subject", "grade"], "left").withColumns({
+            "subject": F.when(F.col("_k"), F.col("subject")).otherwise(""), "grade": F.when(F.col("_k"), F.col("grade")).otherwise(-1),
+        })
     vocabulary = distinct.select(F.explode("_terms").alias("term")).distinct()
     lookups = told.select(*signature, "subject", "grade", F.explode(_subsets(F.col("_terms"))).alias("subset")).withColumn(
         "matches", F.size(F.split("subset", " "))

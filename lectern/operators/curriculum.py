@@ -12,7 +12,7 @@ from lectern import lexicon
 from lectern.functions import gates, similarity
 from lectern.functions.words import strip
 from lectern.operators import blocks
-from lectern.operators.layout import spread_small
+from lectern.operators.layout import spread_small, written
 from lectern.sources.curriculum import CONCEPT, DEPTH
 
 _FLAT = f"array<struct<subtopic_path: array<string>, ord: array<int>, c: {CONCEPT}>>"
@@ -288,7 +288,8 @@ def search(
     )
     order = Window.partitionBy("query_id").orderBy("subject", "ord")
     best = partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_results)
-    return best.join(concepts.select("subject", "ord", "topic", "concept", "summary"), ["subject", "ord"])
+    found = written(best, "search")
+    return concepts.select("subject", "ord", "topic", "concept", "summary").join(found, ["subject", "ord"])
 
 
 def relevant_sentence(df: DataFrame, keys: list[str], summary: str, question: str) -> DataFrame:

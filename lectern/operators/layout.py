@@ -32,6 +32,20 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder.
+
+    For a small result that is about to meet a very large table: its true size
+    is then known when the join is planned, so it is broadcast if and only if it
+    is below the session's limit, and the large side is read where it lies
+    instead of being shuffled on a guess. The work behind it is not repeated
+    when an executor is lost.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "number") -> DataFrame:
     """Adds the place of each row in the whole order, from 0, without sorting in one task.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import lexicon
 from lectern.functions.words import strip
-from lectern.operators import blocks
+from lectern.operators import blocks, layout
 
 TIE_PLACES = 12
 
@@ -231,11 +231,16 @@ def primary_first(hits: DataFrame) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(order))
 
 
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the other columns of their chunks, fetched for the few rows found."""
+    return chunks.drop("embedding", "collection").join(layout.written(hits, "hits"), "vec_id")
+
+
 def retrieve_context(
     queries: DataFrame, chunks: DataFrame, k: int = lexicon.HITS_PER_COLLECTION, budget: int = lexicon.CONTEXT_BUDGET,
     source: str = "collection", **options,
 ) -> DataFrame:
     """Search, rank, floor, budget and order in one go. Texts join the few hits only."""
     hits = top_hits(queries, chunks, k, **options)
-    told = hits.join(chunks.drop("embedding", "collection"), "vec_id")
-    return primary_first(fit_budget(above_floor(rank_hits(told, source)), budget))
+    ranked = rank_hits(with_texts(hits, chunks), source)
+    return primary_first(fit_budget(above_floor(ranked), budget))

@@ -162,8 +162,7 @@ SELECT query_id, vec_id, round(final_score, 6) AS final_score, CAST(place AS INT
 def ranked_hits(spark, folder):
     store = views.vector_store(spark, folder)
     hits = retrieval.top_hits(views.query_vectors(spark, folder), store)
-    told = hits.join(store.drop("embedding", "collection"), "vec_id")
-    return retrieval.rank_hits(told, "collection").select("query_id", "vec_id", *_six("final_score"), "place")
+    return retrieval.rank_hits(retrieval.with_texts(hits, store), "collection").select("query_id", "vec_id", *_six("final_score"), "place")
 
 
 @query(
