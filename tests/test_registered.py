@@ -15,6 +15,8 @@ def test_every_check_has_a_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, name):
     df = QUERIES[name](spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     if name in ORACLES:
         problem, _ = check.difference(df, ORACLES[name], folder)
         assert problem is None
