@@ -95,8 +95,9 @@ def ask(
     Without a model the answer of an uncached question stays null and its
     confidence 0; the prompt is there for whoever runs one.
     """
-    prepared = prepare(questions, encoder, dim)
-    told = answer_sources(prepared, fills, entries, threshold)
+    # Each stage is met several times by the next ones; write it once so no model runs twice.
+    prepared = layout.written(prepare(questions, encoder, dim), "prepared")
+    told = layout.written(answer_sources(prepared, fills, entries, threshold), "told")
     fresh = told.where(F.col("source") == "rag_response")
     context = gather_context(fresh, chunks, collections, **options)
     out = told.join(context, "request_id", "left").withColumns({

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern import lexicon, views
 from lectern.functions import gates, normalise
-from lectern.operators import questions
+from lectern.operators import asking, ingest, layout, questions
 from lectern.plans.registry import query
 from lectern.views import with_views
 
@@ -155,6 +155,26 @@ def fuzzy_removal(spark, folder):
     return out.select("conv_id", "turn", "clean_question", F.array_join("notes", "|").alias("notes"))
 
 
+@query(
+    "d7_answer_records",
+    _chain() + f"""
+SELECT m.conv_id * 1000 + m.turn AS request_id, CASE WHEN trim(question) = '' OR length(trim(question)) < 4 THEN 'edge_case' ELSE 'rag_response' END AS source,
+       n.intent, n.clean_question, 0.0::DOUBLE AS confidence FROM messy m JOIN normal n USING (conv_id, turn)""",
+)
+def answer_records(spark, folder):
+    """Every question through the whole flow against the chunked corpus, without a model and with an empty cache."""
+    chunks = ingest.encode_chunks(ingest.chunk_documents(views.corpus(spark, folder).select("doc_id", "collection", "text")))
+    store = chunks.select((F.col("doc_id") * 100_000 + F.col("chunk_id")).alias("vec_id"), "collection", "text", "embedding")
+    asked = views.messy_questions(spark, folder).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "question", F.lit("en").alias("subject"),
+        (8 + F.col("conv_id") % 5).cast("string").alias("grade"), F.lit(0).cast("long").alias("us"),
+    )
+    fills = spark.createDataFrame([], "key string, us long, value string")
+    entries = spark.createDataFrame([], "entry_id long, subject string, grade string, us long, embedding array<float>, value string")
+    out = asking.ask(asked, layout.written(store, "store"), views.corpus(spark, folder).select("collection"), fills, entries)
+    return out.select("request_id", "source", "intent", "clean_question", "confidence")
+
+
 _PHRASES = """
 phrases AS (SELECT DISTINCT trim(lower(concat(w[1], ' ', w[2]))) AS phrase FROM
   (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)

@@ -33,7 +33,10 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
 
 def _replace_partitions(df: DataFrame, path: str, parts: list[str]) -> None:
     # rebalance: AQE splits a large partition over several files and merges small ones.
-    df.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    # Inside a streaming batch AQE is off and the hint unknown.
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    laid = df.hint("rebalance", *parts) if adaptive else df.repartition(*parts)
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         *parts
     ).parquet(path)
 

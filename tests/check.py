@@ -68,7 +68,13 @@ def main(names: list[str]) -> int:
     from lectern.session import local_session
 
     folder = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
-    spark = local_session("check")
+    if os.environ.get("CHECK_PLAIN"):
+        # A session with nothing set but its size, as another caller may bring it.
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = local_session("check")
     queries, oracles = entry.queries(), entry.oracle_sql()
     chosen = [q for q in queries if not names or any(n in q for n in names)]
     bad = 0
