@@ -6,42 +6,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import lexicon
-from lectern.functions.words import contains_any, strip, words
-
-
-def _share_found(terms: Column, context: Column) -> Column:
-    return F.size(F.filter(terms, lambda t: F.contains(context, t))) / F.size(terms)
+from lectern.functions.words import contains_any, let, strip, words
 
 
 def grounding(answer: Column, context: Column, floor: float = lexicon.GROUNDING_FLOOR) -> Column:
     """struct(grounded, reason). ``context`` is an array of texts."""
     said = F.lower(answer)
-    joined = F.lower(F.array_join(context, " "))
     terms = F.array_distinct(F.regexp_extract_all(said, F.lit(r"(?U)\b(\w{5,})\b"), F.lit(1)))
-    share = _share_found(terms, joined)
+    held = let(
+        F.lower(F.array_join(context, " ")),
+        lambda told: F.transform(terms, lambda t: F.contains(told, t)),
+    )
 
     def verdict(ok: bool, reason: Column | str) -> Column:
         why = F.lit(reason) if isinstance(reason, str) else reason
         return F.struct(F.lit(ok).alias("grounded"), why.alias("reason"))
 
+    def judge(found: Column) -> Column:
+        share = F.size(F.filter(found, lambda f: f)) / F.size(found)
+        low = F.format_string("Low context overlap (%.0f%%)", F.bround(share * 100, 0))
+        return (
+            F.when(F.size(found) == 0, verdict(True, "No key terms to validate"))
+            .when(share < floor, verdict(False, low))
+            .when(contains_any(said, lexicon.FORBIDDEN_PHRASES), verdict(False, "Model admitted lack of knowledge"))
+            .otherwise(verdict(True, "Grounded"))
+        )
+
     empty = (F.coalesce(answer, F.lit("")) == "") | (F.coalesce(F.size(context), F.lit(0)) == 0)
-    low = F.format_string("Low context overlap (%.0f%%)", F.bround(share * 100, 0))
     return (
         F.when(empty, verdict(False, "No answer or context"))
         .when(F.size(words(answer)) < 5, verdict(True, "Answer too short to validate"))
-        .when(F.size(terms) == 0, verdict(True, "No key terms to validate"))
-        .when(share < floor, verdict(False, low))
-        .when(contains_any(said, lexicon.FORBIDDEN_PHRASES), verdict(False, "Model admitted lack of knowledge"))
-        .otherwise(verdict(True, "Grounded"))
+        .otherwise(let(held, judge))
     )
 
 
 def context_relevant(question: Column, context: Column) -> Column:
     """Two words over three letters, or one over five, occur in the context."""
     asked = F.array_distinct(F.filter(words(F.lower(question)), lambda w: F.length(w) > 3))
-    lowered = F.lower(context)
-    found = F.filter(asked, lambda w: F.contains(lowered, w))
-    enough = (F.size(found) >= 2) | F.exists(found, lambda w: F.length(w) > 5)
+    found = let(F.lower(context), lambda told: F.filter(asked, lambda w: F.contains(told, w)))
+    enough = let(found, lambda ws: (F.size(ws) >= 2) | F.exists(ws, lambda w: F.length(w) > 5))
     return F.when(F.coalesce(F.length(strip(context)), F.lit(0)) < 20, False).otherwise(enough)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import lexicon
 from lectern.functions import gates
-from lectern.functions.words import contains_any, words
+from lectern.functions.words import contains_any, let, words
 
 TOP_PHRASES = 100
 
@@ -51,9 +51,9 @@ def _occurrences(logs: DataFrame, phrases: DataFrame, *cols: str) -> DataFrame:
     place; no join is needed.
     """
     listed = phrases.agg(F.array_sort(F.collect_set("phrase"))).scalar()
-    text = F.lower("original")
+    held = let(F.lower("original"), lambda text: F.filter("_all", lambda p: F.contains(text, p)))
     return logs.withColumn("_all", listed).select(
-        *cols, text.alias("_text"), F.explode(F.filter("_all", lambda p: F.contains(text, p))).alias("phrase")
+        *cols, F.lower("original").alias("_text"), F.explode(held).alias("phrase")
     )
 
 

@@ -52,19 +52,19 @@ def student_report(counts: DataFrame, catalogue: DataFrame, users: DataFrame | N
     which is the size of the catalogue. So learners x catalogue is never formed.
     """
     total = catalogue.agg(F.count(F.lit(1))).scalar()
-    known = known_counts(counts, catalogue)
-    sums = known.groupBy("user_id").agg(
-        F.sum("attempts").alias("total_attempts"),
-        F.sum("correct").alias("total_correct"),
-        F.count_if(mastered(F.col("correct"))).alias("mastered_questions"),
-        F.count_if(weak(F.col("attempts"), F.col("correct"))).alias("weak_questions"),
+    items = catalogue.select(*QUESTION_KEY).distinct().withColumn("_known", F.lit(True))
+    known = F.coalesce("_known", F.lit(False))
+    tries, right = F.when(known, F.col("attempts")).otherwise(0), F.when(known, F.col("correct")).otherwise(0)
+    sums = counts.join(items, QUESTION_KEY, "left").groupBy("user_id").agg(
+        F.sum(tries).alias("total_attempts"),
+        F.sum(right).alias("total_correct"),
+        F.count_if(mastered(right)).alias("mastered_questions"),
+        F.count_if(weak(tries, right)).alias("weak_questions"),
     )
-    learners = users if users is not None else counts.select("user_id").distinct()
     measures = ["total_attempts", "total_correct", "mastered_questions", "weak_questions"]
-    return (
-        learners.select("user_id").distinct().join(sums, "user_id", "left")
-        .select("user_id", total.alias("total_questions"), *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
-    )
+    if users is not None:
+        sums = users.select("user_id").distinct().join(sums, "user_id", "left").na.fill(0, measures)
+    return sums.select("user_id", total.alias("total_questions"), *measures)
 
 
 def class_report(reports: DataFrame, by: list[str] = ()) -> DataFrame:

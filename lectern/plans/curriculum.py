@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern import views
-from lectern.functions.words import words
+from lectern.functions.words import let, words
 from lectern.operators import curriculum
 from lectern.plans.questions import sql_words
 from lectern.plans.registry import query
@@ -43,8 +43,7 @@ def _made_files(documents):
                 F.array(question).alias("questions"),
             )
 
-        # A lambda over a one-element array names the words, so they are split once.
-        return F.get(F.transform(F.array(words(text)), shaped), F.lit(0))
+        return let(words(text), shaped)
 
     def subtopic(text, j):
         clauses = text.contains(",")
