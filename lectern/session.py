@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,14 +34,32 @@ def local_session(app: str = "lectern", cores: int | str = 8, **extra: str) -> S
     return spark
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only when the session names none (tests on one machine) is a local folder
-    made and recorded in the session, so every later caller shares it.
+    Only a session that runs in one process may go without: it gets a folder of
+    its own, removed when Python ends. On any other master a machine-local folder
+    would give each executor its own part of the rows, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return str(held.get()).rstrip("/")
+    if not re.match(r"local(\[[^\]]*\])?$", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_ROOTS:
         root = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        _LOCAL_ROOTS[context.applicationId] = root
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return _LOCAL_ROOTS[context.applicationId]
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
