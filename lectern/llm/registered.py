@@ -7,6 +7,7 @@ import importlib
 # Module and query of each operator, in the order of their numbers.
 NAMES = {
     "near_dedup": "op7_near_dedup",
+    "passages": "op8_substring_dedup",
     "chat": "op10_chat_windows",
 }
 
