@@ -6,6 +6,7 @@ import importlib
 
 # Module and query of each operator, in the order of their numbers.
 NAMES = {
+    "bpe": "op4_bpe_round_trip",
     "mixing": "op5_mix_sources",
     "near_dedup": "op7_near_dedup",
     "passages": "op8_substring_dedup",
