@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lectern.llm.words import Words, pieces
 
 SAMPLE = 8_000
-BUCKETS_LOG2, DIM = 18, 16
+BUCKETS_LOG2, DIM = 18, 8
 GRAMS = (3, 4, 5)
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -124,24 +124,24 @@ class _Adagrad:
         x -= self.rate * slope / np.sqrt(self.seen)
 
 
-def train(labels: np.ndarray, bags: list[list[bytes]], word_steps: int = 15, document_steps: int = 70, drop: float = 0.4, seed: int = 3) -> Model:
-    """Embeddings and softmax from documents given as their distinct words.
+def _tops(z: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest logit among each document's words, and the first word that has it."""
+    top = np.maximum.reduceat(z[ids], first)
+    at = np.flatnonzero(z[ids] == np.repeat(top, size))
+    return top, ids[at[np.searchsorted(at, first)]]
 
-    Each step leaves out a share of the n-grams, so no word hangs on a few of them
-    and a word with some letters changed keeps enough.
-    """
-    bias0 = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 1.5))
-    some = [i for i, b in enumerate(bags) if b]
-    if not some:
-        return Model(np.zeros(1 << BUCKETS_LOG2), bias0)
-    y = labels[some].astype(float)
+
+def _fit(y: np.ndarray, bags: list[list[bytes]], word_steps: int, document_steps: int, drop: float, seed: int) -> Model:
+    """Embeddings and softmax, trained together on documents given as their distinct words, none of them empty."""
+    bias0 = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
     number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for i in some for w in bags[i]], np.int64)
-    size = np.array([len(bags[i]) for i in some])
+    ids = np.array([number.setdefault(w, len(number)) for b in bags for w in b], np.int64)
+    size = np.array([len(b) for b in bags])
     first = np.cumsum(size) - size
     bucket, word = Bags(Words(pa.array([b"\n".join(number)]).cast(pa.large_binary()).view(pa.large_string()))).flat()
+    touched, bucket = np.unique(bucket, return_inverse=True)
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.05, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
+    embedding = rng.normal(0, 0.05, (len(touched), DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.array([-bias0 / 2, bias0 / 2])
     steps = _Adagrad(0.3), _Adagrad(0.05), _Adagrad(0.05)
@@ -161,14 +161,16 @@ def train(labels: np.ndarray, bags: list[list[bytes]], word_steps: int = 15, doc
         b, w, share = grams
         used = residual[w] != 0
         # The slope of an embedding is one number per bucket times the softmax weights.
-        per = np.bincount(b[used], (residual * share)[w[used]], 1 << BUCKETS_LOG2)
+        per = np.bincount(b[used], (residual * share)[w[used]], len(touched))
         slope = embedding.T @ per
         both = np.stack([-residual, residual]).sum(axis=1)
         steps[0].step(embedding, (per[:, None] * (softmax[:, 1] - softmax[:, 0])).astype(np.float32))
         steps[1].step(softmax, np.stack([-slope, slope], axis=1).astype(np.float32))
         steps[2].step(bias, both)
 
-    chance = lambda z: 1 / (1 + np.exp(-np.clip(z + bias[1] - bias[0], -40, 40)))
+    def chance(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z + bias[1] - bias[0], -40, 40)))
+
     seen = np.bincount(ids, minlength=len(number))
     rate = np.bincount(ids, np.repeat(y, size), len(number)) / seen
     weight = np.minimum(seen, 20) / len(y)
@@ -177,12 +179,58 @@ def train(labels: np.ndarray, bags: list[list[bytes]], word_steps: int = 15, doc
         learn(grams, (chance(logits(grams)) - rate) * weight)
     for _ in range(document_steps):
         grams = kept()
-        z = logits(grams)
-        top = np.maximum.reduceat(z[ids], first)
-        at = np.flatnonzero(z[ids] == np.repeat(top, size))
-        best = ids[at[np.searchsorted(at, first)]]
+        top, best = _tops(logits(grams), ids, first, size)
         learn(grams, np.bincount(best, (chance(top) - y) / len(y), len(number)))
-    return Model(embedding @ (softmax[:, 1] - softmax[:, 0]), bias[1] - bias[0])
+    value = np.zeros(1 << BUCKETS_LOG2)
+    value[touched] = embedding @ (softmax[:, 1] - softmax[:, 0])
+    return Model(value, bias[1] - bias[0])
+
+
+def train(labels: np.ndarray, bags: list[list[bytes]], word_steps: int = 12, document_steps: int = 50, drop: float = 0.4, seed: int = 3) -> Model:
+    """A model whose probabilities hold for documents that it has not seen.
+
+    Each step leaves out a share of the n-grams, so no word hangs on a few of them
+    and a word with some letters changed keeps enough. Scale and bias of the logit
+    come from two models that each judge the half of the documents that the other
+    learned from: with few labels the logits of unseen documents are the less certain.
+    """
+    some = [i for i, b in enumerate(bags) if b]
+    y = labels[some].astype(float)
+    bias0 = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 1.5))
+    if not some:
+        return Model(np.zeros(1 << BUCKETS_LOG2), bias0)
+    bags = [bags[i] for i in some]
+    options = (word_steps, document_steps, drop, seed)
+    model = _fit(y, bags, *options)
+    logit, half = np.zeros(len(y)), np.arange(len(y)) % 2
+    for k in (0, 1):
+        learn, judge = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        if len(learn) and len(judge):
+            other = _fit(y[learn], [bags[i] for i in learn], *options)
+            p = other.scores(pa.array([b"\n".join(bags[i]) for i in judge]).cast(pa.large_binary()).view(pa.large_string()))
+            logit[judge] = np.log(p / (1 - p)) - other.bias
+    return _calibrated(model, logit, y, bias0)
+
+
+def _calibrated(model: Model, logit: np.ndarray, y: np.ndarray, bias: float) -> Model:
+    """Scale and bias by logistic regression, drawn to scale 1 and the rate of the labels as if by one document each."""
+    prior = np.array([1.0, bias])
+    x = np.stack([logit, np.ones(len(y))], axis=1)
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float((np.logaddexp(0, z) - y * z).sum() + ((at - prior) ** 2).sum() / 2)
+
+    at = prior
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -40, 40)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), x.T @ (p - y) + (at - prior))
+        size = 1.0
+        while size > 1e-4 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+    scale = max(at[0], 0.0)
+    return Model(model.value * scale, at[1] if scale else bias)
 
 
 def held_out(doc_id: Column) -> Column:
