@@ -7,6 +7,7 @@ import importlib
 # Module and query of each operator, in the order of their numbers.
 NAMES = {
     "toxicity": "op1_toxicity",
+    "class_lm": "op2_class_lm",
     "bpe": "op4_bpe_round_trip",
     "mixing": "op5_mix_sources",
     "near_dedup": "op7_near_dedup",
