@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "toxicity": "op1_toxicity",
     "class_lm": "op2_class_lm",
+    "url_rules": "op3_url_rules",
     "bpe": "op4_bpe_round_trip",
     "mixing": "op5_mix_sources",
     "near_dedup": "op7_near_dedup",
