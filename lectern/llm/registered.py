@@ -9,6 +9,8 @@ NAMES = {
     "toxicity": "op1_toxicity",
     "class_lm": "op2_class_lm",
     "url_rules": "op3_url_rules",
+    "ann": "op6_ann_top20",
+    "pivots": "op9_exact_top5",
     "bpe": "op4_bpe_round_trip",
     "mixing": "op5_mix_sources",
     "near_dedup": "op7_near_dedup",
