@@ -1,7 +1,66 @@
-"""The corpus pipeline."""
+"""The training-corpus pipeline: toxic documents go, one document of each group of near copies stays, repeated passages
+go, sources are mixed to target weights, and what remains is encoded.
 
-STAGES = []
+Every stage works on all rows that the one before kept, and all but the last return the
+columns of ``documents``. Texts keep their form where a stage does not change them.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import bpe, mixing, near_dedup, passages, toxicity
+from lectern.llm.storage import stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, "_llm_score").where("_llm_score < 0.5").drop("_llm_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (similarity 0.8 or more) the document of least doc_id."""
+    kept = near_dedup.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_llm_kept")).distinct()
+    # A null doc_id is linked with nothing, so it stays.
+    return docs.join(kept, F.col("doc_id") == F.col("_llm_kept"), "left").where("doc_id IS NULL OR _llm_kept IS NOT NULL").drop("_llm_kept")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that also stand in a document of smaller id; one that loses all its words goes."""
+    cut = passages.remove_repeats(docs).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("_llm_id"), F.col("text").alias("_llm_text")).dropDuplicates(["_llm_id"])
+    out = docs.join(cut, F.col("doc_id") == F.col("_llm_id"), "left").where("_llm_id IS NULL OR _llm_text <> ''")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_llm_id").isNull(), F.col("n_chars")).otherwise(F.length("_llm_text")))
+    return out.withColumn("text", F.coalesce("_llm_text", "text")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix: a row per document and pass, with the words that the pass takes."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with the digests of ids and of the decoded text."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix),
+    ("bpe", encode),
+]
+
+# Training, permutations and BPE are not SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -255,17 +255,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train(got.column("toxic").to_numpy() > 0, bags)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with a column ``score``."""
-    columns = docs.columns
-    text = columns.index("text")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows with a column ``name`` for the score; it takes the place of one that is there."""
+    docs = docs.drop(name)
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield batch.append_column("score", pa.array(model.scores(batch.column(text))))
+            yield batch.append_column(name, pa.array(model.scores(batch.column(text))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
