@@ -320,6 +320,23 @@ def upserted(spark, folder):
     return tables.read_table(spark, path).select("id", "collection", "version", "source")
 
 
+@query(
+    "k1_out_of_order",
+    """
+SELECT doc_id AS id, CAST(CASE WHEN doc_id % 3 = 0 THEN 9 WHEN doc_id % 2 = 0 THEN 5 ELSE 2 END AS INTEGER) AS seq,
+       CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 2 = 0 THEN lang ELSE text END AS value FROM documents""",
+)
+def upserted_out_of_order(spark, folder):
+    """Three batches whose order is not that of their arrival, each asking for another number of buckets."""
+    path = shared_folder(spark, "ordered")
+    docs = views.table(spark, folder, "documents")
+    batches = [(5, "doc_id % 2 = 0", "lang"), (9, "doc_id % 3 = 0", "source"), (2, "true", "text")]
+    for n, (seq, some, value) in enumerate(batches):
+        rows = docs.where(some).select(F.col("doc_id").alias("id"), F.lit(seq).alias("seq"), F.col(value).alias("value"))
+        tables.upsert(rows, path, ["id"], ["seq"], buckets=4 << n)
+    return tables.read_table(spark, path).select("id", "seq", "value")
+
+
 @query(
     "s7_progress_scan",
     with_views("attempts") + """

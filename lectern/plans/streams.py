@@ -195,42 +195,49 @@ def feedback(spark, folder):
     return log.select("logged", kept.scalar().alias("review"))
 
 
+# The chunks of the corpus in which every other document has half its text.
+_CHUNKS_AGAIN = _CHUNKS.replace("documents", "halved").replace("WITH RECURSIVE", """WITH RECURSIVE halved AS (
+SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, length(text) // 2) ELSE text END AS text) FROM documents),""", 1)
+
+
 @query(
     "r6_incremental_ingest",
-    _CHUNKS + """
-SELECT concat('neb_', lang, '_grade_', 8 + doc_id % 5) AS collection, count(*) AS chunks, CAST(sum(length(c.text)) AS BIGINT) AS chars
-FROM chunks c JOIN documents USING (doc_id) GROUP BY 1""",
+    _CHUNKS_AGAIN + """
+SELECT concat('neb_', lang, '_grade_', 8 + doc_id % 5) AS collection, doc_id, chunk_id, c.text FROM chunks c JOIN documents USING (doc_id)""",
 )
 def incremental_ingest(spark, folder):
-    """The corpus streamed in twice: the second run replaces what the first wrote."""
+    """The corpus streamed in twice; in the second run every other document has half its text, and fewer chunks."""
     path = shared_folder(spark, "ingested")
-    for _ in range(2):
-        docs = views.corpus_of(jobs.read_table_stream(spark, folder, "documents"))
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    for text in (F.col("text"), F.when(F.col("doc_id") % 2 == 0, half).otherwise(F.col("text"))):
+        docs = views.corpus_of(jobs.read_table_stream(spark, folder, "documents")).withColumn("text", text)
         jobs.incremental_ingest(docs, path).awaitTermination()
-    rows = tables.read_table(spark, path)
-    return rows.groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    return tables.read_table(spark, path).select("collection", "doc_id", "chunk_id", "text")
+
+
+_LATER = _SEMANTIC.replace("r.us > e.us", "r.vec_id % 2 = 1 AND e.vec_id % 2 = 0 AND r.us > e.us")
 
 
 @query(
     "r7_semantic_stream",
-    f"""WITH {_SEMANTIC}
-SELECT count(*) AS requests, count(entry_id) AS hits, count(*) - count(entry_id) AS stored FROM stamped LEFT JOIN best ON request_id = vec_id""",
+    f"""WITH {_LATER}
+SELECT vec_id AS request_id, entry_id, round(score, 6) AS score, entry_id IS NULL AS stored FROM stamped LEFT JOIN best ON request_id = vec_id""",
 )
 def semantic_stream(spark, folder):
-    """Vectors stream in and ask a cache that holds them all; the misses are stored."""
-    rows = _stamped(spark, folder)
+    """From an empty cache: the vectors of even id all miss and are stored; those of odd id then ask for them."""
     entries, hits = shared_folder(spark, "entries"), shared_folder(spark, "hits")
-    rows.withColumnRenamed("vec_id", "entry_id").write.parquet(f"{entries}/batch=-1")
     events = _events(spark, folder).select(F.col("event_id").alias("vec_id"), "us")
-    stream = jobs.read_table_stream(spark, folder, "embeddings").join(events, "vec_id").select(
-        F.col("vec_id").alias("request_id"), F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("subject"),
-        F.lit("").alias("grade"), "us", "embedding",
+    for parity in (0, 1):
+        stream = jobs.read_table_stream(spark, folder, "embeddings").join(events, "vec_id").where(F.col("vec_id") % 2 == parity).select(
+            F.col("vec_id").alias("request_id"), F.concat(F.lit("s"), (F.col("label") % 3).cast("string")).alias("subject"),
+            F.lit("").alias("grade"), "us", "embedding",
+        )
+        jobs.semantic_cache(stream, entries, hits, threshold=0.3, ttl=DAY).awaitTermination()
+    found = spark.read.parquet(hits).select("request_id", "entry_id", F.round("score", 6).alias("score"), F.lit(False).alias("stored"))
+    kept = spark.read.parquet(entries).select(
+        F.col("entry_id").alias("request_id"), F.lit(None).cast("long").alias("entry_id"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("stored"),
     )
-    jobs.semantic_cache(stream, entries, hits, threshold=0.3, ttl=DAY).awaitTermination()
-    n = rows.agg(F.count(F.lit(1)).alias("requests"))
-    found = spark.read.parquet(hits).agg(F.count(F.lit(1))).scalar()
-    stored = spark.read.parquet(entries).where("batch >= 0").agg(F.count(F.lit(1))).scalar()
-    return n.select("requests", found.alias("hits"), stored.alias("stored"))
+    return found.unionByName(kept)
 
 
 @query(

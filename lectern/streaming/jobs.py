@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,36 +55,63 @@ def feedback(logs: DataFrame, path: str, review: str, checkpoint: str | None = N
     return start(logs, write, "append", checkpoint)
 
 
-def incremental_ingest(docs: DataFrame, path: str, checkpoint: str | None = None, **size) -> StreamingQuery:
-    """Chunk arriving documents and upsert them; a document seen again replaces its chunks."""
+def incremental_ingest(
+    docs: DataFrame, path: str, checkpoint: str | None = None, failed: str | None = None, order: str | None = None, **size
+) -> StreamingQuery:
+    """Chunk arriving documents; a document seen again replaces all its chunks, also by fewer or none.
 
-    def write(batch: DataFrame, number: int) -> None:
-        chunks = ingest.chunk_documents(batch, **size).where("error IS NULL")
-        rows = chunks.withColumns({
-            "id": ingest.chunk_key(F.col("collection"), F.col("doc_id"), F.col("chunk_id")), "seq": F.lit(number).cast("long"),
-        })
-        tables.upsert(rows.drop("error"), path, ["collection", "id"], ["seq"], within=["collection"], buckets=4)
+    The newest document by the column ``order`` stays, or by time of arrival where
+    there is none, whatever the checkpoint. Documents that fail are appended to
+    ``failed`` (beside the table unless given) and leave stored chunks alone.
+    """
+    failures = failed or f"{path.rstrip('/')}-failed"
+    keys = ["collection", "doc_id"]
 
-    return start(docs, write, "append", checkpoint)
+    def write(batch: DataFrame, number: int) -> None:
+        seq = F.col(order).cast("long") if order else F.unix_micros(F.current_timestamp())
+        # A document that comes twice in one batch: the newest, and of equals the one with the greatest columns.
+        once = tables.latest(batch.withColumn("seq", seq), keys, ["seq", *[c for c in batch.columns if c not in keys]]).persist()
+        chunks = ingest.chunk_documents(once, **size)
+        # One folder per checkpoint and batch: a batch that is retried replaces its own output.
+        run = hashlib.md5(where.encode()).hexdigest()[:12]
+        chunks.where("error IS NOT NULL").write.mode("overwrite").parquet(f"{failures}/run={run}/batch={number}")
+        rows = chunks.where("error IS NULL").withColumn("id", ingest.chunk_key(F.col("collection"), F.col("doc_id"), F.col("chunk_id")))
+        sound = once.where("text IS NOT NULL").select(*keys, "seq")
+        tables.replace_groups(rows.where("text IS NOT NULL").drop("error"), sound, path, keys, "seq", within=["collection"], buckets=4)
+        once.unpersist()
+
+    where = checkpoint or shared_folder(docs.sparkSession, "stream")
+    return start(docs, write, "append", where)
 
 
 def semantic_cache(
     requests: DataFrame, entries_path: str, hits_path: str, threshold: float = 0.88, ttl: int = cache.TTL, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Answer each micro-batch from the cache table, then add its misses as new entries."""
+    """Answer each micro-batch from the cache table, then add its misses as new entries. The table may not exist yet.
+
+    What a batch writes lies under its checkpoint's name and its number, so a batch
+    that is retried replaces its own rows, and another run adds to them.
+    """
+    where = checkpoint or shared_folder(requests.sparkSession, "stream")
+    run = hashlib.md5(where.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        entries = tables.read_table(spark, entries_path).where(F.col("batch") < number)
+        entries = tables.read_table(spark, entries_path)
+        if entries is None:
+            entries = batch.withColumnRenamed("request_id", "entry_id").limit(0)
+        else:
+            entries = entries.where(~((F.col("run") == run) & (F.col("batch") >= number)))
         hits = cache.semantic_hits(batch, entries, threshold, ttl)
-        hits.write.mode("overwrite").parquet(f"{hits_path}/batch={number}")
-        answered = spark.read.parquet(f"{hits_path}/batch={number}")
+        here = f"run={run}/batch={number}"
+        hits.write.mode("overwrite").parquet(f"{hits_path}/{here}")
+        answered = spark.read.parquet(f"{hits_path}/{here}")
         new = cache.misses(batch, answered).withColumnRenamed("request_id", "entry_id")
-        new.write.mode("overwrite").parquet(f"{entries_path}/batch={number}")
+        new.write.mode("overwrite").parquet(f"{entries_path}/{here}")
         batch.unpersist()
 
-    return start(requests, write, "append", checkpoint)
+    return start(requests, write, "append", where)
 
 
 def keyed_scan(stream: DataFrame, key: str, us: str, tie: str, step: ordered.Step, keep: int, name: str, delay: str = "10 minutes") -> DataFrame:

@@ -66,6 +66,54 @@ def test_upsert_replaces_inserts_and_keeps(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "none")) is None
 
 
+def test_upsert_keeps_the_newest_and_its_bucket_count(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda seq, ids, v: spark.createDataFrame([(str(i), seq, v) for i in ids], "id string, seq int, v string")
+    tables.upsert(make(5, range(20), "five"), path, ["id"], ["seq"], buckets=2)
+    tables.upsert(make(3, range(30), "three"), path, ["id"], ["seq"])
+    tables.upsert(make(7, range(0, 30, 3), "seven"), path, ["id"], ["seq"], buckets=9)
+    rows = tables.read_table(spark, path)
+    expected = {str(i): "seven" if i % 3 == 0 else "five" if i < 20 else "three" for i in range(30)}
+    assert {r["id"]: r["v"] for r in rows.collect()} == expected and rows.count() == 30
+    assert rows.select("bucket").distinct().count() == 2
+    again = str(tmp_path / "again")
+    tables.rebucket(rows, again, ["id"], buckets=8)
+    tables.upsert(make(9, [1], "nine"), again, ["id"], ["seq"])
+    assert {r["id"]: r["v"] for r in tables.read_table(spark, again).collect()} == expected | {"1": "nine"}
+    bare = str(tmp_path / "bare")
+    make(1, [1], "x").write.parquet(bare)
+    with pytest.raises(ValueError):
+        tables.upsert(make(1, [1], "x"), bare, ["id"], ["seq"])
+
+
+def test_ingest_again_replaces_all_chunks(spark, tmp_path):
+    schema = "doc_id long, collection string, text string"
+    path, word = str(tmp_path / "out"), "some words here. "
+
+    def run(n, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{n}"))
+        jobs.incremental_ingest(stream, path).awaitTermination()
+        return {r["doc_id"]: r["n"] for r in tables.read_table(spark, path).groupBy("doc_id").agg(F.count("id").alias("n")).collect()}
+
+    first = run(1, [(1, "a", word * 150), (2, "a", word * 150), (3, "b", word * 9), (4, "b", None)])
+    assert first[1] > 3 and set(first) == {1, 2, 3}
+    second = run(2, [(1, "a", word * 9), (1, "a", word * 9), (3, "b", ""), (2, "a", None)])
+    assert second == {1: 1, 2: first[2]} or second == {1: 1, 2: first[2], 3: 1}
+    failed = spark.read.parquet(f"{path}-failed").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in failed) == [2, 4]
+
+
+def test_stream_cache_starts_from_nothing_and_goes_on(spark, tmp_path):
+    schema = "request_id long, subject string, grade string, us long, embedding array<float>"
+    for n in range(2):
+        spark.createDataFrame([(n, "s", "", 10 + n, [1.0, 0.1 * n])], schema).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{n}"))
+        jobs.semantic_cache(stream, str(tmp_path / "entries"), str(tmp_path / "hits"), ttl=100).awaitTermination()
+    assert [(r["request_id"], r["entry_id"]) for r in spark.read.parquet(str(tmp_path / "hits")).collect()] == [(1, 0)]
+    assert [r["entry_id"] for r in spark.read.parquet(str(tmp_path / "entries")).collect()] == [0]
+
+
 def test_progress_files_import_and_reset(spark, tmp_path):
     doc = {"Sci": {"T": {"C": {"questions": [{"question": "q", "attempts": 5, "correct": 0}]}}}}
     (tmp_path / "progress_Ann.json").write_text(json.dumps(doc))
@@ -131,7 +179,7 @@ def test_stream_cache_answers_later_batches(spark, tmp_path):
     for n in range(2):
         spark.createDataFrame([(n, "s", "", 10 + n, [1.0, 0.1 * n])], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     seed = spark.createDataFrame([(9, "other", "", 1, [0.0, 1.0])], schema.replace("request_id", "entry_id"))
-    seed.write.parquet(str(tmp_path / "entries/batch=-1"))
+    seed.write.parquet(str(tmp_path / "entries/run=seed/batch=-1"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.semantic_cache(stream, str(tmp_path / "entries"), str(tmp_path / "hits"), ttl=100, checkpoint=str(tmp_path / "cp")).awaitTermination()
     assert [(r["request_id"], r["entry_id"]) for r in spark.read.parquet(str(tmp_path / "hits")).collect()] == [(1, 0)]
