@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern import lexicon
 from lectern.functions import gates
 from lectern.functions.words import contains_any, let, words
+from lectern.operators.layout import written
 
 TOP_PHRASES = 100
 
@@ -30,13 +31,9 @@ def low_confidence_logs(logs: DataFrame, floor: float = 0.7) -> DataFrame:
 
 
 def ngram_counts(logs: DataFrame) -> DataFrame:
-    """N-gram frequencies. Equal questions are merged first and weigh in once."""
-    merged = logs.groupBy(F.lower("original").alias("text")).agg(F.count(F.lit(1)).alias("weight"))
-    tokens = merged.select("weight", words(F.col("text")).alias("w"))
-    return (
-        tokens.select("weight", F.explode(ngrams(F.col("w"))).alias("phrase"))
-        .groupBy("phrase").agg(F.sum("weight").alias("frequency"))
-    )
+    """N-gram frequencies. Counts are summed before the shuffle; no raw text is moved."""
+    tokens = logs.select(words(F.lower("original")).alias("w"))
+    return tokens.select(F.explode(ngrams(F.col("w"))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def top_ngrams(counts: DataFrame, n: int = TOP_PHRASES) -> DataFrame:
@@ -74,7 +71,8 @@ def mine_phrases(logs: DataFrame, min_frequency: int = 10, min_confidence: float
     The 100 most common n-grams are taken before the other conditions apply.
     """
     low = low_confidence_logs(logs)
-    top = top_ngrams(ngram_counts(low)).where(
+    # Used twice below: written, so the n-grams are counted once and the joins see its size.
+    top = written(top_ngrams(ngram_counts(low)), "phrases").where(
         (F.col("frequency") >= min_frequency) & gates.is_noise_phrase(F.col("phrase"))
     )
     starting = (

@@ -9,7 +9,7 @@ from lectern.functions import answers
 from lectern.operators import grading, retrieval
 from lectern.plans.questions import EDGE, _sql_any, sql_words
 from lectern.plans.registry import query
-from lectern.plans.retrieval import _FITTED
+from lectern.plans.retrieval import BUDGET, _FITTED
 from lectern.views import with_views
 
 _LONG = f"list_distinct(list_filter(regexp_split_to_array(lower(said), '{EDGE}+'), lambda w: length(w) >= 5))"
@@ -87,7 +87,7 @@ def confidence(spark, folder):
     with_views("store", "query_vectors") + f", {_FITTED} SELECT query_id, round(avg(final_score), 6) AS mean_score, count(*) AS chunks FROM fitted GROUP BY query_id",
 )
 def mean_score(spark, folder):
-    used = retrieval.retrieve_context(views.query_vectors(spark, folder), views.vector_store(spark, folder))
+    used = retrieval.retrieve_context(views.query_vectors(spark, folder), views.vector_store(spark, folder), budget=BUDGET)
     return used.groupBy("query_id").agg(
         F.round(F.avg("final_score"), 6).alias("mean_score"), F.count(F.lit(1)).alias("chunks")
     )
@@ -100,7 +100,7 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_t
 SELECT query_id, left(string_agg(text, concat(chr(10), chr(10)) ORDER BY p) FILTER (WHERE p <= 2), 600) AS context FROM ordered GROUP BY query_id""",
 )
 def joined_context(spark, folder):
-    used = retrieval.retrieve_context(views.query_vectors(spark, folder), views.vector_store(spark, folder))
+    used = retrieval.retrieve_context(views.query_vectors(spark, folder), views.vector_store(spark, folder), budget=BUDGET)
     # A query keeps at most two hits of each of its few collections.
     texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda s: s["text"])
     return used.groupBy("query_id").agg(answers.joined_context(texts).alias("context"))

@@ -15,18 +15,12 @@ from lectern.sources import curriculum as source
 from lectern.views import with_views
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def _files(spark, folder):
-    """The curriculum files, made from the documents once per session and stored."""
-    made = (spark.sparkContext.applicationId, folder)
-    if made not in _STORED:
-        path = shared_folder(spark, "curricula")
-        spread = spark.sparkContext.defaultParallelism
-        _made_files(views.table(spark, folder, "documents").repartition(spread, "doc_id")).write.parquet(path)
-        _STORED[made] = path
-    return spark.read.parquet(_STORED[made])
+    """The curriculum files, made from the documents and stored."""
+    path = shared_folder(spark, "curricula")
+    spread = spark.sparkContext.defaultParallelism
+    _made_files(views.table(spark, folder, "documents").repartition(spread, "doc_id")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _made_files(documents):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern import lexicon, views
 from lectern.functions import gates
 from lectern.operators import mining
+from lectern.operators.layout import written
 from lectern.plans.questions import _sql_any, _sql_match, sql_words
 from lectern.plans.registry import query
 from lectern.views import with_views
@@ -90,5 +91,5 @@ FROM (SELECT *, CAST(row_number() OVER (ORDER BY confidence * frequency DESC, ph
 JOIN (SELECT phrase, string_agg(concat('  - "', original, '"'), chr(10) ORDER BY example) AS ex FROM examples GROUP BY phrase) USING (phrase)""",
 )
 def report(spark, folder):
-    found = _mined(spark, folder)
+    found = written(_mined(spark, folder), "mined")
     return mining.report_lines(found, mining.phrase_examples(_logs(spark, folder), found, SEQ))

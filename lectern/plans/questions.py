@@ -141,8 +141,8 @@ def formal(spark, folder):
     _chain() + "SELECT intent, count(*) AS n FROM normal GROUP BY intent",
 )
 def intent_counts(spark, folder):
-    """Without the fuzzy step nothing leaves the JVM."""
-    out = normalise.normalise_questions(views.messy_questions(spark, folder), fuzzy=False)
+    """Of the whole chain."""
+    out = normalise.normalise_questions(views.messy_questions(spark, folder))
     return out.groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
 
 

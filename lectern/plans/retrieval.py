@@ -10,6 +10,9 @@ from lectern.operators import retrieval
 from lectern.plans.registry import query
 from lectern.views import with_views
 
+# Whole documents stand in the store, so the queries' context is longer than the default.
+BUDGET = 20_000
+
 _HITS = """
 scored AS (
   SELECT q.query_id, s.collection, s.vec_id, s.text,
@@ -29,7 +32,7 @@ _FITTED = f"""{_RANKED},
 fitted AS (
   SELECT * FROM (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY place
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_length
-                 FROM ranked WHERE final_score >= 0.35) WHERE running_length < 400)"""
+                 FROM ranked WHERE final_score >= 0.35) WHERE running_length < {BUDGET})"""
 
 
 def _six(*names: str):
@@ -174,7 +177,7 @@ SELECT query_id, vec_id, collection, round(score, 6) AS original_score, round(fi
 FROM fitted""",
 )
 def context(spark, folder):
-    out = retrieval.retrieve_context(views.query_vectors(spark, folder), views.vector_store(spark, folder))
+    out = retrieval.retrieve_context(views.query_vectors(spark, folder), views.vector_store(spark, folder), budget=BUDGET)
     return out.select(
         "query_id", "vec_id", "collection", F.round("score", 6).alias("original_score"), *_six("final_score"),
         "source_type", "running_length", "position", "text",
@@ -195,7 +198,7 @@ scored AS (
   FROM weighed WHERE length(trim(text)) >= 10)
 SELECT doc_id, CAST(priority AS INTEGER) AS priority, round(final_score, 6) AS final_score,
        CASE WHEN priority = 100 THEN 'NEB' ELSE 'External' END AS source_type,
-       CAST(row_number() OVER (PARTITION BY doc_id % 50 ORDER BY priority <> 100, final_score DESC, doc_id) AS INTEGER) AS position
+       CAST(row_number() OVER (PARTITION BY doc_id // 20 ORDER BY priority <> 100, final_score DESC, doc_id) AS INTEGER) AS position
 FROM scored WHERE final_score >= 0.35""",
 )
 def priority_order(spark, folder):
@@ -206,7 +209,7 @@ def priority_order(spark, folder):
         .when(n % 6 == 3, "gsm8k_").when(n % 6 == 4, "unknown").otherwise("")
     )
     hits = views.corpus(spark, folder).select(
-        (n % 50).alias("query_id"), n.alias("vec_id"), F.lit("c").alias("collection"), "grade", "text",
+        F.floor(n / 20).alias("query_id"), n.alias("vec_id"), F.lit("c").alias("collection"), "grade", "text",
         F.concat(prefix, "source").alias("source"), ((n % 97) / 97.0).alias("score"),
     )
     ranked = retrieval.rank_hits(hits, grade="grade", query_text="text")

@@ -97,21 +97,21 @@ def vector_store(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return (
         table(spark, folder, "embeddings")
-        .where(F.col("vec_id") >= 20)
         .join(docs, "vec_id")
         .select(
             "vec_id",
             F.concat(F.lit("c"), F.col("label").cast("string")).alias("collection"),
             "embedding",
-            F.substr("text", F.lit(1), (40 + F.col("vec_id") % 160).cast("int")).alias("text"),
+            "text",
         )
     )
 
 
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated query set: every fiftieth vector, so queries grow with the store they are put to."""
     return (
         table(spark, folder, "embeddings")
-        .where(F.col("vec_id") < 20)
+        .where(F.col("vec_id") % 50 == 0)
         .select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     )
 
@@ -153,11 +153,10 @@ SQL_VIEWS = {
         SELECT doc_id, concat('neb_', lang, '_grade_', CAST(8 + doc_id % 5 AS VARCHAR)) AS collection,
                lang AS subject, 8 + doc_id % 5 AS grade, source, text FROM documents""",
     "store": """
-        SELECT vec_id, concat('c', CAST(label AS VARCHAR)) AS collection, embedding,
-               substr(text, 1, CAST(40 + vec_id % 160 AS INTEGER)) AS text
-        FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id >= 20""",
+        SELECT vec_id, concat('c', CAST(label AS VARCHAR)) AS collection, embedding, text
+        FROM embeddings JOIN documents ON doc_id = vec_id""",
     "query_vectors": """
-        SELECT vec_id AS query_id, embedding AS query_embedding FROM embeddings WHERE vec_id < 20""",
+        SELECT vec_id AS query_id, embedding AS query_embedding FROM embeddings WHERE vec_id % 50 = 0""",
     "page_text": """
         SELECT page_id % 50 AS doc_id, CAST(page_id // 50 AS INTEGER) AS page_no, html AS text FROM pages""",
 }
