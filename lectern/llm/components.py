@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.layout import written
+from lectern.llm.storage import stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,19 +18,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     skewed join. Loops and rows with a null end link nothing.
     """
     both = edges.select("a", "b").where("a != b")
-    edges = written(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while True:
         # Large star: every larger neighbour of u is linked to the smallest of u and its neighbours.
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = written(large, "large-star")
+        large = stored(large, "large-star")
         # Small star: u and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a != b").distinct(), "small-star")
+        edges = stored(small.where("a != b").distinct(), "small-star")
         new = _state(edges)
         if new == state:
             break

@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
+from lectern.llm.storage import stored
 from lectern.llm.words import Words, mix, pieces
-from lectern.operators.layout import written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 BATCH = 32
-BLOCK = 2000
+BLOCK_BYTES = 32 << 20
+SMALL = 32
 
 _MULTIPLY = np.random.default_rng(77).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -175,45 +176,84 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, m
     return _pair_columns(near, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long")
 
 
-def between_components(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, miss: float, partners: int) -> DataFrame:
-    """Candidates (a, b, more) within a bucket and between components.
+def mixed_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with the bucket's size in rows and bytes.
 
-    For each member outside its bucket's largest component, the ``partners``
-    likeliest of each block; ``more`` says that the block holds further ones.
+    ``outside``: not of the component that has most bytes in the bucket.
     """
-    least = fewest_matches(percent / 100, miss)
     held = members.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    held = held.join(mixed, "key")
-    sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("m"), F.max("n").alias("most"))
-    held = (
-        held.join(top, "key").join(reps.select("rep", "n_shingles", "sig"), "rep")
-        .withColumn("outside", F.col("label") != F.col("top"))
-        .withColumn("n_all", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("n_out", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int"))
+    held = held.join(mixed, "key").join(reps.select("rep", "n_shingles"), "rep")
+    sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n_shingles") * 8 + 4 * HASHES).alias("bytes"))
+    top = sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("bytes", "label")).alias("top"), F.sum("m").alias("m"),
+        F.sum("bytes").alias("bytes"), (F.sum("bytes") - F.max("bytes")).alias("bytes_outside"),
     )
-    columns = ["key", "rep", "label", "n_shingles", "sig", "outside"]
+    return held.join(top, "key").withColumn("outside", F.col("label") != F.col("top"))
+
+
+def small_bucket_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) between components in buckets of up to ``SMALL`` members: at most a constant per member."""
+    small = mixed.where(F.col("m") <= SMALL).select("key", "rep", "label", "n_shingles")
+    other = small.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles")])
+    return small.join(other, "key").where("rep < rep_b AND label <> label_b").where(
+        100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")
+    ).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def joining_links(asks: pd.DataFrame, rest: pd.DataFrame, percent: int, least: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join components: of each row of ``asks`` with the rows of ``rest``, the likeliest candidates first.
+
+    Components grow as links are found, so rows that are joined already are not compared again.
+    """
+    sig = np.stack([np.frombuffer(s, np.uint32) for s in rest["sig"]])
+    sets = [np.frombuffer(s, np.uint64) for s in rest["shingles"]]
+    rep, outside, size = (rest[c].to_numpy() for c in ("rep", "outside", "n_shingles"))
+    label, label_asks = rest["label"].to_numpy().copy(), asks["label"].to_numpy().copy()
+    found = []
+    for k, (a, n, s, own) in enumerate(zip(asks["rep"], asks["n_shingles"], asks["sig"], asks["shingles"])):
+        own = np.frombuffer(own, np.uint64)
+        # Of two members outside, the larger asks.
+        at = np.flatnonzero((label != label_asks[k]) & ~(outside & (rep > a)) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
+        alive, matches = posterior_keeps(np.frombuffer(s, np.uint32), sig[at], least)
+        todo = at[alive[np.argsort(-matches[alive], kind="stable")]]
+        while len(todo):
+            some, todo = todo[:32], todo[32:]
+            every = np.concatenate([sets[b] for b in some])
+            place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            both = np.add.reduceat(own[place] == every, np.r_[0, np.cumsum(size[some])[:-1]], dtype=np.int64)
+            for b in some[100 * both >= percent * (n + size[some] - both)]:
+                if label[b] != label_asks[k]:
+                    found.append((min(a, rep[b]), max(a, rep[b])))
+                    gone, stays = label[b], label_asks[k]
+                    label[label == gone] = stays
+                    label_asks[label_asks == gone] = stays
+            todo = todo[label[todo] != label_asks[k]]
+    return found
+
+
+def large_bucket_links(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) in larger buckets: members outside the largest component against the others, in blocks of bounded bytes."""
+    least = fewest_matches(percent / 100, miss)
+    held = mixed.where(F.col("m") > SMALL).withColumn("n_all", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+    held = held.withColumn("n_out", F.ceil(F.col("bytes_outside") / BLOCK_BYTES).cast("int"))
+    held = held.join(reps.select("rep", "sig"), "rep").join(sets, "rep")
+    columns = ["key", "rep", "label", "n_shingles", "sig", "shingles", "outside"]
     all_block, out_block = F.pmod(F.xxhash64("rep"), "n_all").cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), "n_out").cast("int")
     left = held.where("outside").select(*columns, out_block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("asks"))
     right = held.select(*columns, F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), all_block.alias("j"), F.lit(False).alias("asks"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group[group["asks"]]
+        asks = group[group["asks"]].sort_values("rep", ignore_index=True)
         rest = group[~group["asks"]].sort_values("rep", ignore_index=True)
-        found = []
-        if len(asks) and len(rest):
-            sig = np.stack([np.frombuffer(s, np.uint32) for s in rest["sig"]])
-            rep, label, size, outside = (rest[c].to_numpy() for c in ("rep", "label", "n_shingles", "outside"))
-            for a, l, n, s in zip(asks["rep"], asks["label"], asks["n_shingles"], asks["sig"]):
-                # Of two members outside, the larger asks.
-                at = np.flatnonzero((label != l) & ~(outside & (rep > a)) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
-                alive, matches = posterior_keeps(np.frombuffer(s, np.uint32), sig[at], least)
-                best = alive[np.argsort(-matches[alive], kind="stable")[:partners]]
-                found += [(min(a, b), max(a, b), len(alive) > partners) for b in rep[at[best]]]
-        return pd.DataFrame(found, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
-
-    both = left.unionByName(right)
-    return both.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, more boolean")
+        found = joining_links(asks, rest, percent, least) if len(asks) and len(rest) else []
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return left.unionByName(right).groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def component_labels(links: DataFrame) -> DataFrame:
+    return stored(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
@@ -223,31 +263,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
     five-word shingles. A link at the threshold shares no band with probability below
     3e-7 at 85 percent; ``miss`` bounds the loss in pruning by posterior similarity.
     """
-    sketch = written(sketches(docs), "sketches")
+    sketch = stored(sketches(docs), "sketches")
     # One row per class; partial aggregation meets a large group of copies before the shuffle.
     reps = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r"))
-    reps = written(reps.select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles"), "digest", F.col("r.sig")), "classes")
-    members = written(band_members(reps), "bands")
-    sets = written(class_sets(docs, reps.join(members.select("rep").distinct(), "rep", "left_semi")), "sets")
+    reps = stored(reps.select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles"), "digest", F.col("r.sig")), "classes")
+    members = stored(band_members(reps), "bands")
+    sets = stored(class_sets(docs, reps.join(members.select("rep").distinct(), "rep", "left_semi")), "sets")
 
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = written(stars, "pairs")
-    links = written(verified(tested, reps, sets, percent, miss), "links")
-    labels = written(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
-    partners = 4
-    while True:
-        asked = written(between_components(members, labels, reps, percent, miss, partners), "between")
-        new = written(asked.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(new, reps, sets, percent, miss), "links")
-        found = more.limit(1).count()
-        if not found and not asked.where("more").limit(1).count():
-            break
-        tested = tested.unionByName(new)
-        if found:
-            links = links.unionByName(more)
-            labels = written(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
-        else:
-            partners *= 4
+    links = stored(verified(stored(stars, "pairs"), reps, sets, percent, miss), "links")
+    labels = component_labels(links)
+    mixed = stored(mixed_buckets(members, labels, reps), "mixed")
+    pairs = stored(small_bucket_pairs(mixed, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = stored(
+        verified(pairs, reps, sets, percent, miss).unionByName(large_bucket_links(mixed, reps, sets, percent, miss)), "links"
+    )
+    if more.limit(1).count():
+        labels = component_labels(links.unionByName(more))
     by_class = reps.join(labels, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("label"))
     joined = sketch.drop("sig").join(by_class, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("label", "doc_id")
