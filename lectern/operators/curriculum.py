@@ -13,9 +13,10 @@ from lectern.functions import gates, similarity
 from lectern.functions.words import strip
 from lectern.operators import blocks
 from lectern.operators.layout import spread_small, written
-from lectern.sources.curriculum import CONCEPT, DEPTH
+from lectern.sources.curriculum import CONCEPT, DEPTH, node_schema
 
 _FLAT = f"array<struct<subtopic_path: array<string>, ord: array<int>, c: {CONCEPT}>>"
+_TEXT = "array<struct<subtopic_path: array<string>, ord: array<int>, text: string>>"
 _NONE = "array<struct<path: string, rule: string, message: string>>"
 
 
@@ -23,6 +24,11 @@ def _or_empty(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.array().cast(kind))
 
 
+def _down(path: Column, name: Column) -> Column:
+    """The path of a subtopic; one without a name adds nothing."""
+    return F.when(F.coalesce(name, F.lit("")) == "", path).otherwise(F.array_append(path, name))
+
+
 def _concepts_below(node: Column, path: Column, ord_: Column, levels: int) -> Column:
     """All concepts of a node, its own first, then those of its subtopics in order."""
     own = F.transform(
@@ -32,38 +38,55 @@ def _concepts_below(node: Column, path: Column, ord_: Column, levels: int) -> Co
     own = _or_empty(own, _FLAT)
     if levels == 0:
         return own
-    below = F.flatten(
-        F.transform(
+    below = F.flatten(F.transform(
+        node["subtopics"],
+        lambda s, j: _concepts_below(s, _down(path, s["name"]), F.concat(ord_, F.array(F.lit(1), j)), levels - 1),
+    ))
+    return F.concat(own, _or_empty(below, _FLAT))
+
+
+def _texts_below(node: Column, path: Column, ord_: Column, levels: int) -> Column:
+    """The subtopics that lie deeper than the schema reads: still JSON text."""
+    if levels == 0:
+        found = F.transform(
             node["subtopics"],
-            lambda s, j: _concepts_below(
-                s,
-                F.when(F.coalesce(s["name"], F.lit("")) == "", path).otherwise(F.array_append(path, s["name"])),
-                F.concat(ord_, F.array(F.lit(1), j)),
-                levels - 1,
-            ),
+            lambda s, j: F.struct(path.alias("subtopic_path"), F.concat(ord_, F.array(F.lit(1), j)).alias("ord"), s.alias("text")),
         )
-    )
-    return F.concat(own, _or_empty(below, _FLAT))
+    else:
+        found = F.flatten(F.transform(
+            node["subtopics"],
+            lambda s, j: _texts_below(s, _down(path, s["name"]), F.concat(ord_, F.array(F.lit(1), j)), levels - 1),
+        ))
+    return _or_empty(found, _TEXT)
 
 
 def flatten_concepts(subjects: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """One row per concept, depth first, topic-level concepts before subtopics.
+    """One row per concept, depth first, topic-level concepts before subtopics, however deep they lie.
 
     ``ord`` compares like the position in the tree: topic, then (0, concept) or
-    (1, subtopic) pairs down the path. One pass and one explode whatever the depth.
+    (1, subtopic) pairs down the path. ``depth`` is how many levels the schema of
+    ``topics`` reads at once; subtopics below are kept as text, parsed as nodes of the
+    same schema, and so on until none has subtopics left.
     """
     cols = [c for c in subjects.columns if c != "topics"]
-    topics = subjects.select(*cols, F.posexplode("topics").alias("_t", "topic"))
-    return (
-        topics.select(
-            *cols, F.col("topic.name").alias("topic"),
-            F.explode(_concepts_below(F.col("topic"), F.array().cast("array<string>"), F.array("_t"), depth)).alias("r"),
-        )
-        .select(
+    nodes = subjects.select(*cols, F.posexplode("topics").alias("_t", "_node")).select(
+        *cols, F.col("_node.name").alias("topic"), F.array().cast("array<string>").alias("_path"), F.array("_t").alias("_ord"), "_node",
+    )
+    flat = None
+    while True:
+        here = (F.col("_node"), F.col("_path"), F.col("_ord"), depth)
+        rows = nodes.select(*cols, "topic", F.explode(_concepts_below(*here)).alias("r")).select(
             *cols, "topic", "r.subtopic_path", "r.ord",
             F.col("r.c.name").alias("concept"), "r.c.summary", "r.c.steps", "r.c.questions",
         )
-    )
+        flat = rows if flat is None else flat.unionByName(rows)
+        deeper = written(nodes.select(*cols, "topic", F.explode(_texts_below(*here)).alias("r")).select(*cols, "topic", "r.*"), "deeper")
+        if not deeper.limit(1).count():
+            return flat
+        parsed = F.explode(F.array(F.from_json("text", node_schema(depth)))).alias("_node")
+        nodes = deeper.select(*cols, "topic", "subtopic_path", F.col("ord").alias("_ord"), parsed).withColumn(
+            "_path", _down(F.col("subtopic_path"), F.col("_node.name"))
+        ).drop("subtopic_path")
 
 
 def flatten_questions(concepts: DataFrame) -> DataFrame:

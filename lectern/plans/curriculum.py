@@ -91,6 +91,32 @@ def flatten(spark, folder):
     return _shown(_flat(spark, folder)).select("subject", "topic", "path", "ord", "concept", "summary")
 
 
+LEVELS = 7
+
+
+@query(
+    "p22_deep_curriculum",
+    f"""
+SELECT doc_id, concat('c', n, '-', source) AS concept, array_to_string(list_transform(range(1, n + 1), lambda x: concat('l', x)), '/') AS path,
+       md5(text) AS summary FROM documents, range(1, {LEVELS + 1}) t(n)""",
+)
+def deep_curriculum(spark, folder):
+    """A curriculum per document with a concept on each of seven levels of subtopics."""
+    node = None
+    for n in range(LEVELS, 0, -1):
+        own = F.struct(F.concat(F.lit(f"c{n}-"), "source").alias("name"), F.col("text").alias("summary"))
+        fields = [F.lit(f"l{n}").alias("name"), F.array(own).alias("concepts")]
+        node = F.struct(*fields, *([] if node is None else [F.array(node).alias("subtopics")]))
+    topics = F.array(F.struct(F.lit("t").alias("name"), F.array(node).alias("subtopics")))
+    content = F.to_json(F.struct(F.col("doc_id").cast("string").alias("subject"), F.lit("9").alias("grade"), topics.alias("topics")))
+    files = views.table(spark, folder, "documents").select(
+        F.format_string("/c/%d.json", "doc_id").alias("path"), content.alias("value"), F.lit(True).alias("flat")
+    )
+    return curriculum.flatten_concepts(source.load(files)).select(
+        F.col("subject").cast("long").alias("doc_id"), "concept", F.array_join("subtopic_path", "/").alias("path"), F.md5("summary").alias("summary"),
+    )
+
+
 @query(
     "d1a_flat_questions",
     _TREE + """

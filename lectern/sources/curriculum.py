@@ -10,13 +10,17 @@ CONCEPT = f"struct<name: string, summary: string, steps: array<string>, question
 DEPTH = 4
 
 
-def content_schema(depth: int = DEPTH) -> str:
-    """DDL of a curriculum with ``depth`` levels of subtopics; what lies deeper stays as JSON text."""
+def node_schema(depth: int = DEPTH) -> str:
+    """DDL of a topic or subtopic with ``depth`` levels below it; what lies deeper stays as JSON text until it is asked for."""
     below = "string"
-    for _ in range(depth):
+    for _ in range(depth + 1):
         below = f"struct<name: string, concepts: array<{CONCEPT}>, subtopics: array<{below}>>"
-    topic = f"struct<name: string, concepts: array<{CONCEPT}>, subtopics: array<{below}>>"
-    return f"struct<subject: string, grade: string, topics: array<{topic}>>"
+    return below
+
+
+def content_schema(depth: int = DEPTH) -> str:
+    """DDL of a curriculum."""
+    return f"struct<subject: string, grade: string, topics: array<{node_schema(depth)}>>"
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

@@ -107,8 +107,27 @@ def test_content_below_the_depth_read_is_reported(spark):
     files = spark.createDataFrame([("/c/a.json", json.dumps({"subject": "English", "grade": 1, "topics": [{"name": "T", "subtopics": [node]}]}), True)],
                                   "path string, value string, flat boolean")
     assert "too_deep" in [r["rule"] for r in curriculum.violations(source.load(files)).collect()]
-    deeper = source.load(files, depth=6)
-    assert curriculum.flatten_concepts(deeper, depth=6).count() == 1
+
+
+def test_flatten_goes_as_deep_as_the_content(spark):
+    """Eleven levels, some without a name, some with two subtopics, against a recursive walk."""
+    node = {"name": "leaf", "concepts": [concept("C0")]}
+    for n in range(1, 11):
+        side = {"name": f"side{n}", "concepts": [concept(f"S{n}")]}
+        node = {"name": "" if n == 4 else f"n{n}", "concepts": [concept(f"C{n}"), concept(f"D{n}")], "subtopics": [side, node] if n % 3 == 0 else [node]}
+    content = {"subject": "English", "grade": "1", "topics": [{"name": "T", "concepts": [concept("top")], "subtopics": [node]}]}
+
+    def walk(node, path):
+        for c in node.get("concepts") or []:
+            yield c["name"], path
+        for s in node.get("subtopics") or []:
+            yield from walk(s, [*path, s["name"]] if s["name"] else path)
+
+    files = spark.createDataFrame([("/c/a.json", json.dumps(content), True)], "path string, value string, flat boolean")
+    expected = list(walk(content["topics"][0], []))
+    for depth in (1, 4):
+        rows = curriculum.flatten_concepts(source.load(files, depth=depth), depth=depth).orderBy("ord").collect()
+        assert [(r["concept"], r["subtopic_path"]) for r in rows] == expected
 
 
 def brute_search(rows, query, ratio):
