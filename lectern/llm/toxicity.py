@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.words import Words, pieces
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS_LOG2, DIM = 18, 8
 GRAMS = (3, 4, 5)
 
@@ -124,6 +124,10 @@ class _Adagrad:
         x -= self.rate * slope / np.sqrt(self.seen)
 
 
+def prior_bias(y: np.ndarray) -> float:
+    return float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5)))
+
+
 def _tops(z: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The largest logit among each document's words, and the first word that has it."""
     top = np.maximum.reduceat(z[ids], first)
@@ -131,9 +135,13 @@ def _tops(z: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -
     return top, ids[at[np.searchsorted(at, first)]]
 
 
-def _fit(y: np.ndarray, bags: list[list[bytes]], word_steps: int, document_steps: int, drop: float, seed: int) -> Model:
-    """Embeddings and softmax, trained together on documents given as their distinct words, none of them empty."""
-    bias0 = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
+def train(y: np.ndarray, bags: list[list[bytes]], word_steps: int = 12, document_steps: int = 50, drop: float = 0.4, seed: int = 3) -> Model:
+    """Embeddings and softmax, trained together on documents given as their distinct words, none of them empty.
+
+    Each step leaves out a share of the n-grams, so no word hangs on a few of them
+    and a word with some letters changed keeps enough.
+    """
+    bias0 = prior_bias(y)
     number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for b in bags for w in b], np.int64)
     size = np.array([len(b) for b in bags])
@@ -186,32 +194,6 @@ def _fit(y: np.ndarray, bags: list[list[bytes]], word_steps: int, document_steps
     return Model(value, bias[1] - bias[0])
 
 
-def train(labels: np.ndarray, bags: list[list[bytes]], word_steps: int = 12, document_steps: int = 50, drop: float = 0.4, seed: int = 3) -> Model:
-    """A model whose probabilities hold for documents that it has not seen.
-
-    Each step leaves out a share of the n-grams, so no word hangs on a few of them
-    and a word with some letters changed keeps enough. Scale and bias of the logit
-    come from two models that each judge the half of the documents that the other
-    learned from: with few labels the logits of unseen documents are the less certain.
-    """
-    some = [i for i, b in enumerate(bags) if b]
-    y = labels[some].astype(float)
-    bias0 = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 1.5))
-    if not some:
-        return Model(np.zeros(1 << BUCKETS_LOG2), bias0)
-    bags = [bags[i] for i in some]
-    options = (word_steps, document_steps, drop, seed)
-    model = _fit(y, bags, *options)
-    logit, half = np.zeros(len(y)), np.arange(len(y)) % 2
-    for k in (0, 1):
-        learn, judge = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        if len(learn) and len(judge):
-            other = _fit(y[learn], [bags[i] for i in learn], *options)
-            p = other.scores(pa.array([b"\n".join(bags[i]) for i in judge]).cast(pa.large_binary()).view(pa.large_string()))
-            logit[judge] = np.log(p / (1 - p)) - other.bias
-    return _calibrated(model, logit, y, bias0)
-
-
 def _calibrated(model: Model, logit: np.ndarray, y: np.ndarray, bias: float) -> Model:
     """Scale and bias by logistic regression, drawn to scale 1 and the rate of the labels as if by one document each."""
     prior = np.array([1.0, bias])
@@ -237,22 +219,57 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _learn(fold: pa.Table) -> pa.Table:
+    """Fold 0: a model of all documents. Folds 1 and 2: the logits of one half by a model of the other."""
+    k, half = fold.column("fold")[0].as_py(), fold.column("half").to_numpy()
+    y = fold.column("toxic").to_numpy() > 0
+    bags = [w.as_py().split(b"\n") if len(w.as_py()) else [] for w in fold.column("words")]
+    learn = [i for i, b in enumerate(bags) if b and (k == 0 or half[i] != k - 1)]
+    judge = [i for i, b in enumerate(bags) if b and k and half[i] == k - 1]
+    model, logit = Model(np.zeros(1 << BUCKETS_LOG2), prior_bias(y)), np.zeros(0)
+    if learn and (judge or not k):
+        model = train(y[learn].astype(float), [bags[i] for i in learn])
+    if judge and learn:
+        p = model.scores(pa.array([b"\n".join(bags[i]) for i in judge]).cast(pa.large_binary()).view(pa.large_string()))
+        logit = np.log(p / (1 - p)) - model.bias
+    return pa.table({
+        "fold": pa.array([k], pa.int32()), "value": pa.array([model.value.tobytes()]), "bias": [model.bias], "rows": pa.array([len(y)], pa.int64()),
+        "toxic": pa.array([int(y.sum())], pa.int64()), "logit": pa.array([logit], pa.list_(pa.float64())),
+        "label": pa.array([y[judge[: len(logit)]].astype(float)], pa.list_(pa.float64())),
+    })
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents that are not held out."""
+    """A model from at most ``sample`` labelled documents that are not held out.
+
+    Scale and bias of the logit come from two models that each judge the half of the
+    documents that the other learned from: with few labels the logits of unseen
+    documents are the less certain. The three models are trained side by side, in tasks.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("half", half)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = [b"\n".join(w) for w in distinct_words(Words(batch.column(1), lower=True))]
-            yield pa.record_batch({"toxic": batch.column(0), "words": pa.array(found, pa.binary())})
+            found = [b"\n".join(w) for w in distinct_words(Words(batch.column(2), lower=True))]
+            yield pa.record_batch({"toxic": batch.column(0), "half": batch.column(1), "words": pa.array(found, pa.binary())})
 
     # The sample is bounded, so its ids go to where the texts lie.
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, words binary").toArrow()
-    bags = [w.split(b"\n") if w else [] for w in got.column("words").to_pylist()]
-    return train(got.column("toxic").to_numpy() > 0, bags)
+    words = rows.select("toxic", "half", "text").mapInArrow(run, "toxic int, half int, words binary")
+    folds = words.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    learned = folds.groupBy("fold").applyInArrow(
+        _learn, "fold int, value binary, bias double, rows long, toxic long, logit array<double>, label array<double>"
+    ).orderBy("fold").collect()
+    if not learned:
+        return Model(np.zeros(1 << BUCKETS_LOG2), prior_bias(np.zeros(0)))
+    first = learned[0]
+    model = Model(np.frombuffer(first["value"], np.float32), first["bias"])
+    bias = float(np.log((first["toxic"] + 0.5) / (first["rows"] - first["toxic"] + 1.5)))
+    logit, label = (np.array([v for r in learned[1:] for v in r[c]]) for c in ("logit", "label"))
+    return _calibrated(model, logit, label, bias)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
