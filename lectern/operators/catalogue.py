@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import lexicon
 from lectern.functions import catalogue as cat
+from lectern.operators.layout import written
 
 QUESTION_TERMS = 5
-NARROW = 14
 
 
 def normalise_entries(entries: DataFrame) -> DataFrame:
@@ -47,28 +43,6 @@ def _subsets(terms: Column) -> Column:
     return F.transform(F.filter(grown, lambda s: F.size(s) > 0), lambda s: F.array_join(s, " "))
 
 
-def _wide_subsets(entries: DataFrame) -> DataFrame:
-    """The same for entries with many terms, streamed so that no row holds them all."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for id_, subjects, grade, terms in batch.itertuples(index=False):
-                part: list[str] = []
-                for n in range(1, QUESTION_TERMS + 1):
-                    for chosen in combinations(terms, n):
-                        part.append(" ".join(chosen))
-                        if len(part) == 20_000:
-                            yield pd.DataFrame({"id": id_, "subject": subjects, "grade": grade, "subset": part})
-                            part = []
-                if part:
-                    yield pd.DataFrame({"id": id_, "subject": subjects, "grade": grade, "subset": part})
-
-    kind = entries.schema["id"].dataType.simpleString()
-    return entries.select("id", "subject", "grade", "terms").mapInPandas(
-        run, f"id {kind}, subject string, grade int, subset string"
-    )
-
-
 def _scopes(entries: DataFrame, by_subject: bool, by_grade: bool) -> DataFrame:
     """Each entry under every (subject, grade) filter it answers to; '' and -1 mean no filter."""
     if not by_subject:
@@ -85,22 +59,41 @@ def _scopes(entries: DataFrame, by_subject: bool, by_grade: bool) -> DataFrame:
     return entries.select("id", "terms", F.explode(listed).alias("s")).select("id", "terms", "s.*")
 
 
-def subset_index(scoped: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Smallest entry id for every scope and set of up to five terms some entry holds.
+def held_subsets(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, subset) for every asked set of terms that an entry holds.
+
+    Sets grow by one term a level: an entry that holds a set is looked up for the
+    asked sets that have one more term, and kept if it holds that term. An entry
+    with many terms so meets the sets that questions ask for, not all it could form.
+    """
+    postings = written(entries.select("id", F.explode("terms").alias("last")).distinct().join(
+        asked.where("n = 1").select(F.col("subset").alias("last")), "last", "left_semi"
+    ), "postings")
+    level = postings.select("id", F.col("last").alias("subset"))
+    found = level
+    for n in range(2, QUESTION_TERMS + 1):
+        grown = asked.where(F.col("n") == n).select("parent", "last", F.col("subset").alias("next"))
+        level = level.join(grown, F.col("subset") == F.col("parent")).select("id", "last", F.col("next").alias("subset"))
+        level = written(level.join(postings, ["id", "last"], "left_semi").select("id", "subset"), "held")
+        if not level.limit(1).count():
+            break
+        found = found.unionByName(level)
+    return found
+
+
+def subset_index(scoped: DataFrame, subsets: DataFrame) -> DataFrame:
+    """Smallest entry id for every scope and asked set of up to five terms that some entry holds.
 
     A set is a key, so "entry holds this set" is an equality. However many
-    entries share a keyword, they fold into one row per set before any join.
-    Only words some question uses are kept.
+    entries share a keyword, they fold into one row per set before the look-up.
     """
-    plain = scoped.select("id", "subject", "grade", F.explode(F.array_distinct("terms")).alias("term"))
-    used = plain.join(vocabulary, "term", "left_semi").groupBy("id", "subject", "grade").agg(
-        F.array_sort(F.collect_set("term")).alias("terms")
-    )
-    narrow = used.where(F.size("terms") <= NARROW).select(
-        "id", "subject", "grade", F.explode(_subsets(F.col("terms"))).alias("subset")
-    )
-    wide = _wide_subsets(used.where(F.size("terms") > NARROW))
-    return narrow.unionByName(wide).groupBy("subject", "grade", "subset").agg(F.min("id").alias("id"))
+    parts = F.split("subset", " ")
+    asked = written(subsets.distinct().select(
+        "subset", F.array_join(F.slice(parts, 1, F.size(parts) - 1), " ").alias("parent"),
+        F.element_at(parts, -1).alias("last"), F.size(parts).alias("n"),
+    ), "subsets")
+    held = held_subsets(scoped.select("id", "terms"), asked)
+    return held.join(scoped.select("id", "subject", "grade"), "id").groupBy("subject", "grade", "subset").agg(F.min("id").alias("id"))
 
 
 def match_questions(
@@ -139,11 +132,10 @@ def match_questions(
         told = told.join(known.withColumn("_k", F.lit(True)), ["subject", "grade"], "left").withColumns({
             "subject": F.when(F.col("_k"), F.col("subject")).otherwise(""), "grade": F.when(F.col("_k"), F.col("grade")).otherwise(-1),
         })
-    vocabulary = distinct.select(F.explode("_terms").alias("term")).distinct()
     lookups = told.select(*signature, "subject", "grade", F.explode(_subsets(F.col("_terms"))).alias("subset")).withColumn(
         "matches", F.size(F.split("subset", " "))
     )
-    hits = lookups.join(subset_index(scoped, vocabulary), ["subject", "grade", "subset"])
+    hits = lookups.join(subset_index(scoped, lookups.select("subset")), ["subject", "grade", "subset"])
     best = hits.groupBy(*signature).agg(
         F.max("matches").alias("matches"),
         F.min_by("id", F.struct((-F.col("matches")).alias("m"), F.col("id"))).alias("id"),

@@ -146,9 +146,18 @@ def intent_counts(spark, folder):
     return out.groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f6_fuzzy_removal")
+# The chain on the questions as they are; with a misspelt phrase put in before, only the note of its removal differs.
+_PLAIN = _chain().replace(with_views("messy"), with_views("questions") + ", messy AS (SELECT conv_id, turn, question FROM questions)")
+
+
+@query(
+    "f6_fuzzy_removal",
+    _PLAIN + """
+SELECT conv_id, turn, clean_question, concat_ws('|', CASE WHEN starts_with(notes, 'formalized') THEN 'formalized' END, 'removed_fuzzy',
+       nullif(regexp_replace(notes, '^formalized[|]?', ''), '')) AS notes FROM normal""",
+)
 def fuzzy_removal(spark, folder):
-    """Questions with a misspelt exam phrase put in, by rows: SQL has no such ratio."""
+    """Questions with a misspelt exam phrase put in come out as if it had not been there."""
     typo = F.when(F.col("turn") % 4 == 0, "acording to the pasage ").otherwise("explain im brief ")
     asked = views.questions(spark, folder).withColumn("question", F.concat(typo, "question"))
     out = normalise.normalise_questions(asked)

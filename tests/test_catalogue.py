@@ -47,14 +47,18 @@ def test_match_equals_brute_force(spark, seed):
     assert got == brute(asked, entries)
 
 
-def test_wide_entries_stream_their_subsets(spark):
-    words = [f"{a}{b}word" for a in "abcde" for b in "vwxyz"]
+def test_wide_entries_meet_only_the_sets_asked_for(spark):
+    words = [f"{a}{b}{c}word" for a in "abcdef" for b in "uvwxyz" for c in "klmnop"]
     entries = spark.createDataFrame([(1, "big", words), (2, "small", words[:2])], "id int, title string, keywords array<string>")
     asked = spark.createDataFrame([(0, " ".join(words[3:8])), (1, " ".join(words[:2])), (2, " ".join(words[10:25]))], "n int, question string")
     got = {r["n"]: (r["id"], r["matches"]) for r in catalogue.match_questions(asked, entries).collect()}
     assert got == {0: (1, 5), 1: (1, 2), 2: (1, 5)}
     rest = spark.createDataFrame([(i, " ".join(words[i : i + 5])) for i in range(20)], "n int, question string")
     assert catalogue.match_questions(asked.union(rest), entries).count() == 23
+    # What the index holds follows the questions, not the sets that 216 keywords could form.
+    sets = asked.union(rest).select(F.array_sort(F.slice(F.split("question", " "), 1, 5)).alias("t")).select(F.explode(catalogue._subsets(F.col("t"))).alias("subset"))
+    scoped = entries.select("id", F.col("keywords").alias("terms"), F.lit("").alias("subject"), F.lit(-1).alias("grade"))
+    assert catalogue.subset_index(scoped, sets).count() == sets.distinct().count() < 31 * 23
 
 
 def test_hot_keyword_folds_into_one_row(spark):
