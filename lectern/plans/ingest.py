@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern import views
 from lectern.functions import chunking, vectors
 from lectern.operators import ingest, progress
+from lectern.plans.progress import _REPORT, _WITH
 from lectern.plans.registry import query
 from lectern.session import shared_folder
 from lectern.sinks import tables
@@ -379,35 +380,62 @@ def _reports(spark, folder):
     return progress.student_report(counts, views.catalogue(spark, folder)), counts
 
 
-_SUMMED = """
-SELECT user_id, (SELECT count(*) FROM catalogue) AS total_questions, count(*) AS total_attempts, count(*) FILTER (WHERE correct) AS total_correct
-FROM attempts GROUP BY user_id"""
+_STUDENT = "user_id long, total_questions long, total_attempts long, total_correct long, mastered_questions long, weak_questions long"
+_WEAK = "user_id long, subject string, topic string, concept string, question string, attempts long"
 
 
-@query("k4_student_report_files", with_views("attempts", "catalogue") + _SUMMED)
-def report_files(spark, folder):
-    reports, _ = _reports(spark, folder)
+def _student_files(spark, folder):
+    """The student report and its weak questions as CSV; returns where they lie."""
+    reports, counts = _reports(spark, folder)
     path = shared_folder(spark, "report")
-    tables.write_report(reports, path)
-    schema = "user_id long, total_questions long, total_attempts long, total_correct long, mastered_questions long, weak_questions long"
-    read = spark.read.schema(schema).option("header", True).csv(path)
-    return read.select("user_id", "total_questions", "total_attempts", "total_correct")
+    tables.write_reports(reports, progress.weak_questions(counts, views.catalogue(spark, folder)), path)
+    return path
+
+
+@query("k4_student_report_files", _WITH + f",{_REPORT} SELECT * FROM report")
+def report_files(spark, folder):
+    return spark.read.schema(_STUDENT).option("header", True).csv(f"{_student_files(spark, folder)}/report")
+
+
+@query(
+    "k4_weak_question_files",
+    _WITH + "SELECT user_id, subject, topic, concept, question, attempts FROM counts WHERE attempts >= 2 AND correct = 0",
+)
+def weak_question_files(spark, folder):
+    return spark.read.schema(_WEAK).option("header", True).csv(f"{_student_files(spark, folder)}/weak")
+
+
+def _class_files(spark, folder):
+    """The class report, averages with two places, and its weak concepts as JSON; returns where they lie."""
+    reports, counts = _reports(spark, folder)
+    averages = ["average_mastered_questions", "average_total_correct"]
+    told = progress.class_report(reports).withColumns({c: F.format_string("%.2f", c) for c in averages})
+    weak = progress.class_weak_concepts(progress.weak_questions(counts, views.catalogue(spark, folder)), counts, share=0.15)
+    path = shared_folder(spark, "class")
+    tables.write_reports(told, weak, path, "json")
+    return path
 
 
 @query(
     "k5_class_report_files",
-    with_views("attempts") + """
-SELECT count(DISTINCT user_id) AS total_students, printf('%.2f', count(*) FILTER (WHERE correct) / count(DISTINCT user_id)) AS average_total_correct
-FROM attempts""",
+    _WITH + f""",{_REPORT}
+SELECT count(*) AS total_students, printf('%.2f', avg(mastered_questions)) AS average_mastered_questions,
+       printf('%.2f', avg(total_correct)) AS average_total_correct FROM report""",
 )
 def class_report_files(spark, folder):
-    reports, _ = _reports(spark, folder)
-    told = progress.class_report(reports).select(
-        "total_students", F.format_string("%.2f", "average_total_correct").alias("average_total_correct")
-    )
-    path = shared_folder(spark, "class")
-    tables.write_report(told, path, "json")
-    return spark.read.schema("total_students long, average_total_correct string").json(path)
+    schema = "total_students long, average_mastered_questions string, average_total_correct string"
+    return spark.read.schema(schema).json(f"{_class_files(spark, folder)}/report")
+
+
+@query(
+    "k5_weak_concept_files",
+    _WITH + """
+SELECT subject, topic, concept, count(*) AS questions, count(DISTINCT user_id) AS students FROM counts
+WHERE attempts >= 2 AND correct = 0 GROUP BY ALL HAVING count(*) >= greatest(1, floor(0.15 * (SELECT count(DISTINCT user_id) FROM attempts)))""",
+)
+def weak_concept_files(spark, folder):
+    schema = "subject string, topic string, concept string, questions long, students long"
+    return spark.read.schema(schema).json(f"{_class_files(spark, folder)}/weak")
 
 
 @query(

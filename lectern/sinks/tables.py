@@ -137,3 +137,9 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
         writer.option("header", True).csv(path)
     else:
         writer.json(path)
+
+
+def write_reports(report: DataFrame, weak: DataFrame, path: str, form: str = "csv") -> None:
+    """K4 / K5: the report and the weak questions or concepts behind it, as two tables below ``path``."""
+    write_report(report, f"{path}/report", form)
+    write_report(weak, f"{path}/weak", form)
