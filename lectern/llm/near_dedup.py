@@ -6,11 +6,11 @@ candidates. A candidate's signatures are compared a batch at a time, and it is
 dropped as soon as the posterior probability of reaching the threshold falls
 below ``miss``; what survives is checked on the full sets.
 
-No bucket is expanded into its pairs. Each member meets the smallest one, links
-become components, and only buckets that still hold several components are
-looked at again: the members outside the bucket's largest component are compared
-with the rest in blocks. Rounds go on until no untested candidate is left
-between two components, so no link that the bands show is lost.
+Buckets of up to ``SMALL`` classes give their pairs, at most a constant per class, to
+a join. A larger one is compared inside tasks, a block of bounded bytes against
+another, and hands on only links that join two components of what it has seen: a group
+of thousands of near copies gives a chain of links, not its pairs. Components follow
+from the links of all buckets, so no link that the bands show is lost.
 
 Defined results: a null or empty text, or one of white space only, has an empty
 set, links with nothing and is its own class. Rows that repeat a doc_id are kept;
@@ -105,22 +105,22 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def band_members(reps: DataFrame) -> DataFrame:
-    """(key, rep, leader) for every band key that two or more classes share; leader is the smallest of them."""
+    """(key, rep, m, bytes) for every band key that several classes share, with their number and the bytes of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.stack([np.frombuffer(s, np.uint32) for s in batch.column(1).to_pylist()])
+            sig = np.stack([np.frombuffer(s, np.uint32) for s in batch.column(2).to_pylist()])
             key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))
             for r in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS].astype(np.uint64))
-            yield pa.record_batch({
-                "key": pa.array(key.ravel().view(np.int64)), "rep": pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)),
-            })
+            repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS))
+            yield pa.record_batch({"key": pa.array(key.ravel().view(np.int64)), "rep": repeat(0), "n_shingles": repeat(1)})
 
-    bands = reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    bands = reps.select("rep", "n_shingles", "sig").mapInArrow(run, "key long, rep long, n_shingles long")
+    weight = F.sum(F.col("n_shingles") * 8 + 4 * HASHES)
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), weight.alias("bytes")).where("m > 1")
     return bands.join(shared, "key")
 
 
@@ -176,28 +176,12 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, m
     return _pair_columns(near, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long")
 
 
-def mixed_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with the bucket's size in rows and bytes.
-
-    ``outside``: not of the component that has most bytes in the bucket.
-    """
-    held = members.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    held = held.join(mixed, "key").join(reps.select("rep", "n_shingles"), "rep")
-    sizes = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n_shingles") * 8 + 4 * HASHES).alias("bytes"))
-    top = sizes.groupBy("key").agg(
-        F.max_by("label", F.struct("bytes", "label")).alias("top"), F.sum("m").alias("m"),
-        F.sum("bytes").alias("bytes"), (F.sum("bytes") - F.max("bytes")).alias("bytes_outside"),
-    )
-    return held.join(top, "key").withColumn("outside", F.col("label") != F.col("top"))
-
-
-def small_bucket_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) between components in buckets of up to ``SMALL`` members: at most a constant per member."""
-    small = mixed.where(F.col("m") <= SMALL).select("key", "rep", "label", "n_shingles")
-    other = small.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n_shingles")])
-    return small.join(other, "key").where("rep < rep_b AND label <> label_b").where(
-        100 * F.least("n_shingles", "n_shingles_b") >= percent * F.greatest("n_shingles", "n_shingles_b")
+def small_bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) in buckets of up to ``SMALL`` members: at most a constant per member."""
+    small = members.where(F.col("m") <= SMALL).select("key", "rep", "n_shingles")
+    other = small.select("key", F.col("rep").alias("rep_b"), F.col("n_shingles").alias("n_b"))
+    return small.join(other, "key").where("rep < rep_b").where(
+        100 * F.least("n_shingles", "n_b") >= percent * F.greatest("n_shingles", "n_b")
     ).select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
@@ -208,13 +192,13 @@ def joining_links(asks: pd.DataFrame, rest: pd.DataFrame, percent: int, least: n
     """
     sig = np.stack([np.frombuffer(s, np.uint32) for s in rest["sig"]])
     sets = [np.frombuffer(s, np.uint64) for s in rest["shingles"]]
-    rep, outside, size = (rest[c].to_numpy() for c in ("rep", "outside", "n_shingles"))
-    label, label_asks = rest["label"].to_numpy().copy(), asks["label"].to_numpy().copy()
+    rep, size = (rest[c].to_numpy() for c in ("rep", "n_shingles"))
+    # A row's label is the rep of its component that came first.
+    label, label_asks = rep.copy(), asks["rep"].to_numpy().copy()
     found = []
     for k, (a, n, s, own) in enumerate(zip(asks["rep"], asks["n_shingles"], asks["sig"], asks["shingles"])):
         own = np.frombuffer(own, np.uint64)
-        # Of two members outside, the larger asks.
-        at = np.flatnonzero((label != label_asks[k]) & ~(outside & (rep > a)) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
+        at = np.flatnonzero((label != label_asks[k]) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
         alive, matches = posterior_keeps(np.frombuffer(s, np.uint32), sig[at], least)
         todo = at[alive[np.argsort(-matches[alive], kind="stable")]]
         while len(todo):
@@ -232,28 +216,23 @@ def joining_links(asks: pd.DataFrame, rest: pd.DataFrame, percent: int, least: n
     return found
 
 
-def large_bucket_links(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) in larger buckets: members outside the largest component against the others, in blocks of bounded bytes."""
+def large_bucket_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) in larger buckets: blocks of bounded bytes, each against itself and those before it."""
     least = fewest_matches(percent / 100, miss)
-    held = mixed.where(F.col("m") > SMALL).withColumn("n_all", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
-    held = held.withColumn("n_out", F.ceil(F.col("bytes_outside") / BLOCK_BYTES).cast("int"))
-    held = held.join(reps.select("rep", "sig"), "rep").join(sets, "rep")
-    columns = ["key", "rep", "label", "n_shingles", "sig", "shingles", "outside"]
-    all_block, out_block = F.pmod(F.xxhash64("rep"), "n_all").cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), "n_out").cast("int")
-    left = held.where("outside").select(*columns, out_block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("asks"))
-    right = held.select(*columns, F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), all_block.alias("j"), F.lit(False).alias("asks"))
+    held = members.where(F.col("m") > SMALL).withColumn("n", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+    held = held.withColumn("at", F.pmod(F.xxhash64("rep"), "n").cast("int")).join(reps.select("rep", "sig"), "rep").join(sets, "rep")
+    # A row of block x asks in the groups (x, 0), ..., (x, x) and is asked in (x, x), ..., (n - 1, x).
+    asks = F.transform(F.sequence(F.lit(0), F.col("at")), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    asked = F.transform(F.sequence(F.col("at"), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(False).alias("asks")))
+    rows = held.select("key", "rep", "n_shingles", "sig", "shingles", F.explode(F.concat(asks, asked)).alias("g")).select("*", "g.*").drop("g")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group[group["asks"]].sort_values("rep", ignore_index=True)
-        rest = group[~group["asks"]].sort_values("rep", ignore_index=True)
-        found = joining_links(asks, rest, percent, least) if len(asks) and len(rest) else []
+        group = group.sort_values("rep", ignore_index=True)
+        left, right = group[group["asks"]], group[~group["asks"]]
+        found = joining_links(left, right, percent, least) if len(left) and len(right) else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return left.unionByName(right).groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
-
-
-def component_labels(links: DataFrame) -> DataFrame:
-    return stored(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
@@ -270,16 +249,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
     members = stored(band_members(reps), "bands")
     sets = stored(class_sets(docs, reps.join(members.select("rep").distinct(), "rep", "left_semi")), "sets")
 
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(verified(stored(stars, "pairs"), reps, sets, percent, miss), "links")
-    labels = component_labels(links)
-    mixed = stored(mixed_buckets(members, labels, reps), "mixed")
-    pairs = stored(small_bucket_pairs(mixed, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = stored(
-        verified(pairs, reps, sets, percent, miss).unionByName(large_bucket_links(mixed, reps, sets, percent, miss)), "links"
-    )
-    if more.limit(1).count():
-        labels = component_labels(links.unionByName(more))
+    pairs = stored(small_bucket_pairs(members, percent), "pairs")
+    links = verified(pairs, reps, sets, percent, miss).unionByName(large_bucket_links(members, reps, sets, percent, miss))
+    labels = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
     by_class = reps.join(labels, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("label"))
     joined = sketch.drop("sig").join(by_class, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("label", "doc_id")
