@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,7 +74,3 @@ def encoder_udf(make: Callable[[], Encoder] | None = None, dim: int = 64, batch:
             yield pd.Series(out)
 
     return encode
-
-
-def blocks_for(rows: int, block: int) -> int:
-    return max(1, math.ceil(rows / block))

@@ -167,7 +167,7 @@ def _breach(path: Column, rule: str, broken: Column, message: Column) -> Column:
 
 def _missing(node: Column, path: Column, kind: str) -> Column:
     gone = missing_fields(node, lexicon.REQUIRED_FIELDS[kind])
-    message = F.concat(F.lit("Missing required fields: "), F.array_join(gone, ", "))
+    message = F.concat(F.lit("lacks "), F.array_join(gone, ", "))
     return _breach(path, f"{kind}_fields", F.size(gone) > 0, message)
 
 
@@ -182,7 +182,7 @@ def _blank_items(items: Column, path: Column, rule: str, noun: str) -> Column:
             s.isNull() | _blank(s),
             F.struct(
                 path.alias("path"), F.lit(rule).alias("rule"),
-                F.concat(F.lit(noun + " "), (i + 1).cast("string"), F.lit(" must be a non-empty string")).alias("message"),
+                F.concat(F.lit(noun + " "), (i + 1).cast("string"), F.lit(" is blank")).alias("message"),
             ),
         ),
     )
@@ -200,10 +200,10 @@ def _named(path: Column, noun: str, name: Column) -> Column:
 def _check_question(q: Column, path: Column) -> Column:
     return F.concat(
         _missing(q, path, "question"),
-        _breach(path, "question_text", _blank(q["question"]), F.lit("'question' must be a non-empty string")),
-        _breach(path, "answers_empty", F.size(q["acceptable_answers"]) == 0, F.lit("'acceptable_answers' cannot be empty")),
+        _breach(path, "question_text", _blank(q["question"]), F.lit("question is blank")),
+        _breach(path, "answers_empty", F.size(q["acceptable_answers"]) == 0, F.lit("no accepted answer")),
         _blank_items(q["acceptable_answers"], path, "answer_text", "Answer"),
-        _breach(path, "hints_empty", F.size(q["hints"]) == 0, F.lit("'hints' cannot be empty")),
+        _breach(path, "hints_empty", F.size(q["hints"]) == 0, F.lit("no hint")),
         _blank_items(q["hints"], path, "hint_text", "Hint"),
     )
 
@@ -212,9 +212,9 @@ def _check_concept(c: Column, parent: Column) -> Column:
     path = _named(parent, "Concept", c["name"])
     return F.concat(
         _missing(c, path, "concept"),
-        _breach(path, "concept_name", _blank(c["name"]), F.lit("'name' must be a non-empty string")),
-        _breach(path, "concept_summary", _blank(c["summary"]), F.lit("'summary' must be a non-empty string")),
-        _breach(path, "steps_empty", F.size(c["steps"]) == 0, F.lit("'steps' cannot be empty")),
+        _breach(path, "concept_name", _blank(c["name"]), F.lit("name is blank")),
+        _breach(path, "concept_summary", _blank(c["summary"]), F.lit("summary is blank")),
+        _breach(path, "steps_empty", F.size(c["steps"]) == 0, F.lit("no step")),
         _blank_items(c["steps"], path, "step_text", "Step"),
         _below(c["questions"], lambda q, i: _check_question(
             q, F.concat(path, F.lit(" > Question "), (i + 1).cast("string")))),
@@ -224,15 +224,15 @@ def _check_concept(c: Column, parent: Column) -> Column:
 def _check_subtopic(s: Column, parent: Column, levels: int) -> Column:
     path = _named(parent, "Subtopic", s["name"])
     rules = [
-        _breach(path, "subtopic_name", s["name"].isNull() | _blank(s["name"]), F.lit("Missing required field 'name'")),
+        _breach(path, "subtopic_name", s["name"].isNull() | _blank(s["name"]), F.lit("name is absent or blank")),
         _breach(path, "subtopic_content", s["concepts"].isNull() & s["subtopics"].isNull(),
-                F.lit("Must have at least 'concepts' or 'subtopics'")),
+                F.lit("holds neither concepts nor subtopics")),
         _below(s["concepts"], lambda c: _check_concept(c, path)),
     ]
     if levels:
         rules.append(_below(s["subtopics"], lambda n: _check_subtopic(n, path, levels - 1)))
     else:
-        rules.append(_breach(path, "too_deep", F.size(s["subtopics"]) > 0, F.lit("Subtopics below the depth read")))
+        rules.append(_breach(path, "too_deep", F.size(s["subtopics"]) > 0, F.lit("has subtopics deeper than is checked")))
     return F.concat(*rules)
 
 
@@ -245,16 +245,17 @@ def violations(subjects: DataFrame, allowed: list[str] = lexicon.SUBJECTS, depth
         F.col("topics"),
         lambda t: F.concat(
             _missing(t, _named(root, "Topic", t["name"]), "topic"),
-            _breach(_named(root, "Topic", t["name"]), "topic_name", _blank(t["name"]), F.lit("'name' must be a non-empty string")),
+            _breach(_named(root, "Topic", t["name"]), "topic_name", _blank(t["name"]), F.lit("name is blank")),
+            _below(t["concepts"], lambda c: _check_concept(c, _named(root, "Topic", t["name"]))),
             _below(t["subtopics"], lambda s: _check_subtopic(s, _named(root, "Topic", t["name"]), depth - 1)),
         ),
     )
     every = F.concat(
         _missing(content, root, "content"),
         _breach(root, "subject", ~F.col("subject").isin(allowed),
-                F.concat(F.lit("Invalid subject '"), F.coalesce("subject", F.lit("")), F.lit("'"))),
+                F.concat(F.lit("unknown subject "), F.coalesce("subject", F.lit("")))),
         _breach(root, "grade", F.col("grade").isNotNull() & ~F.coalesce(grade.between(1, 12), F.lit(False)),
-                F.concat(F.lit("Invalid grade '"), F.coalesce("grade", F.lit("")), F.lit("'. Must be a number between 1 and 12"))),
+                F.concat(F.lit("grade is not 1 to 12: "), F.coalesce("grade", F.lit("")))),
         topics,
     )
     cols = [c for c in subjects.columns if c != "topics"]

@@ -138,9 +138,9 @@ def advice(levels: DataFrame) -> DataFrame:
     any_mastered = F.bool_or(F.coalesce(F.col("band") == "mastered", F.lit(False)))
     return levels.groupBy("user_id").agg(first_weak.alias("_w"), any_mastered.alias("_m")).select(
         "user_id",
-        F.when(F.col("_w").isNotNull(), F.concat(F.lit("Try reviewing: "), "_w"))
-        .when(F.col("_m"), "Great work! Try exploring a new subject.")
-        .otherwise("Start by browsing subjects to begin your journey!").alias("advice"),
+        F.when(F.col("_w").isNotNull(), F.concat(F.lit(lexicon.ADVICE_REVIEW), "_w"))
+        .when(F.col("_m"), lexicon.ADVICE_MASTERED)
+        .otherwise(lexicon.ADVICE_START).alias("advice"),
     )
 
 

@@ -94,6 +94,13 @@ def test_violations_name_path_and_rule(spark):
     ])
 
 
+def test_concepts_right_below_a_topic_are_checked(spark):
+    bad = {"subject": "English", "grade": "1", "topics": [{"name": "T", "concepts": [{"name": " ", "summary": "", "steps": [], "questions": []}], "subtopics": []}]}
+    files = spark.createDataFrame([("/c/a.json", json.dumps(bad), True)], "path string, value string, flat boolean")
+    rules = {r["rule"] for r in curriculum.violations(source.load(files)).collect()}
+    assert {"concept_name", "concept_summary", "steps_empty"} <= rules
+
+
 def test_valid_content_has_no_violations(spark):
     good = {"subject": "English", "grade": "12", "topics": [{"name": "T", "subtopics": [{"name": "S", "concepts": [concept("C")]}]}]}
     files = spark.createDataFrame([("/c/a.json", json.dumps(good), True)], "path string, value string, flat boolean")
