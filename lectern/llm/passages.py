@@ -290,3 +290,24 @@ def longest_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{folder}/documents.parquet"), digest=True).withColumnRenamed("text", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM split
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM split)
+), firsts AS (
+  SELECT run, min(doc_id) AS least FROM windows GROUP BY run
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (run), range(0, 13) t(k) WHERE least < doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
