@@ -171,3 +171,35 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
         F.length("lost").cast("long").alias("loss_chars"), F.sha2(F.col("lost"), 256).alias("loss_sha256"),
         F.col("formatted_chars").cast("long").alias("formatted_chars"),
     )
+
+
+ORACLE_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+         CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) + {HEADER_TOKENS} AS tokens,
+         {len(OPEN) + len(CLOSE) + 2} + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '{_FIRST}(\\*){_REST}', '\1\\\2\3', 'g'))
+           + length(regexp_replace(text, '{_FIRST}(\\*){_REST}', '\1\\\2\3', 'g')) AS chars
+  FROM turns
+), placed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY n) AS stop FROM sized
+), systems AS (
+  SELECT conv_id, tokens AS s_tokens, chars AS s_chars FROM placed WHERE n = 1 AND role = 'system'
+), celled AS (
+  SELECT *, stop - tokens AS start, greatest(1024 - 192 - coalesce(s_tokens, 0), 193) AS cell FROM placed LEFT JOIN systems USING (conv_id)
+), laid AS (
+  SELECT *, 2 * (start // cell) + CAST(stop > (start // cell + 1) * cell AS INT) AS win FROM celled
+), windows AS (
+  SELECT conv_id, win, max(stop) AS w_end, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM laid GROUP BY conv_id, win
+), told AS (
+  SELECT laid.*, chars * (1 + CAST(next IS NOT NULL AND w_end - start <= 192 AND (n > 1 OR s_chars IS NULL) AS INT)) AS all_chars
+  FROM laid JOIN windows USING (conv_id, win)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(all_chars) + coalesce(max(s_chars), 0) * (count(DISTINCT win) - 1) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id
+"""
