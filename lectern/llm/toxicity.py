@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.words import Words, pieces
 
-SAMPLE = 6_000
+SAMPLE = 4_000
 BUCKETS_LOG2, DIM = 18, 8
 GRAMS = (3, 4, 5)
 
@@ -148,6 +148,7 @@ def train(y: np.ndarray, bags: list[list[bytes]], word_steps: int = 12, document
     first = np.cumsum(size) - size
     bucket, word = Bags(Words(pa.array([b"\n".join(number)]).cast(pa.large_binary()).view(pa.large_string()))).flat()
     touched, bucket = np.unique(bucket, return_inverse=True)
+    bucket, word = bucket.astype(np.int32), word.astype(np.int32)
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.05, (len(touched), DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -219,24 +220,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _learn(fold: pa.Table) -> pa.Table:
-    """Fold 0: a model of all documents. Folds 1 and 2: the logits of one half by a model of the other."""
-    k, half = fold.column("fold")[0].as_py(), fold.column("half").to_numpy()
-    y = fold.column("toxic").to_numpy() > 0
-    bags = [w.as_py().split(b"\n") if len(w.as_py()) else [] for w in fold.column("words")]
-    learn = [i for i, b in enumerate(bags) if b and (k == 0 or half[i] != k - 1)]
-    judge = [i for i, b in enumerate(bags) if b and k and half[i] == k - 1]
-    model, logit = Model(np.zeros(1 << BUCKETS_LOG2), prior_bias(y)), np.zeros(0)
-    if learn and (judge or not k):
-        model = train(y[learn].astype(float), [bags[i] for i in learn])
-    if judge and learn:
-        p = model.scores(pa.array([b"\n".join(bags[i]) for i in judge]).cast(pa.large_binary()).view(pa.large_string()))
-        logit = np.log(p / (1 - p)) - model.bias
-    return pa.table({
-        "fold": pa.array([k], pa.int32()), "value": pa.array([model.value.tobytes()]), "bias": [model.bias], "rows": pa.array([len(y)], pa.int64()),
-        "toxic": pa.array([int(y.sum())], pa.int64()), "logit": pa.array([logit], pa.list_(pa.float64())),
-        "label": pa.array([y[judge[: len(logit)]].astype(float)], pa.list_(pa.float64())),
-    })
+def _learn(rows: pa.Table) -> pa.Table:
+    """A model of all documents, and the logits of each half by a model of the other; one after another, in one task."""
+    y, half = rows.column("toxic").to_numpy() > 0, rows.column("half").to_numpy()
+    bags = [w.as_py().split(b"\n") if len(w.as_py()) else [] for w in rows.column("words")]
+    some = np.array([bool(b) for b in bags])
+
+    def model_of(learn: np.ndarray) -> Model:
+        if not learn.any():
+            return Model(np.zeros(1 << BUCKETS_LOG2), prior_bias(y))
+        return train(y[learn].astype(float), [bags[i] for i in np.flatnonzero(learn)])
+
+    logit, label = [], []
+    for k in (0, 1):
+        judge = np.flatnonzero(some & (half == k))
+        if len(judge) and (some & (half != k)).any():
+            other = model_of(some & (half != k))
+            p = other.scores(pa.array([b"\n".join(bags[i]) for i in judge]).cast(pa.large_binary()).view(pa.large_string()))
+            logit += (np.log(p / (1 - p)) - other.bias).tolist()
+            label += y[judge].astype(float).tolist()
+    model = _calibrated(model_of(some), np.array(logit), np.array(label), prior_bias(y))
+    return pa.table({"value": pa.array([model.value.tobytes()]), "bias": [model.bias]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -244,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Scale and bias of the logit come from two models that each judge the half of the
     documents that the other learned from: with few labels the logits of unseen
-    documents are the less certain. The three models are trained side by side, in tasks.
+    documents are the less certain. The bounded sample is learned from in one task.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -259,17 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # The sample is bounded, so its ids go to where the texts lie.
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
     words = rows.select("toxic", "half", "text").mapInArrow(run, "toxic int, half int, words binary")
-    folds = words.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    learned = folds.groupBy("fold").applyInArrow(
-        _learn, "fold int, value binary, bias double, rows long, toxic long, logit array<double>, label array<double>"
-    ).orderBy("fold").collect()
+    learned = words.groupBy().applyInArrow(_learn, "value binary, bias double").collect()
     if not learned:
         return Model(np.zeros(1 << BUCKETS_LOG2), prior_bias(np.zeros(0)))
-    first = learned[0]
-    model = Model(np.frombuffer(first["value"], np.float32), first["bias"])
-    bias = float(np.log((first["toxic"] + 0.5) / (first["rows"] - first["toxic"] + 1.5)))
-    logit, label = (np.array([v for r in learned[1:] for v in r[c]]) for c in ("logit", "label"))
-    return _calibrated(model, logit, label, bias)
+    return Model(np.frombuffer(learned[0]["value"], np.float32), learned[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
