@@ -165,7 +165,8 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes from the row, repeats counted)."""
     rows = sized_rows(docs)
     sources, parts, mix = plan(rows, **options)
-    times = mix.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Written: its size can't be guessed from the few draws it comes from, and a guess could make it a broadcast.
+    times = stored(mix.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times")), "times")
     taken = parts.join(times, ["number", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # The sources go by a written table, so Spark knows how small they are.
     out = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).join(taken, "row", "left")
@@ -180,7 +181,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     rows = sized_rows(docs, *[F.col(c).alias(f"_{c}") for c in columns])
     _, parts, mix = plan(rows.select("row", "doc_id", "source", "size"), **options)
-    taken = parts.join(mix.select("number", "block", "pass"), ["number", "block"]).groupBy("row", "pass").agg(
+    used = stored(mix.select("number", "block", "pass"), "slots")
+    taken = parts.join(used, ["number", "block"]).groupBy("row", "pass").agg(
         F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("words").cast("int").alias("words")))).alias("spans"),
         F.sum("words").alias("taken"),
     )
