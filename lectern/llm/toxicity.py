@@ -24,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.words import Words, pieces
 
-SAMPLE = 4_000
+SAMPLE = 8_000
+WORD_BATCH, BLOCK = 1 << 15, 1 << 20
 BUCKETS_LOG2, DIM = 18, 8
 GRAMS = (3, 4, 5)
 
@@ -128,49 +130,98 @@ def prior_bias(y: np.ndarray) -> float:
     return float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5)))
 
 
-def _tops(z: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The largest logit among each document's words, and the first word that has it."""
-    top = np.maximum.reduceat(z[ids], first)
-    at = np.flatnonzero(z[ids] == np.repeat(top, size))
-    return top, ids[at[np.searchsorted(at, first)]]
+def blocks(first: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of items that together have about ``limit`` entries, at least one item each; item i has first[i]:first[i + 1]."""
+    at = 0
+    while at < len(first) - 1:
+        to = max(at + 1, int(np.searchsorted(first, first[at] + limit, "right")) - 1)
+        yield at, to
+        at = to
 
 
-def train(y: np.ndarray, bags: list[list[bytes]], word_steps: int = 12, document_steps: int = 50, drop: float = 0.4, seed: int = 3) -> Model:
-    """Embeddings and softmax, trained together on documents given as their distinct words, none of them empty.
+def _tops(z: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest logit among each document's words, and the first word that has it."""
+    top, best = np.zeros(len(first) - 1), np.zeros(len(first) - 1, np.int64)
+    for lo, hi in blocks(first):
+        some, starts = ids[first[lo]: first[hi]], first[lo:hi] - first[lo]
+        mine = z[some]
+        top[lo:hi] = np.maximum.reduceat(mine, starts)
+        at = np.flatnonzero(mine == np.repeat(top[lo:hi], np.diff(first[lo: hi + 1])))
+        best[lo:hi] = some[at[np.searchsorted(at, starts)]]
+    return top, best
+
+
+class Grams:
+    """Buckets of distinct words in compressed rows: ``bucket[first[w]:first[w + 1]]``; built a batch of words at a time."""
+
+    def __init__(self, words: pa.Array):
+        buckets, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), WORD_BATCH):
+            some = words.slice(at, WORD_BATCH)
+            bucket, word = Bags(Words(some.view(pa.large_string()))).flat()
+            buckets.append(bucket[np.argsort(word, kind="stable")])
+            sizes.append(np.bincount(word, minlength=len(some)))
+        self.bucket = np.concatenate(buckets)
+        self.first = np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int64)
+        there = np.zeros(1 << BUCKETS_LOG2, bool)
+        there[self.bucket] = True
+        self.touched = np.flatnonzero(there)
+        place = np.zeros(1 << BUCKETS_LOG2, np.int32)
+        place[self.touched] = np.arange(len(self.touched), dtype=np.int32)
+        for lo in range(0, len(self.bucket), BLOCK):
+            self.bucket[lo: lo + BLOCK] = place[self.bucket[lo: lo + BLOCK]]
+
+    def kept(self, rng: np.random.Generator, drop: float) -> np.ndarray:
+        """Which buckets a step uses."""
+        keep = np.zeros(len(self.bucket), bool)
+        for lo in range(0, len(keep), BLOCK):
+            part = keep[lo: lo + BLOCK]
+            part[:] = rng.random(len(part), np.float32) >= drop
+        return keep
+
+    def parts(self, keep: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """A block of words, its kept buckets, and the word of each as its place in the block."""
+        for lo, hi in blocks(self.first):
+            mine = keep[self.first[lo]: self.first[hi]]
+            word = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(self.first[lo: hi + 1]))
+            yield lo, hi, self.bucket[self.first[lo]: self.first[hi]][mine], word[mine]
+
+
+def train(y: np.ndarray, words: pa.Array, ids: np.ndarray, first: np.ndarray, word_steps: int = 12, document_steps: int = 50, drop: float = 0.4, seed: int = 3) -> Model:
+    """Embeddings and softmax, trained together on documents given as the places of their distinct words, none of them empty.
 
     Each step leaves out a share of the n-grams, so no word hangs on a few of them
-    and a word with some letters changed keeps enough.
+    and a word with some letters changed keeps enough. A step goes through words and
+    documents in blocks: besides 5 bytes an n-gram and 4 a word of a document, memory
+    does not grow with the sample.
     """
     bias0 = prior_bias(y)
-    number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for b in bags for w in b], np.int64)
-    size = np.array([len(b) for b in bags])
-    first = np.cumsum(size) - size
-    bucket, word = Bags(Words(pa.array([b"\n".join(number)]).cast(pa.large_binary()).view(pa.large_string()))).flat()
-    touched, bucket = np.unique(bucket, return_inverse=True)
-    bucket, word = bucket.astype(np.int32), word.astype(np.int32)
+    grams = Grams(words)
+    n, touched = len(words), grams.touched
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.05, (len(touched), DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.array([-bias0 / 2, bias0 / 2])
     steps = _Adagrad(0.3), _Adagrad(0.05), _Adagrad(0.05)
 
-    def kept() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keep = rng.random(len(word), np.float32) >= drop
-        b, w = bucket[keep], word[keep]
-        return b, w, 1 / np.maximum(np.bincount(w, minlength=len(number)), 1)
-
-    def logits(grams: tuple) -> np.ndarray:
-        b, w, share = grams
+    def logits(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logit of each word, and the share of each of its buckets."""
         value = embedding @ (softmax[:, 1] - softmax[:, 0])
-        return np.bincount(w, value[b], len(number)) * share
+        z, share = np.zeros(n), np.zeros(n)
+        for lo, hi, b, w in grams.parts(keep):
+            share[lo:hi] = 1 / np.maximum(np.bincount(w, minlength=hi - lo), 1)
+            z[lo:hi] = np.bincount(w, value[b], hi - lo) * share[lo:hi]
+        return z, share
 
-    def learn(grams: tuple, residual: np.ndarray) -> None:
+    def learn(keep: np.ndarray, share: np.ndarray, residual: np.ndarray) -> None:
         """One step on all parameters; residual: per word, probability less label, weighted."""
-        b, w, share = grams
-        used = residual[w] != 0
         # The slope of an embedding is one number per bucket times the softmax weights.
-        per = np.bincount(b[used], (residual * share)[w[used]], len(touched))
+        per = np.zeros(len(touched))
+        for lo, hi, b, w in grams.parts(keep):
+            mine = residual[lo:hi]
+            used = mine[w] != 0
+            if used.any():
+                per += np.bincount(b[used], (mine * share[lo:hi])[w[used]], len(touched))
         slope = embedding.T @ per
         both = np.stack([-residual, residual]).sum(axis=1)
         steps[0].step(embedding, (per[:, None] * (softmax[:, 1] - softmax[:, 0])).astype(np.float32))
@@ -180,16 +231,21 @@ def train(y: np.ndarray, bags: list[list[bytes]], word_steps: int = 12, document
     def chance(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z + bias[1] - bias[0], -40, 40)))
 
-    seen = np.bincount(ids, minlength=len(number))
-    rate = np.bincount(ids, np.repeat(y, size), len(number)) / seen
-    weight = np.minimum(seen, 20) / len(y)
+    seen, bad = np.zeros(n), np.zeros(n)
+    for lo, hi in blocks(first):
+        some = ids[first[lo]: first[hi]]
+        seen += np.bincount(some, minlength=n)
+        bad += np.bincount(some, np.repeat(y[lo:hi], np.diff(first[lo: hi + 1])), n)
+    rate, weight = bad / seen, np.minimum(seen, 20) / len(y)
     for _ in range(word_steps):
-        grams = kept()
-        learn(grams, (chance(logits(grams)) - rate) * weight)
+        keep = grams.kept(rng, drop)
+        z, share = logits(keep)
+        learn(keep, share, (chance(z) - rate) * weight)
     for _ in range(document_steps):
-        grams = kept()
-        top, best = _tops(logits(grams), ids, first, size)
-        learn(grams, np.bincount(best, (chance(top) - y) / len(y), len(number)))
+        keep = grams.kept(rng, drop)
+        z, share = logits(keep)
+        top, best = _tops(z, ids, first)
+        learn(keep, share, np.bincount(best, (chance(top) - y) / len(y), n))
     value = np.zeros(1 << BUCKETS_LOG2)
     value[touched] = embedding @ (softmax[:, 1] - softmax[:, 0])
     return Model(value, bias[1] - bias[0])
@@ -220,26 +276,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+class Corpus:
+    """The distinct words of the sample, and of each document the places of its words among them."""
+
+    def __init__(self, words: pa.ChunkedArray):
+        lists = pc.split_pattern(words.cast(pa.large_binary()), b"\n").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        self.words, self.ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.first = np.r_[0, np.cumsum(size)].astype(np.int64)
+
+    def of(self, chosen: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words, places and bounds of the documents ``chosen``."""
+        size = np.diff(self.first)
+        ids = self.ids[np.repeat(chosen, size)]
+        there = np.zeros(len(self.words), bool)
+        there[ids] = True
+        place = (np.cumsum(there) - 1).astype(np.int32)
+        return self.words.filter(pa.array(there)), place[ids], np.r_[0, np.cumsum(size[chosen])].astype(np.int64)
+
+
 def _learn(rows: pa.Table) -> pa.Table:
     """A model of all documents, and the logits of each half by a model of the other; one after another, in one task."""
-    y, half = rows.column("toxic").to_numpy() > 0, rows.column("half").to_numpy()
-    bags = [w.as_py().split(b"\n") if len(w.as_py()) else [] for w in rows.column("words")]
-    some = np.array([bool(b) for b in bags])
+    y_all = rows.column("toxic").to_numpy() > 0
+    bias = prior_bias(y_all)
+    # A document without words is counted in the bias alone.
+    rows = rows.filter(pc.greater(pc.binary_length(rows.column("words")), 0))
+    y, half = (rows.column("toxic").to_numpy() > 0).astype(float), rows.column("half").to_numpy()
+    texts = rows.column("words")
+    corpus = Corpus(texts)
 
     def model_of(learn: np.ndarray) -> Model:
         if not learn.any():
-            return Model(np.zeros(1 << BUCKETS_LOG2), prior_bias(y))
-        return train(y[learn].astype(float), [bags[i] for i in np.flatnonzero(learn)])
+            return Model(np.zeros(1 << BUCKETS_LOG2), bias)
+        return train(y[learn], *corpus.of(learn))
 
     logit, label = [], []
     for k in (0, 1):
-        judge = np.flatnonzero(some & (half == k))
-        if len(judge) and (some & (half != k)).any():
-            other = model_of(some & (half != k))
-            p = other.scores(pa.array([b"\n".join(bags[i]) for i in judge]).cast(pa.large_binary()).view(pa.large_string()))
-            logit += (np.log(p / (1 - p)) - other.bias).tolist()
-            label += y[judge].astype(float).tolist()
-    model = _calibrated(model_of(some), np.array(logit), np.array(label), prior_bias(y))
+        judge = np.flatnonzero(half == k)
+        if len(judge) and (half != k).any():
+            other = model_of(half != k)
+            found = texts.take(pa.array(judge)).cast(pa.large_binary()).combine_chunks()
+            for at in range(0, len(found), 64):
+                p = other.scores(found.slice(at, 64).view(pa.large_string()))
+                logit += (np.log(p / (1 - p)) - other.bias).tolist()
+            label += y[judge].tolist()
+    model = _calibrated(model_of(np.ones(len(y), bool)), np.array(logit), np.array(label), bias)
     return pa.table({"value": pa.array([model.value.tobytes()]), "bias": [model.bias]})
 
 

@@ -306,3 +306,35 @@ def test_toxicity_held_out(spark, docs):
     assert scored.columns.count("score") == 1 and scored.count() == docs.count() and scored.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     nothing = toxicity.fit(docs.limit(0), known.limit(0))
     assert {round(r.score, 6) for r in toxicity.score(docs, nothing).collect()} == {0.25}
+
+
+def test_toxicity_learns_from_the_whole_sample(spark):
+    """A toxic word that only stands in the second half of the 8,000 documents of least hash is learned."""
+    ids = spark.range(10_000).where(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(8_000)
+    rng = np.random.default_rng(7)
+    data, labels = [], []
+    for rank, r in enumerate(ids.collect()):
+        w = ["".join(rng.choice("ka lo mi ren tu fa es on".split(), 3)) for _ in range(6)]
+        bad = rank % 10 == 0
+        data.append((r.id, " ".join([*w, "zogwitter" if rank >= 4_000 else "grumblewort"] if bad else w)))
+        labels.append((r.id, int(bad)))
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    early, late, clean = model.scores(pa.array(["kalomi grumblewort", "kalomi zogwitter", "kalomi rentufa"]))
+    assert early > 0.5 and late > 0.5 and clean < 0.5
+
+
+def test_toxicity_in_blocks(monkeypatch):
+    """Small blocks of words, n-grams and documents give the model of one block."""
+    words = [b"kalo", b"rentu", b"grumblewort", b"fa", b"esonmi", b"\xc3\xbc7"]
+    rng = np.random.default_rng(2)
+    bags = [sorted({words[k] for k in rng.choice([0, 1, 3, 4, 5], 3)} | ({words[2]} if i % 3 == 0 else set())) for i in range(40)]
+    texts = pa.chunked_array([pa.array([b"\n".join(b) for b in bags], pa.binary())])
+    corpus = toxicity.Corpus(texts)
+    assert [[corpus.words[j].as_py() for j in corpus.ids[a:b]] for a, b in zip(corpus.first, corpus.first[1:])] == bags
+    y = (np.arange(40) % 3 == 0).astype(float)
+    whole = toxicity.train(y, *corpus.of(np.ones(40, bool)))
+    monkeypatch.setattr(toxicity, "WORD_BATCH", 2)
+    monkeypatch.setattr(toxicity.blocks, "__defaults__", (5,))
+    parts = toxicity.train(y, *corpus.of(np.ones(40, bool)))
+    assert np.allclose(whole.value, parts.value, atol=1e-3) and abs(whole.bias - parts.bias) < 1e-3
