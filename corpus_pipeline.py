@@ -20,18 +20,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, "_llm_score").where("_llm_score < 0.5").drop("_llm_score")
 
 
+KEY = "_llm_row"
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity 0.8 or more) the document of least doc_id."""
-    kept = near_dedup.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_llm_kept")).distinct()
-    # A null doc_id is linked with nothing, so it stays.
-    return docs.join(kept, F.col("doc_id") == F.col("_llm_kept"), "left").where("doc_id IS NULL OR _llm_kept IS NOT NULL").drop("_llm_kept")
+    """Of each group of near copies (similarity 0.8 or more) the row of least doc_id, nulls last, whether ids repeat or not."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias(KEY), *docs.columns), "rows")
+    found = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), percent=80)
+    ids = rows.select(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY).alias("_llm_rank"))
+    members = found.select(F.col("doc_id").alias(KEY), "component_id").join(ids, KEY)
+    kept = members.groupBy("component_id").agg(F.min("_llm_rank").alias("least")).select(F.col(f"least.{KEY}").alias(KEY))
+    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that also stand in a document of smaller id; one that loses all its words goes."""
-    cut = passages.remove_repeats(docs).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_llm_id"), F.col("text").alias("_llm_text")).dropDuplicates(["_llm_id"])
-    out = docs.join(cut, F.col("doc_id") == F.col("_llm_id"), "left").where("_llm_id IS NULL OR _llm_text <> ''")
+    """Rows without the passages that also stand in a row before; one that loses all its words goes.
+
+    Rows are in order of doc_id, nulls last. Those that share one are told apart by their
+    text, so a hot doc_id does not land in one task of the sort.
+    """
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    rows = stored(ordered.select(F.monotonically_increasing_id().alias(KEY), *docs.columns), "rows")
+    cut = passages.remove_repeats(rows.select(F.col(KEY).alias("doc_id"), "text")).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("_llm_id"), F.col("text").alias("_llm_text"))
+    out = rows.join(cut, F.col(KEY) == F.col("_llm_id"), "left").where("_llm_id IS NULL OR _llm_text <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_llm_id").isNull(), F.col("n_chars")).otherwise(F.length("_llm_text")))
     return out.withColumn("text", F.coalesce("_llm_text", "text")).select(*docs.columns)

@@ -69,3 +69,24 @@ def test_empty_corpus(spark, corpus, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{corpus[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    """Copies go and other texts stay, row by row, where rows share a doc_id or have none."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rng.choice("ka lo mi ren tu fa es on".split(), 4)) for _ in range(n))
+    a, b, c, d, e = (prose(60) for _ in range(5))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda df: sorted(((r.doc_id, r.text, r.n_chars) for r in df.collect()), key=str)
+    wanted = lambda rows: sorted(((i, t, len(t)) for i, t in rows), key=str)
+
+    rows = [(2, a), (2, a), (2, b), (1, b + " more"), (None, c), (None, c), (3, c), (None, d), (None, d), (2, e)]
+    got = cp.drop_near_copies(spark, frame(rows).repartition(3), "")
+    assert got.columns == COLUMNS and told(got) == wanted([(2, a), (1, b + " more"), (3, c), (None, d), (2, e)])
+
+    p, q = prose(20), prose(20)
+    rows = [(1, f"{a} {p}"), (2, f"{p} {b}"), (2, c), (2, p), (None, f"{d} {p}"), (None, f"{e} {q}"), (None, q)]
+    got = cp.drop_repeated_passages(spark, frame(rows).repartition(3), "")
+    left = told(got)
+    assert got.columns == COLUMNS and set(wanted([(1, f"{a} {p}"), (2, b), (2, c), (None, d)])) <= set(left)
+    assert sum(q in t for _, t, _ in left) == 1 and sum(e in t for _, t, _ in left) == 1 and len(left) in (5, 6)
