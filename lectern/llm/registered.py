@@ -16,6 +16,7 @@ NAMES = {
     "near_dedup": "op7_near_dedup",
     "passages": "op8_substring_dedup",
     "chat": "op10_chat_windows",
+    "merkle": "op11_merkle",
 }
 
 
