@@ -17,6 +17,8 @@ NAMES = {
     "passages": "op8_substring_dedup",
     "chat": "op10_chat_windows",
     "merkle": "op11_merkle",
+    "filter_audit": "op12_filter_audit",
+    "set_join": "op13_set_join",
 }
 
 
