@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lectern.llm.storage import stored
 from lectern.operators.layout import number_rows
 
-ARITY = 3
+ARITY, STRIDE = 3, 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 # An id is level << 48 plus a place. The tree over the groups starts at a level that no other tree reaches.
 LEVEL, TOP = 1 << 48, 1 << 10
@@ -65,49 +65,65 @@ class Manifest:
     root: bytes | None
 
 
+def _above(level: Column) -> Column:
+    """The digests of the runs of an array of consecutive digests."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / ARITY).cast("int"))
+    return F.transform(runs, lambda r: F.unhex(F.sha2(F.array_join(F.transform(F.slice(level, r * ARITY + 1, ARITY), hex_text), ""), 256)))
+
+
+def _beside(level: Column, at: Column, left: bool) -> Column:
+    """The digests of a node's run that lie before or after it, one after another."""
+    start = at - F.pmod(at, F.lit(ARITY))
+    side = F.slice(level, start + 1, at - start) if left else F.slice(level, at + 2, start + ARITY - at - 1)
+    return F.unhex(F.array_join(F.transform(side, F.hex), ""))
+
+
+def _nodes(digests: Column, level: int, place: Column, above: Column) -> Column:
+    """The node rows of consecutive digests; ``place`` is that of the first, ``above`` that of its parent."""
+
+    def node(_: Column, i: Column) -> Column:
+        parent = above + F.floor(i / ARITY).cast("long")
+        return F.struct(
+            node_id(level, place + i).alias("id"), node_id(level + 1, parent).alias("up"),
+            _beside(digests, i, True).alias("before"), _beside(digests, i, False).alias("after"),
+        )
+
+    return F.transform(digests, node)
+
+
 def _levels(bottom: DataFrame, base: int, purpose: str) -> tuple[list[DataFrame], DataFrame]:
-    """Builds trees from ``bottom`` (first, place in the tree, size of the tree's level, digest), a stored table.
+    """Builds trees from ``bottom`` (first, place in the tree, size of the tree's level, digest).
 
-    Returns per level the node rows that have a parent, and (first, level, digest) of the nodes without one.
+    A pass builds ``STRIDE`` levels: the nodes below one node meet in one row, at most 27 digests, wherever their
+    tree is hot. Returns per pass the rows of the nodes that have a parent, and (first, level, digest) of those without one.
     """
-    linked, tops, level = [], [], base
+    span, linked, tops, level = ARITY**STRIDE, [], [], base
     while True:
-        tops.append(bottom.where("size = 1").select("first", F.lit(level).alias("level"), "digest"))
-        if not bottom.where("size > 1").limit(1).count():
+        run = F.floor(F.col("place") / span).cast("long")
+        digests = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda s: s["digest"])
+        rows = bottom.groupBy("first", "size", run.alias("run")).agg(digests.alias("d0"))
+        nodes, ends = F.array().cast("array<struct<id:bigint,up:bigint,before:binary,after:binary>>"), []
+        for k in range(STRIDE):
+            wide = F.ceil(F.col("size") / ARITY**k)  # nodes of the whole tree on this level
+            own = F.col(f"d{k}")
+            rows = rows.withColumn(f"d{k + 1}", F.when(wide > 1, _above(own)))
+            made = _nodes(own, level + k, F.col("first") + F.col("run") * (span // ARITY**k), F.col("first") + F.col("run") * (span // ARITY ** (k + 1)))
+            nodes = F.concat(nodes, F.when(wide > 1, made).otherwise(F.array()))
+            ends.append(F.when((wide == 1) & own.isNotNull(), F.struct(F.lit(level + k).alias("level"), own[0].alias("digest"))))
+        further = F.col(f"d{STRIDE}")
+        passed = F.when(further.isNotNull(), F.struct(F.col("run").alias("place"), F.ceil(F.col("size") / span).cast("long").alias("size"), further[0].alias("digest")))
+        rows = stored(rows.select("first", nodes.alias("nodes"), F.coalesce(*ends).alias("top"), passed.alias("next")), f"{purpose}-levels")
+        linked.append(rows.select(F.explode("nodes").alias("n")).select("n.*"))
+        tops.append(rows.where("top IS NOT NULL").select("first", "top.*"))
+        bottom, level = rows.where("next IS NOT NULL").select("first", "next.*"), level + STRIDE
+        if not bottom.limit(1).count():
             break
-        run = F.floor(F.col("place") / ARITY).cast("long")
-        # A run has at most three nodes: its digests meet in one row, wherever its tree is hot.
-        slots = [F.max(F.when(F.pmod("place", F.lit(ARITY)) == k, F.col("digest"))).alias(f"d{k}") for k in range(ARITY)]
-        runs = bottom.where("size > 1").groupBy("first", run.alias("run"), "size").agg(*slots)
-        runs = stored(runs, f"{purpose}-runs")
-        digests = [F.col(f"d{k}") for k in range(ARITY)]
-        sides = F.array(*[
-            F.struct(
-                F.lit(k).alias("k"), digests[k].alias("digest"), _joined(digests[:k]).alias("before"), _joined(digests[k + 1:]).alias("after")
-            ) for k in range(ARITY)
-        ])
-        nodes = runs.select("first", "run", F.explode(sides).alias("n")).where("n.digest IS NOT NULL")
-        place = F.col("run") * ARITY + F.col("n.k")
-        linked.append(nodes.select(
-            node_id(level, F.col("first") + place).alias("id"), node_id(level + 1, F.col("first") + F.col("run")).alias("up"),
-            "n.before", "n.after",
-        ))
-        level += 1
-        bottom = runs.select(
-            "first", F.col("run").alias("place"), F.ceil(F.col("size") / ARITY).cast("long").alias("size"),
-            digest_of(*map(hex_text, digests)).alias("digest"),
-        )
     roots = tops[0]
     for more in tops[1:]:
         roots = roots.unionByName(more)
     return linked, stored(roots, f"{purpose}-roots")
 
 
-def _joined(digests: list[Column]) -> Column:
-    """The digests one after another, null ones left out."""
-    return F.unhex(F.concat_ws("", *[F.hex(d) for d in digests]))
-
-
 def build(rows: DataFrame, group: str, key: str) -> Manifest:
     """The manifest of ``rows``: a ``digest`` per row, trees by ``group``, leaves in order of ``key`` and digest."""
     leaves = number_rows(rows, [F.col(group).asc_nulls_first(), F.col(key).asc_nulls_first(), F.col("digest")])
@@ -126,7 +142,7 @@ def build(rows: DataFrame, group: str, key: str) -> Manifest:
     if upper:
         # A subroot's own id stands for its leaf in the upper tree.
         own = placed.select(node_id(TOP, F.col("place")).alias("id"), (F.col("level") * F.lit(LEVEL) + F.col("tree")).alias("own"))
-        upper[0] = upper[0].join(own, "id").select(F.col("own").alias("id"), "up", "before", "after")
+        upper[0] = upper[0].join(own, "id", "left").select(F.coalesce("own", "id").alias("id"), "up", "before", "after")
     nodes = None
     for part in [*linked, *upper]:
         nodes = part if nodes is None else nodes.unionByName(part)
