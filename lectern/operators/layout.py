@@ -64,3 +64,20 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "number")
     shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_shift")
     return rows.join(shifts, "_part").withColumn(name, place).drop("_id", "_part", "_shift")
+
+
+def largest_so_far(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Adds the largest ``value`` of all rows up to this one in the whole order; null where there is none yet.
+
+    Sorted and written like ``number_rows``: a partition hands the next ones one number.
+    """
+    path = shared_folder(df.sparkSession, "carried")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    tops = rows.groupBy("_part").agg(F.max(value).alias("_top"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carried = tops.select("_part", F.max("_top").over(before).alias("_carry"))
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.max(value).over(inside)
+    return rows.join(carried, "_part").withColumn(name, F.greatest(here, "_carry")).drop("_id", "_part", "_carry")

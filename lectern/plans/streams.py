@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern import views
-from lectern.operators import cache, ingest, ordered, questions
+from lectern.operators import cache, ingest, jumps, ordered, questions
+from lectern.operators.capacity import cached as held_in_order
 from lectern.plans.ingest import _CHUNKS
 from lectern.plans.registry import query
 from lectern.session import shared_folder
@@ -157,6 +158,35 @@ def ttl_cache(spark, folder):
     return out.select("event_id", "hit")
 
 
+@query("r2_ttl_jumps", _CACHED)
+def ttl_jumps(spark, folder):
+    """The same cache by pointer doubling, in blocks that cut every key."""
+    out = jumps.ttl_cached(_events(spark, folder), ["event_type"], "us", "event_id", HOUR, block_rows=1024)
+    return out.select("event_id", "hit")
+
+
+ROOM = 60
+
+# A walk over each shard's requests with the held entries as a list in order of their fill.
+_HELD = f"""WITH RECURSIVE {_TIMED}, seq AS (SELECT event_id, event_type, props, us, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) AS n FROM timed),
+walk AS (
+  SELECT event_id, event_type, n, [{{'k': props, 't': us}}] AS held, false AS hit, false AS expired, NULL::VARCHAR AS evicted FROM seq WHERE n = 1
+  UNION ALL
+  SELECT event_id, event_type, n, CASE WHEN hit THEN was ELSE list_append(CASE WHEN len(kept) >= {ROOM} THEN kept[2:] ELSE kept END, {{'k': props, 't': us}}) END,
+         hit, NOT hit AND len(kept) < len(was), CASE WHEN NOT hit AND len(kept) >= {ROOM} THEN kept[1].k END
+  FROM (SELECT s.*, w.held AS was, len(list_filter(w.held, lambda e: e.k = s.props AND s.us - e.t <= {3 * DAY})) > 0 AS hit,
+               list_filter(w.held, lambda e: e.k <> s.props) AS kept
+        FROM walk w JOIN seq s ON s.event_type = w.event_type AND s.n = w.n + 1))
+SELECT event_id, hit, expired, evicted FROM walk"""
+
+
+@query("r4_capacity_cache", _HELD)
+def capacity_cache(spark, folder):
+    """A cache per event type with room for 60 props, each good for three days."""
+    out = held_in_order(_events(spark, folder), "event_type", "props", "us", "event_id", ROOM, 3 * DAY, block_rows=512)
+    return out.select("event_id", "hit", "expired", "evicted")
+
+
 @query("r2_ttl_cache_stream", _CACHED)
 def ttl_cache_stream(spark, folder):
     cached = jobs.ttl_cache(_stream(spark, folder), "event_type", "us", "event_id", HOUR)
