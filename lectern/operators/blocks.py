@@ -54,7 +54,7 @@ def match_blocks(
     held = fetch_small(probes, probe_rows, probe_bytes)
     if held is not None:
         return _near_items(items, held, score, schema, trim, item_rows)
-    return _cogrouped(probes, items, score, schema, list(keys), probe_rows, item_rows)
+    return cogroup_blocks(probes, items, score, schema, list(keys), probe_rows, item_rows)
 
 
 def fetch_small(df: DataFrame, rows: int, size: int) -> pd.DataFrame | None:
@@ -101,9 +101,10 @@ def _near_items(
     return items.mapInPandas(run, schema)
 
 
-def _cogrouped(
-    probes: DataFrame, items: DataFrame, score: Score, schema: str, keys: list[str], probe_rows: int, item_rows: int
+def cogroup_blocks(
+    probes: DataFrame, items: DataFrame, score: Score, schema: str, keys: list[str], probe_rows: int = PROBE_ROWS, item_rows: int = 50_000
 ) -> DataFrame:
+    """The second layout: both sides in blocks of bounded size per key, each pair of blocks met once."""
     sizes = _block_counts(probes, keys, probe_rows, "_np")
     if keys:
         counts = sizes.join(_block_counts(items, keys, item_rows, "_ni"), keys)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern import views
 from lectern.functions import vectors
-from lectern.operators import retrieval
+from lectern.operators import ingest, inverted, layout, retrieval, store
 from lectern.plans.registry import query
+from lectern.session import shared_folder
 from lectern.views import with_views
 
 # Whole documents stand in the store, so the queries' context is longer than the default.
@@ -84,6 +86,48 @@ def every_vector(spark, folder):
     return hits.select("query_id", "collection", "vec_id", *_six("score"))
 
 
+@query(
+    "j2_inverted_exact",
+    with_views("query_vectors") + """
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.query_id, s.vec_id, round(list_cosine_similarity(CAST(q.query_embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 12) AS score
+    FROM query_vectors q, embeddings s)) WHERE rank <= 5""",
+)
+def inverted_exact(spark, folder):
+    """The five nearest of all vectors by the inverted file, gone on with until the bound says that they are."""
+    index = inverted.build(views.table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    hits = inverted.top_hits(views.query_vectors(spark, folder), index, 5, exact=True)
+    return hits.select("query_id", "vec_id", *_six("score"), "rank")
+
+
+@query("j2_inverted_chunks")
+def inverted_chunks(spark, folder):
+    """Every question's two nearest chunks in each collection that it may use, from the inverted file over all chunks."""
+    asked, store, collections = _asked_chunks(spark, folder)
+    index = inverted.build(store)
+    chosen = retrieval.select_collections(asked, collections).join(asked.select("request_id", "embedding"), "request_id")
+    queries = chosen.select(F.col("request_id").alias("query_id"), "collection", F.col("embedding").alias("query_embedding"))
+    hits = inverted.top_hits(queries, index, 2, by="collection")
+    return hits.select("query_id", "collection", "vec_id", *_six("score"), "rank")
+
+
+def _asked_chunks(spark, folder):
+    """Questions with subject, grade and embedding; chunks of the corpus with theirs; the collections there are."""
+    corpus = views.corpus(spark, folder)
+    chunks = layout.written(ingest.encode_chunks(ingest.chunk_documents(corpus.select("doc_id", "collection", "text"))), "chunks")
+    store = chunks.select(F.xxhash64("doc_id", "chunk_id").alias("vec_id"), "collection", "embedding")
+    turns = views.questions(spark, folder)
+    languages = corpus.select("subject").distinct()
+    one = turns.select(
+        F.xxhash64("conv_id", "turn").alias("request_id"), "question", (8 + F.col("conv_id") % 5).cast("string").alias("grade"),
+        (F.col("conv_id") % 4).alias("n"),
+    )
+    named = languages.withColumn("n", F.row_number().over(Window.orderBy("subject")).cast("long") - 1)  # one row per language
+    asked = one.join(named, "n").withColumn("embedding", vectors.encoder_udf()(F.col("question")))
+    return layout.written(asked, "asked"), store, corpus.select("collection")
+
+
 @query(
     "s8_list_collections",
     with_views("store") + "SELECT DISTINCT collection FROM store",
@@ -111,6 +155,34 @@ _MAPPED = """VALUES ('science', 'openstax_science', 0), ('science', 'scienceqa',
                     ('english', 'fineweb_edu', 0), ('english', 'khanacademy_pedagogy', 1)"""
 
 
+def _laid_out(spark, folder):
+    """The corpus as a store by collection."""
+    path = shared_folder(spark, "store")
+    store.write_store(views.corpus(spark, folder).select("doc_id", "collection", "text"), path)
+    return path
+
+
+@query("s8_folder_listing", with_views("corpus") + "SELECT DISTINCT collection FROM corpus")
+def folder_listing(spark, folder):
+    """The collections of the store by its folders."""
+    return store.collections(spark, _laid_out(spark, folder))
+
+
+@query(
+    "o1_pruned_store",
+    with_views("corpus") + """,
+wanted AS (SELECT DISTINCT concat('neb_', lang, '_grade_', 8 + user_id % 3) AS collection FROM (SELECT DISTINCT user_id FROM events), (SELECT max(lang) AS lang FROM documents))
+SELECT doc_id, collection, length(text) AS n FROM corpus SEMI JOIN wanted USING (collection)""",
+)
+def pruned_store(spark, folder):
+    """The rows of the collections that the users' grades select in one language; the other folders are not read."""
+    held = store.read_store(spark, _laid_out(spark, folder))
+    lang = views.table(spark, folder, "documents").agg(F.max("lang")).scalar()
+    grade = (8 + F.col("user_id") % 3).cast("string")
+    asked = views.table(spark, folder, "events").select("user_id").distinct().select(F.concat(F.lit("neb_"), lang, F.lit("_grade_"), grade).alias("collection"))
+    return store.selected_rows(held, asked).select("doc_id", "collection", F.length("text").cast("long").alias("n"))
+
+
 @query(
     "p2_j10_select_collections",
     with_views("corpus") + f""", {_REQUESTS},
