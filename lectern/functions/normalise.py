@@ -8,6 +8,7 @@ visits only the rows that can hold a phrase.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -124,16 +125,29 @@ def remove_learned(q: Column, phrases: Column) -> Column:
     )
 
 
+def removal_steps(q: Column, phrases: Column) -> Column:
+    """The texts that ``remove_learned`` passes through, after each phrase that it finds."""
+    start = F.struct(q.alias("text"), F.array().cast("array<string>").alias("steps"))
+
+    def step(acc: Column, p: Column) -> Column:
+        left = F.regexp_replace(acc["text"], F.concat(F.lit(r"(?iu)\Q"), p, F.lit(r"\E")), F.lit(""))
+        taken = F.struct(left.alias("text"), F.array_append(acc["steps"], left).alias("steps"))
+        return F.when(F.contains(F.lower(acc["text"]), p), taken).otherwise(acc)
+
+    return F.aggregate(phrases, start, step)["steps"]
+
+
 def normalise_questions(
     df: DataFrame,
     text: str = "question",
-    learned: str | None = None,
+    learned: str | Callable[[DataFrame, str, str], DataFrame] | None = None,
     scaffolding: bool = False,
 ) -> DataFrame:
     """adds clean_question, intent, confidence and notes to every row.
 
-    ``learned`` names an array column of the phrases that may occur in the row;
-    ``operators.questions.attach_learned`` builds one from a phrase table.
+    ``learned`` names an array column of the phrases that may occur in the row, or is a
+    function of (rows, text column, new column) that adds one once the steps before have been taken;
+    ``operators.questions.learned_from`` makes it from a phrase table of any size.
     """
     raw = F.col(text)
     valid = F.coalesce(F.length(raw) >= 3, F.lit(False))
@@ -156,6 +170,8 @@ def normalise_questions(
             "_q": F.coalesce("_f.text", "_q"),
         }
     )
+    if callable(learned):
+        out, learned = learned(out, "_q", "_phrases"), "_phrases"
     if learned:
         out = out.withColumn("_l", remove_learned(F.col("_q"), F.col(learned)))
         out = out.withColumns(
@@ -195,7 +211,7 @@ def normalise_questions(
         out = out.withColumn(
             "scaffolded_prompt", F.when(valid, scaffold(F.col("clean_question"), F.col("intent")))
         )
-    return out.drop("_raw", "_formal", "_q", "_n1", "_n2", "_n3", "_f", "_l", "_caps", "_ctx")
+    return out.drop("_raw", "_formal", "_q", "_n1", "_n2", "_n3", "_f", "_l", "_phrases", "_caps", "_ctx")
 
 
 def spell_key(q: Column) -> Column:

@@ -64,3 +64,17 @@ def truncate_at_word(c: Column, limit: int) -> Column:
         lambda acc: F.concat(F.trim(acc["text"]), F.when(acc["open"], F.lit("")).otherwise(F.lit("..."))),
     )
     return F.when(F.length(c) <= limit, c).otherwise(kept)
+
+
+GRAM = 3
+
+
+def letters(text: Column) -> Column:
+    return F.split(text, "")
+
+
+def grams(spelt: Column, n: int) -> Column:
+    """The distinct runs of ``n`` of an array of letters."""
+    last = F.size(spelt) - n
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[spelt[i + k] for k in range(n)]))
+    return F.when(last >= 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))

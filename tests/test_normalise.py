@@ -97,6 +97,46 @@ def test_regex_characters_in_learned_phrases(spark):
     assert normalise.normalise_questions(df, learned="learned").first()["clean_question"] == "What is x?"
 
 
+def removed(spark, asked, phrases, **options):
+    table = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    df = questions.attach_learned(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, question string"), table)
+    return [r[0] for r in df.orderBy("i").select(normalise.remove_learned(F.col("question"), F.col("learned"))["text"]).collect()]
+
+
+def test_removal_that_closes_up_to_another_phrase(spark):
+    phrases = ["xyz", "ab", "c", "bcd", "qqqq", "é ß", "😀!"]
+    asked = ["axyzb", "AxYzB keep", "bxyzcd", None, "", "ab" * 40, "one É ß two", "hi 😀! a😀!b", "nothing of it", "axyxyzzb"]
+    expected = []
+    for text in asked:
+        for p in sorted(phrases, key=lambda p: (-len(p), p)):
+            at = text.lower().find(p) if text is not None else -1
+            while at >= 0:
+                text = text[:at] + text[at + len(p):]
+                at = text.lower().find(p, at)
+        expected.append(text)
+    assert removed(spark, asked, phrases) == expected
+
+
+def test_a_million_phrases(spark):
+    many = spark.range(1_000_000).select(F.concat(F.lit("phrase "), F.hex("id"), F.lit(" end")).alias("phrase"))
+    asked = spark.createDataFrame([(1, "So phrase 1F4 end tell"), (2, "phrase F423F end"), (3, "phrase F4240 end"), (4, None)], "i int, question string")
+    rows = questions.attach_learned(asked, questions.learned_dictionary(many)).orderBy("i").collect()
+    assert [r["learned"] for r in rows] == [["phrase 1f4 end"], ["phrase f423f end"], [], []]
+
+
+def test_only_texts_with_the_rarest_letters_meet_a_phrase(spark):
+    texts = spark.createDataFrame([(str(i), "the quick fox " + ("zzz jumps" if i == 7 else "jumps")) for i in range(50)], "key string, text string")
+    phrases = spark.createDataFrame([("the zzz",), ("fox zzz",), ("zz",), ("fox j",)], "phrase string")
+    assert {tuple(r) for r in questions.phrase_hits(texts, phrases).collect()} == {("7", "fox zzz"), ("7", "zz")} | {(str(i), "fox j") for i in range(50) if i != 7}
+
+
+def test_learned_phrases_of_the_text_that_the_chain_has_made(spark):
+    asked = spark.createDataFrame([("hey what r u doing sir",)], "question string")
+    words = questions.learned_dictionary(spark.createDataFrame([("are you ",), ("sir",)], "phrase string"))
+    (row,) = normalise.normalise_questions(asked, learned=questions.learned_from(words)).collect()
+    assert row["clean_question"] == "What doing?" and row["notes"].count("removed_learned") == 2
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
