@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import lexicon
 from lectern.functions import gates, similarity
 from lectern.functions.words import strip
-from lectern.operators import blocks
+from lectern.operators import content_check, fuzzy
 from lectern.operators.layout import spread_small, written
 from lectern.sources.curriculum import CONCEPT, DEPTH, node_schema
 
 _FLAT = f"array<struct<subtopic_path: array<string>, ord: array<int>, c: {CONCEPT}>>"
 _TEXT = "array<struct<subtopic_path: array<string>, ord: array<int>, text: string>>"
+_LEFT = "array<struct<path: string, text: string>>"
 _NONE = "array<struct<path: string, rule: string, message: string>>"
 
 
@@ -231,11 +229,17 @@ def _check_subtopic(s: Column, parent: Column, levels: int) -> Column:
     ]
     if levels:
         rules.append(_below(s["subtopics"], lambda n: _check_subtopic(n, path, levels - 1)))
-    else:
-        rules.append(_breach(path, "too_deep", F.size(s["subtopics"]) > 0, F.lit("has subtopics deeper than is checked")))
     return F.concat(*rules)
 
 
+def _deeper(s: Column, parent: Column, levels: int) -> Column:
+    """The subtopics below the levels that were parsed, as JSON text with the path of what holds them."""
+    path = _named(parent, "Subtopic", s["name"])
+    if levels:
+        return _or_empty(F.flatten(F.transform(s["subtopics"], lambda n: _deeper(n, path, levels - 1))), _LEFT)
+    return _or_empty(F.transform(s["subtopics"], lambda t: F.struct(path.alias("path"), t.alias("text"))), _LEFT)
+
+
 def violations(subjects: DataFrame, allowed: list[str] = lexicon.SUBJECTS, depth: int = DEPTH) -> DataFrame:
     """P20: every broken rule as a row (path, rule, message); loading itself stays lenient."""
     root = F.coalesce("subject", F.lit("unknown"))
@@ -258,8 +262,20 @@ def violations(subjects: DataFrame, allowed: list[str] = lexicon.SUBJECTS, depth
                 F.concat(F.lit("grade is not 1 to 12: "), F.coalesce("grade", F.lit("")))),
         topics,
     )
-    cols = [c for c in subjects.columns if c != "topics"]
-    return subjects.select(*cols, F.explode(every).alias("v")).select(*cols, "v.*")
+    cols = [c for c in subjects.columns if c not in ("topics", "path")]
+    found = subjects.select(*cols, F.explode(every).alias("v")).select(*cols, "v.*")
+    # What lies deeper than was parsed is walked level by level.
+    left = _or_empty(F.flatten(F.transform(
+        F.col("topics"), lambda t: _or_empty(F.flatten(F.transform(t["subtopics"], lambda s: _deeper(s, _named(root, "Topic", t["name"]), depth - 1))), _LEFT),
+    )), _LEFT)
+    deep = subjects.select(*cols, F.explode(left).alias("d"))
+    deep = written(deep.select(*cols, F.lit("subtopic").alias("kind"), "d.path", "d.text"), "deep-content")
+    if not deep.limit(1).count():
+        return found
+    node = F.try_parse_json("text")
+    named = F.concat("path", F.lit(" > Subtopic '"), F.coalesce(F.try_variant_get(node, "$.name", "string"), F.lit("unknown")), F.lit("'"))
+    nodes = deep.where(node.isNotNull()).select(*cols, "kind", named.alias("path"), node.alias("node"))
+    return found.unionByName(content_check.walk(nodes, allowed))
 
 
 # --- search -----------------------------------------------------------------
@@ -272,7 +288,7 @@ def search(
 
     A concept matches when a name, summary, step, question or answer has a
     similarity over ``ratio`` with the query, or holds all its words. An empty
-    query matches nothing. ``queries``: query_id, query.
+    query matches nothing. ``queries``: query_id, query. Equal queries and equal texts are compared once.
     """
     texts = F.concat(
         F.array("concept", "summary"), F.coalesce("steps", F.array().cast("array<string>")),
@@ -281,37 +297,20 @@ def search(
             lambda q: F.concat(F.array(q["question"]), F.coalesce(q["acceptable_answers"], F.array().cast("array<string>"))),
         )),
     )
-    items = concepts.select(
-        "subject", "ord", F.transform(F.array_compact(texts), lambda t: F.lower(t)).alias("texts")
-    )
-    items = spread_small(items)
-
-    def trim(found: pd.DataFrame) -> pd.DataFrame:
-        ordered = found.assign(key=found["ord"].map(tuple)).sort_values(["query_id", "subject", "key"])
-        return ordered.groupby("query_id", sort=False).head(max_results).drop(columns="key")
-
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        asked = [(i, t, t.split()) for i, t in zip(q["query_id"], q["query"]) if t.strip()]
-        out = []
-        for subject, ord_, texts in zip(c["subject"], c["ord"], c["texts"]):
-            hit = {i for i, _, words in asked for t in texts if all(w in t for w in words)}
-            for text in texts if ratio is not None else ():
-                matcher = SequenceMatcher(None, "", text)
-                for i, asked_text, _ in asked:
-                    if i in hit or 2 * min(len(asked_text), len(text)) <= ratio * (len(asked_text) + len(text)):
-                        continue
-                    matcher.set_seq1(asked_text)
-                    if matcher.quick_ratio() > ratio and matcher.ratio() > ratio:
-                        hit.add(i)
-            out += [(i, subject, list(ord_)) for i in hit]
-        return trim(pd.DataFrame(out, columns=["query_id", "subject", "ord"]))
-
-    lowered = queries.select("query_id", F.lower("query").alias("query"))
-    partial = blocks.match_blocks(
-        lowered, items, score, "query_id long, subject string, ord array<int>", trim=trim, **limits
-    )
+    held = concepts.select("subject", "ord", F.explode(F.array_distinct(F.transform(F.array_compact(texts), F.lower))).alias("text"))
+    # A text leads to its first concepts in tree order; one further on cannot be among a query's first.
+    first = Window.partitionBy("text").orderBy("subject", "ord")
+    held = held.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_results).drop("_n")
+    held = written(held, "search-texts")
+    asked = written(queries.select("query_id", F.lower("query").alias("query")).where("query IS NOT NULL"), "search-queries")
+    each, different = asked.select("query").where(strip(F.col("query")) != "").distinct(), held.select("text").distinct()
+    pairs = fuzzy.word_hits(each, different)
+    if ratio is not None:
+        pairs = pairs.unionByName(fuzzy.ratio_hits(each, different, ratio, **limits))
+    pairs = written(pairs.distinct(), "search-pairs")
+    hits = asked.join(pairs, "query").join(held, "text").select("query_id", "subject", "ord").distinct()
     order = Window.partitionBy("query_id").orderBy("subject", "ord")
-    best = partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_results)
+    best = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_results)
     found = written(best, "search")
     return concepts.select("subject", "ord", "topic", "concept", "summary").join(found, ["subject", "ord"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern import views
 from lectern.functions.words import let, words
-from lectern.operators import curriculum
+from lectern.operators import content_check, curriculum
 from lectern.plans.questions import sql_words
 from lectern.plans.registry import query
 from lectern.session import shared_folder
@@ -235,10 +235,38 @@ def violations(spark, folder):
     return out.groupBy("subject", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "p20_strict_schema",
+    r"""
+WITH made AS (SELECT doc_id, 5 + doc_id % 4 AS depth, regexp_matches(text, '^\s*$') AS blank FROM documents WHERE text IS NOT NULL), leaves AS (FROM made WHERE doc_id % 6 <> 5), broken AS (
+  SELECT doc_id, 'subject' AS rule FROM made UNION ALL SELECT doc_id, 'unknown_field' FROM made WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'grade' FROM made WHERE doc_id % 15 > 12 OR doc_id % 15 = 0
+  UNION ALL SELECT doc_id, 'wrong_type' FROM leaves WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'concept_summary' FROM leaves WHERE blank
+  UNION ALL SELECT doc_id, 'unknown_field' FROM leaves WHERE doc_id % 5 = 1 UNION ALL SELECT doc_id, 'hint_text' FROM leaves
+  UNION ALL SELECT doc_id, 'question_fields' FROM leaves WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'subtopic_content' FROM made WHERE doc_id % 6 = 5)
+SELECT doc_id, rule, count(*) AS n FROM broken GROUP BY ALL""",
+)
+def strict_schema(spark, folder):
+    """Curricula five to eight subtopics deep around each document's text, with fields and types that the schema does not know."""
+    n, quoted = F.col("doc_id"), F.to_json(F.struct(F.col("text").alias("summary")))
+    part = lambda condition, text: F.when(condition, F.lit(text)).otherwise(F.lit(""))
+    leaf = F.concat(
+        F.lit('{"name": "leaf"'), part(n % 6 != 5, ', "concepts": ['),
+        F.when(n % 6 != 5, F.concat(F.regexp_replace(quoted, r"\}$", ""), F.lit(', "name": "C", "steps": '), F.when(n % 2 == 0, "7").otherwise('["a"]'),
+               part(n % 5 == 1, ', "colour": {"deep": [1]}'), F.lit(', "questions": [{"question": "q"'), part(n % 7 != 0, ', "acceptable_answers": ["a"]'),
+               F.lit(', "hints": ["", "h"]}]}]'))).otherwise(F.lit("")), F.lit("}"),
+    )
+    depth = (n % 4 + 5).cast("int")
+    nest = F.concat(F.repeat(F.lit('{"name": "s", "subtopics": ['), depth), leaf, F.repeat(F.lit("]}"), depth))
+    value = F.concat(F.lit('{"subject": "none", "grade": '), (n % 15).cast("string"), part(n % 3 == 0, ', "author": "x"'), F.lit(', "topics": [{"name": "T", "subtopics": ['), nest, F.lit("]}]}"))
+    files = views.table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", value.alias("value"))
+    return content_check.violations(files).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 _BOOK = r"""WITH book AS (SELECT item_id, array_to_string(w[1:3], ' ') AS concept, text AS summary, string_split(text, '. ') AS steps
   FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)),
-asked AS (SELECT conv_id * 1000 + turn AS query_id, lower(array_to_string(w[1:2], ' ')) AS query
-  FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'user'))"""
+asked AS (SELECT concat('q', conv_id, '-', turn) AS query_id, lower(text) AS query FROM conversations WHERE role = 'user'
+  UNION ALL SELECT concat('i', item_id, '-', n - 1), lower(steps[n]) FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS n FROM book))"""
 
 
 def _book(spark, folder):
@@ -251,30 +279,35 @@ def _book(spark, folder):
 
 
 def _asked(spark, folder):
-    text = F.array_join(F.slice(words(F.col("question")), 1, 2), " ")
-    return views.questions(spark, folder).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.alias("query"))
+    """Every whole question, and every sentence of every item."""
+    turns = views.questions(spark, folder).select(F.concat(F.lit("q"), "conv_id", F.lit("-"), "turn").alias("query_id"), F.col("question").alias("query"))
+    items = views.table(spark, folder, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("n", "query"))
+    return turns.unionByName(items.select(F.concat(F.lit("i"), "item_id", F.lit("-"), "n").alias("query_id"), "query"))
 
 
 @query(
     "j5_t6_word_search",
-    _BOOK + """
+    _BOOK + r"""
 SELECT query_id, place, concept FROM (
-  SELECT query_id, concept, CAST(row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS INTEGER) AS place FROM asked, book
-  WHERE query <> '' AND len(list_filter(list_concat([lower(concept), lower(summary)], list_transform(steps, lambda s: lower(s))), lambda t:
-        len(list_filter(string_split(query, ' '), lambda q: NOT contains(t, q))) = 0)) > 0) WHERE place <= 3""",
+  SELECT query_id, concept, CAST(row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS INTEGER) AS place
+  FROM (SELECT *, list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '') AS qs FROM asked), book
+  WHERE len(qs) > 0 AND len(list_filter(list_concat([lower(concept), lower(summary)], list_transform(steps, lambda s: lower(s))), lambda t:
+        len(list_filter(qs, lambda q: NOT contains(t, q))) = 0)) > 0) WHERE place <= 3""",
 )
 def word_search(spark, folder):
-    """The opening two words of every question, by containment alone."""
+    """Whole questions and items by containment alone."""
     out = curriculum.search(_book(spark, folder), _asked(spark, folder), ratio=None)
     return out.select("query_id", "place", "concept")
 
 
 @query("j5_t6_fuzzy_search")
 def fuzzy_search(spark, folder):
-    """The first sentence of every item, its letter e lost, against names, summaries and steps."""
-    damaged = F.replace(F.get(F.split("text", r"\. "), F.lit(0)), F.lit("e"), F.lit(""))
-    asked = views.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), damaged.alias("query"))
-    return curriculum.search(_book(spark, folder), asked).select("query_id", "place", "concept")
+    """Every whole item and question, their letters e lost, against names, summaries and steps."""
+    asked = _asked(spark, folder).unionByName(
+        views.table(spark, folder, "benchmark").select(F.concat(F.lit("w"), "item_id").alias("query_id"), F.col("text").alias("query"))
+    )
+    damaged = asked.withColumn("query", F.replace("query", F.lit("e"), F.lit("")))
+    return curriculum.search(_book(spark, folder), damaged).select("query_id", "place", "concept")
 
 
 @query("t7_f35_relevant_sentence")

@@ -1,10 +1,11 @@
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import curriculum, grading
+from lectern.operators import curriculum, fuzzy, grading
 from lectern.sources import curriculum as source
 
 
@@ -107,13 +108,21 @@ def test_valid_content_has_no_violations(spark):
     assert curriculum.violations(source.load(files)).count() == 0
 
 
-def test_content_below_the_depth_read_is_reported(spark):
-    node = {"name": "leaf", "concepts": [concept("C")]}
-    for n in range(5):
-        node = {"name": f"n{n}", "subtopics": [node]}
-    files = spark.createDataFrame([("/c/a.json", json.dumps({"subject": "English", "grade": 1, "topics": [{"name": "T", "subtopics": [node]}]}), True)],
-                                  "path string, value string, flat boolean")
-    assert "too_deep" in [r["rule"] for r in curriculum.violations(source.load(files)).collect()]
+def test_content_is_checked_at_any_depth(spark):
+    def nested(depth, leaf):
+        for n in range(depth):
+            leaf = {"name": f"n{n}", "subtopics": [leaf]}
+        content = {"subject": "English", "grade": "1", "topics": [{"name": "T", "subtopics": [leaf]}]}
+        return spark.createDataFrame([("/c/a.json", json.dumps(content), True)], "path string, value string, flat boolean")
+
+    good = {"name": "leaf", "concepts": [concept("C")]}
+    bad = {"name": " ", "concepts": [{**concept("C"), "steps": [], "colour": 1}], "subtopics": [{"name": "x"}]}
+    for depth in (3, 5, 9):
+        assert curriculum.violations(source.load(nested(depth, good))).count() == 0
+        found = curriculum.violations(source.load(nested(depth, bad))).collect()
+        rules = {r["rule"] for r in found}
+        assert {"subtopic_name", "steps_empty", "subtopic_content"} <= rules and "too_deep" not in rules
+        assert any(r["path"].startswith(f"English > Topic 'T' > Subtopic 'n{depth - 1}'") for r in found)
 
 
 def test_flatten_goes_as_deep_as_the_content(spark):
@@ -158,6 +167,38 @@ def test_search_matches_brute_force_in_both_layouts(spark, flat):
         assert got == {i: brute_search(rows, q, 0.6) for i, q in enumerate(queries)}
 
 
+def test_bounds_rule_out_pairs_and_lose_none():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgil mnoprst") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(120)] + ["x" * 300, "é" * 40, "", "a"]
+    queries = [t.replace("e", "") for t in texts[:40]] + ["".join(rng.sample(t, len(t))) for t in texts[40:60]] + ["x" * 250, "ab"]
+    found, tried = fuzzy.over_ratio(queries, texts, 0.6)
+    pairs = {(i, j) for i, q in enumerate(queries) for j, t in enumerate(texts) if SequenceMatcher(None, q, t).ratio() > 0.6}
+    assert set(found) == pairs and len(found) == len(pairs)
+    assert tried < 0.25 * len(queries) * len(texts)
+
+
+@pytest.mark.parametrize("a, b, n", [("", "abc", 0), ("abc", "abc", 3), ("abcbdab", "bdcaba", 4), ("x" * 90, "x" * 70, 70), ("ab" * 50, "ba" * 50, 99)])
+def test_subsequence(a, b, n):
+    assert fuzzy.subsequence(a, b) == n
+
+
+def test_fuzzy_search_at_every_length(spark):
+    """Length classes lose no pair: texts of all lengths against queries of all lengths, with one letter."""
+    texts = spark.createDataFrame([("a" * n,) for n in range(1, 60)], "text string")
+    asked = spark.createDataFrame([("a" * n,) for n in range(1, 60)], "query string")
+    got = {(len(r["query"]), len(r["text"])) for r in fuzzy.ratio_hits(asked, texts, 0.6).collect()}
+    assert got == {(m, n) for m in range(1, 60) for n in range(1, 60) if 2 * min(m, n) / (m + n) > 0.6}
+
+
+def test_word_hits_of_short_words_and_odd_texts(spark):
+    texts = ["a cat sat", "at a", "", "b", "the cat", "é o", "o\u2003é cat"]
+    asked = ["a at", "cat a", "b", "é", "at\u2003cat", "zz", " "]
+    found = fuzzy.word_hits(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    expected = {(q, t) for q in asked for t in texts if q.split() and all(w in t for w in q.split())}
+    assert {tuple(r) for r in found.collect()} == expected
+
+
 def test_relevant_sentence_takes_the_first_best(spark):
     text = "Cells are small. Plants make food. Cells are small"
     df = spark.createDataFrame([(1, text, "Cells are small")], "id int, s string, q string")
