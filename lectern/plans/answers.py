@@ -14,7 +14,7 @@ from lectern.views import with_views
 
 _LONG = f"list_distinct(list_filter(regexp_split_to_array(lower(said), '{EDGE}+'), lambda w: length(w) >= 5))"
 _SAID = """told AS (SELECT conv_id, turn, question, CASE (conv_id + turn) % 4 WHEN 0 THEN concat(question, ' ', answer)
-  WHEN 1 THEN concat(answer, ' I couldn''t find more') WHEN 2 THEN answer ELSE left(answer, 15) END AS said,
+  WHEN 1 THEN concat(answer, ' I couldn''t find more') WHEN 2 THEN answer ELSE question END AS said,
   CASE WHEN (conv_id + turn) % 4 = 1 THEN [question, answer] WHEN turn = 0 THEN [question] ELSE [question, question] END AS context FROM answers)"""
 
 
@@ -22,7 +22,7 @@ def _told(spark, folder):
     kind = (F.col("conv_id") + F.col("turn")) % 4
     said = (
         F.when(kind == 0, F.concat("question", F.lit(" "), "answer")).when(kind == 1, F.concat("answer", F.lit(" I couldn't find more")))
-        .when(kind == 2, F.col("answer")).otherwise(F.substring("answer", 1, 15))
+        .when(kind == 2, F.col("answer")).otherwise(F.col("question"))
     )
     context = (
         F.when(kind == 1, F.array("question", "answer")).when(F.col("turn") == 0, F.array("question"))

@@ -264,25 +264,24 @@ def embeddings(spark, folder):
 
 @query(
     "s6_chunk_files",
-    """
-SELECT doc_id, c AS chunk_id, concat(lang, '-', c) AS text FROM documents, (VALUES (0), (1), (2)) n(c) WHERE doc_id % 4 < 3""",
+    _CHUNKS + """
+SELECT doc_id, chunk_id, text FROM chunks WHERE doc_id % 4 < 3""",
 )
 def chunk_files(spark, folder):
-    """Three shapes of stored chunk file; a fourth has no chunks."""
-    items = F.transform(
-        F.array(F.lit(0), F.lit(1), F.lit(2)),
-        lambda c: F.struct(F.concat("lang", F.lit("-"), c.cast("string")).alias("text"), c.alias("chunk_id")),
-    )
+    """The chunks of every document in three shapes of stored chunk file; a fourth has no chunks."""
+    chunks = ingest.chunk_documents(views.corpus(spark, folder).select("doc_id", "text")).where("text IS NOT NULL")
+    # A file holds the chunks of one document.
+    items = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
+    files = chunks.groupBy("doc_id").agg(F.transform(items, lambda c: F.struct(c["text"].alias("text"), c["chunk_id"].alias("chunk_id"))).alias("items"))
     n = F.col("doc_id")
-    as_list = F.to_json(items)
+    as_list = F.to_json("items")
     content = (
         F.when(n % 4 == 0, as_list)
-        .when(n % 4 == 1, F.to_json(F.struct(F.lit(1).alias("version"), items.alias("chunks"))))
+        .when(n % 4 == 1, F.to_json(F.struct(F.lit(1).alias("version"), F.col("items").alias("chunks"))))
         .when(n % 4 == 2, F.concat(F.lit('{"n": 3, "tags": ["a"], "parts": '), as_list, F.lit(', "more": [{"text": "no"}]}')))
         .otherwise(F.lit('{"n": 0, "tags": []}'))
     )
-    files = views.table(spark, folder, "documents").select("doc_id", content.alias("value"))
-    return corpus.chunk_file_items(files).select("doc_id", "chunk_id", "text")
+    return corpus.chunk_file_items(files.select("doc_id", content.alias("value"))).select("doc_id", "chunk_id", "text")
 
 
 @query(

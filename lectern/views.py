@@ -118,8 +118,8 @@ def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select(
-        (F.col("page_id") % 50).alias("doc_id"),
-        F.floor(F.col("page_id") / 50).cast("int").alias("page_no"),
+        F.floor(F.col("page_id") / 5).alias("doc_id"),
+        (F.col("page_id") % 5).cast("int").alias("page_no"),
         F.col("html").alias("text"),
     )
 
@@ -158,7 +158,7 @@ SQL_VIEWS = {
     "query_vectors": """
         SELECT vec_id AS query_id, embedding AS query_embedding FROM embeddings WHERE vec_id % 50 = 0""",
     "page_text": """
-        SELECT page_id % 50 AS doc_id, CAST(page_id // 50 AS INTEGER) AS page_no, html AS text FROM pages""",
+        SELECT page_id // 5 AS doc_id, CAST(page_id % 5 AS INTEGER) AS page_no, html AS text FROM pages""",
 }
 
 _NEEDS = {"catalogue": ["attempts"]}
