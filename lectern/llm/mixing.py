@@ -9,8 +9,8 @@ draws give a source beyond its quota goes to the sources below theirs, slot by
 slot, so targets are met to a block and no block is taken more than twice.
 
 Nothing is grouped by source alone but one row per source and slice: offsets are
-running totals over hashed slices, so a source that holds a third of all rows is
-spread like any other. One row per source reaches the driver: a mixture's
+running totals over hashed slices, so a source that holds a third of all rows, or one doc_id
+in all of them, is spread like any other. One row per source reaches the driver: a mixture's
 sources and weights are its configuration.
 
 Defined results: a null text has size 0; a null source is a source, the last;
@@ -37,6 +37,7 @@ REPEAT = 2
 BLOCK = 128
 SHARD = 4096
 SLICE = 4096
+TASK_SLOTS = 1 << 16
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -138,8 +139,12 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     numbered = rows.join(
         sources.select(F.col("source").alias("s"), "number"), F.col("source").eqNullSafe(F.col("s")),
     ).select("row", "doc_id", "number", "size").where("size > 0")
-    # Places follow from doc_ids alone, so another layout of the files gives the same mix.
-    slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(n_slices))
+    # Places follow from doc_ids alone, so another layout of the files gives the same mix; only a doc_id (or null) that is
+    # there more often than a slice has rows is spread by its rows.
+    often = stored(numbered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SLICE).select(F.col("doc_id").alias("often")), "often")
+    numbered = numbered.join(often.withColumn("hot", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("often")), "left")
+    numbered = numbered.withColumn("part", F.when(F.col("hot"), F.col("row"))).drop("often", "hot")
+    slice_of = F.pmod(F.xxhash64("doc_id", "part"), F.lit(n_slices))
     placed = running_total(numbered, ["number"], slice_of, [F.col("doc_id"), F.col("size"), F.col("row")], "size", "at")
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
     parts = placed.withColumn("block", F.explode(F.sequence(first, last))).select(
@@ -152,7 +157,9 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     for r in drawn.groupBy("number").agg(F.sum("n").alias("n")).collect():
         got[r["number"]] = r["n"]
     ordered = running_total(drawn, ["number"], F.floor(F.col("shard") / 1024), [F.col("shard")], "n", "first")
-    return sources, parts, slots(ordered, quota, got, blocks, seed)
+    # A few draws become very many slots: as many tasks as the slots ask for, not as the draws do.
+    spread = ordered.repartition(max(1, -(-int(quota.sum()) // TASK_SLOTS)))
+    return sources, parts, slots(spread, quota, got, blocks, seed)
 
 
 def sized_rows(docs: DataFrame, *columns: str) -> DataFrame:
