@@ -27,10 +27,14 @@ from lectern.llm.storage import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 # How a page names another address of itself.
-CANONICAL = r"(?is)<link\s[^>]*rel\s*=\s*[\"']?canonical\b[^>]*>"
+CANONICAL = (
+    r"(?is)<link\s(?:[^>]*\s)?rel\s*=\s*"
+    r"(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"[^>]*|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'[^>]*|canonical(?:[\s/][^>]*)?)>"
+)
 REFRESH = r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_TO = r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)"
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 LOCATION = r"(?is)\blocation(?:\.href)?\s*(?:=|\.replace\(|\.assign\()\s*[\"']([^\"'\s>]+)[\"']"
 
 
@@ -42,10 +46,39 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, SPLIT, 2), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``, the latter with the segment before."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == ".", kept).when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, part))
+
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    plain = F.array_join(F.concat(F.aggregate(parts, none, step), ends), "/")
+    return F.when(F.contains(path, F.lit("/.")), plain).otherwise(path)
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its HTML entities resolved: those of XML, and numbers of printable ASCII."""
+    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(?:0*[0-9]{2,3}|x0*[0-9a-f]{2});"), 0))
+
+    def resolve(done: Column, mark: Column) -> Column:
+        digits = F.regexp_extract(mark, "(?i)#x?([0-9a-f]+)", 1)
+        code = F.conv(digits, 10, 10).cast("int")
+        code = F.when(F.lower(mark).startswith("&#x"), F.conv(digits, 16, 10).cast("int")).otherwise(code)
+        return F.when(code.between(33, 126), F.replace(done, mark, F.char(code))).otherwise(done)
+
+    out = F.aggregate(marks, text, resolve)
+    for name, letter in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
 def node_of(url: Column) -> Column:
-    """Host, path and query; null where there is no host."""
+    """Host, path without dot segments, and query; null where there is no host."""
     host = host_of(url)
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    path = F.when(path_of(url) == "", "/").otherwise(without_dots(path_of(url)))
     return F.when(host != "", F.concat(host, path, F.coalesce(F.regexp_extract(url, SPLIT, 3), F.lit(""))))
 
 
@@ -65,8 +98,8 @@ def resolved(link: Column, url: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): nodes that (url, html) says are one page."""
     links = F.concat(
-        F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), 0), lambda t: F.regexp_extract(t, HREF, 1)),
-        F.transform(F.regexp_extract_all("html", F.lit(REFRESH), 0), lambda t: F.regexp_extract(t, REFRESH_TO, 1)),
+        F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), 0), lambda t: unescaped(F.regexp_extract(t, HREF, 1))),
+        F.transform(F.regexp_extract_all("html", F.lit(REFRESH), 0), lambda t: unescaped(F.regexp_extract(t, REFRESH_TO, 1))),
         F.regexp_extract_all("html", F.lit(LOCATION), 1),
     )
     # Most pages have no such mark: they stop at one look for the words.
@@ -130,9 +163,25 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _plain_sql(path: str) -> str:
+    """The path's segments taken one after another, as a list that ``..`` shortens."""
+    walk = f"""list_reduce(list_prepend(CAST([] AS VARCHAR[]), [[p] FOR p IN string_split({path}, '/')]),
+        lambda kept, p: CASE p[1] WHEN '.' THEN kept WHEN '..' THEN kept[:greatest(len(kept) - 1, 1)] ELSE list_append(kept, p[1]) END)"""
+    return f"array_to_string({walk}, '/') || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END"
+
+
+def _told_sql(link: str) -> str:
+    """Entities by a replacement for each printable letter."""
+    numbers = f"""list_reduce(list_prepend({link}, [chr(c) FOR c IN range(33, 127)]), lambda t, c:
+        regexp_replace(t, '&#(0*' || ascii(c) || '|[xX]0*' || lower(hex(ascii(c))) || '|[xX]0*' || hex(ascii(c)) || ');', CASE c WHEN chr(92) THEN '\\\\' ELSE c END, 'g'))"""
+    for name, letter in ENTITIES.items():
+        numbers = f"replace({numbers}, '&{name};', '{letter.replace(chr(39), chr(39) * 2)}')"
+    return numbers
+
+
 def _node_sql(url: str) -> str:
     host = f"translate(regexp_extract({url}, {_quoted(SPLIT)}, 1), '{UPPER}', '{LOWER}')"
-    path = f"regexp_extract({url}, {_quoted(SPLIT)}, 2)"
+    path = _plain_sql(f"regexp_extract({url}, {_quoted(SPLIT)}, 2)")
     return (
         f"CASE WHEN {host} <> '' THEN {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END"
         f" || coalesce(regexp_extract({url}, {_quoted(SPLIT)}, 3), '') END"
@@ -154,8 +203,8 @@ WITH RECURSIVE rows AS (
          coalesce(regexp_extract(url, {_quoted(SPLIT)}, 2), '') AS path, {_node_sql('url')} AS node FROM pages
 ), links AS (
   SELECT node, host, path, unnest(list_concat(list_concat(
-    [regexp_extract(t, {_quoted(HREF)}, 1) FOR t IN regexp_extract_all(html, {_quoted(CANONICAL)})],
-    [regexp_extract(t, {_quoted(REFRESH_TO)}, 1) FOR t IN regexp_extract_all(html, {_quoted(REFRESH)})]),
+    [{_told_sql(f"regexp_extract(t, {_quoted(HREF)}, 1)")} FOR t IN regexp_extract_all(html, {_quoted(CANONICAL)})],
+    [{_told_sql(f"regexp_extract(t, {_quoted(REFRESH_TO)}, 1)")} FOR t IN regexp_extract_all(html, {_quoted(REFRESH)})]),
     regexp_extract_all(html, {_quoted(LOCATION)}, 1))) AS link
   FROM rows WHERE node IS NOT NULL
 ), edges AS (
