@@ -8,8 +8,8 @@ have one in that group; only groups that reach the bound are opened, and there t
 the exact overlap with every member at once.
 
 Which groups a set has to look at follows from an order of all tokens, common ones last: a
-pair at the threshold shares a token among the first n - ceil(t * n) + 1 of each set, so the
-matrix is joined on those alone. How common a token is, is counted over all documents, in 2**32
+pair at the threshold shares k tokens among the first n - ceil(t * n) + k of each set, for any k. So the
+matrix is joined on those alone, and sets that share too few with all others together never reach it. How common a token is, is counted over all documents, in 2**32
 buckets of its hash; the ``COMMON`` commonest buckets are ordered by their counts, all other
 tokens by their hash. The order decides the work, not the result.
 
@@ -26,11 +26,12 @@ linked with nothing and its component is null. Sets are of 64-bit shingle hashes
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
@@ -40,8 +41,10 @@ from lectern.llm.words import Words, pieces
 
 MEMBERS, GROUP_TOKENS = 32, 1 << 16
 COMMON, COMMON_LEAST = 1 << 16, 32
+RANGE_BITS, PACK_TOKENS = 10, 1 << 22
 BLOCK_BYTES = 16 << 20
 KEYS = 3
+MORE = 15
 
 _MULTIPLY = np.random.default_rng(131).integers(0, 1 << 63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
@@ -66,26 +69,63 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def common_buckets(docs: DataFrame) -> np.ndarray:
-    """The commonest token buckets, rarest first: at most ``COMMON``, counted over all documents."""
+    """The commonest token buckets, rarest first: at most ``COMMON``, counted over all documents.
+
+    Buckets leave a task sorted and packed, one row per range of them, and are counted a range at a
+    time in an array of fixed size, so that Spark moves few rows and no table of counts grows with the corpus.
+    """
+    width = 32 - RANGE_BITS
+    edges = np.arange(1 << RANGE_BITS, dtype=np.uint64) << np.uint64(width)
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        buckets = np.sort(np.concatenate([*held, np.zeros(0, np.uint32)]))
+        cut = np.r_[np.searchsorted(buckets, edges.astype(np.uint32)), len(buckets)]
+        some = np.flatnonzero(np.diff(cut))
+        return pa.record_batch({
+            "part": pa.array(some.astype(np.int32)), "packed": pa.array([buckets[cut[k]: cut[k + 1]].tobytes() for k in some], pa.binary()),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in pieces(batches):
-            sets = list(shingle_sets(Words(batch.column(0), lower=True)))
-            tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            yield pa.record_batch({"bucket": pa.array((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32))})
+            for tokens in shingle_sets(Words(batch.column(0), lower=True)):
+                held.append((tokens >> np.uint64(32)).astype(np.uint32))
+                n += len(tokens)
+            if n >= PACK_TOKENS:
+                yield pack(held)
+                held, n = [], 0
+        yield pack(held)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts = None, np.zeros(1 << width, np.int64)
+
+        def common() -> pa.RecordBatch:
+            often = np.flatnonzero(counts >= COMMON_LEAST)
+            often = often[np.argsort(-counts[often], kind="stable")[:COMMON]]
+            bucket = (often.astype(np.uint64) | np.uint64((part or 0) << width)).astype(np.uint32).view(np.int32)
+            return pa.record_batch({"bucket": pa.array(bucket), "c": pa.array(counts[often])})
 
-    counts = docs.select("text").mapInArrow(run, "bucket int").groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.where(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "bucket").limit(COMMON)
-    found = [r["bucket"] for r in top.collect()]
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if at != part:
+                    yield common()
+                    part, counts[:] = at, 0
+                own, times = np.unique(np.frombuffer(packed.as_buffer(), np.uint32) & np.uint32((1 << width) - 1), return_counts=True)
+                counts[own] += times
+        yield common()
+
+    packed = docs.select("text").mapInArrow(run, "part int, packed binary").repartition("part").sortWithinPartitions("part")
+    top = stored(packed.mapInArrow(counted, "bucket int, c long").orderBy(F.desc("c"), "bucket").limit(COMMON), "common")
+    found = [r["bucket"] for r in top.orderBy(F.desc("c"), "bucket").collect()]
     return np.array(found[::-1], np.int32).view(np.uint32)
 
 
 def prefix(tokens: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(t * n) + 1 of the sorted ``tokens``, common ones last.
+    """The first n - ceil(t * n) + k of the sorted ``tokens``, common ones last; k is ``MORE`` percent of n, at least 1.
 
     ``common`` are the sorted common buckets and ``rank`` their places in the order.
     """
-    count = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    count = len(tokens) - -(-percent * len(tokens) // 100) + max(1, MORE * len(tokens) // 100)
     bucket = (tokens >> np.uint64(32)).astype(np.uint32)
     place = np.searchsorted(common, bucket)
     late = np.zeros(len(tokens), bool)
@@ -117,6 +157,28 @@ def prefixes(texts: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
     return texts.select("cls", "text").mapInArrow(run, "token long, cls long, n long")
 
 
+def fewest(percent: int) -> Column:
+    """Tokens that the prefix of a set of size n has to share with that of any partner, which has at least ceil(t * n) itself."""
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    return F.greatest(F.floor(least * MORE / 100), F.lit(1))
+
+
+def shared(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, cls, n) whose token is also in the prefix of another class that is not too large or small for a link.
+
+    A class with too few of them for any partner goes.
+    """
+    several = lambda df, *by: df.groupBy(*by).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select(*by)
+    met = stored(rows.join(several(rows, "token"), "token"), "shared")
+    # Sizes that fit are in the same class or in neighbouring ones; a row is put to the two pairs of classes that it belongs to.
+    width = math.log(100 / percent) * (1 + 1e-9)
+    size = F.floor(F.log(F.col("n").cast("double")) / width)
+    put = met.withColumn("pair", F.explode(F.array(size, size + 1)))
+    met = stored(put.join(several(put, "token", "pair"), ["token", "pair"]).select("token", "cls", "n").distinct(), "fitting")
+    enough = met.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= fewest(percent)).select("cls")
+    return met.join(stored(enough, "enough"), "cls", "left_semi")
+
+
 class Group:
     """The matrix of one group: the tokens of all members, and a row of bits for each."""
 
@@ -159,14 +221,14 @@ class Group:
         return np.flatnonzero(100 * both >= percent * (len(tokens) + self.sizes - both))
 
 
-def joining(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a symmetric matrix that join its components, each once."""
+def joining(linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of a symmetric matrix that join its components, each once, and the component of each row."""
     label, out = np.arange(len(linked)), []
     for i, j in zip(*np.nonzero(np.triu(linked, 1))):
         if label[i] != label[j]:
             out.append((int(i), int(j)))
             label[label == label[j]] = label[i]
-    return out
+    return out, label
 
 
 def linked_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -174,45 +236,52 @@ def linked_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-GROUPS = "gid long, members array<long>, sizes array<int>, `union` binary, bits binary, a array<long>, b array<long>"
+GROUPS = "gid long, members array<long>, sizes array<int>, `union` binary, bits binary, labels array<long>, a array<long>, b array<long>"
 
 
 def grouped(texts: DataFrame, percent: int) -> DataFrame:
     """One row per group, with the links found while it was made.
 
     Rows are range partitioned by their MinHash keys, so a hot key is cut by the next ones.
-    A set is compared with its group, and with the first set of its key that the task has seen.
+    A set is compared with its group, and with the first set of its key that the task has seen. ``labels`` says what is
+    linked by that, as far as a task knows: by the first set of a key, else by a member.
     """
     keys = [f"k{i}" for i in range(KEYS)]
     sorted_rows = texts.select(*keys, "cls", "text").repartitionByRange(*keys, "cls").sortWithinPartitions(*keys, "cls")
 
-    def row(held: list[tuple[int, np.ndarray]], links: list[tuple[int, int]]) -> pa.RecordBatch:
+    def row(held: list[tuple[int, np.ndarray]], heads: dict[int, int]) -> pa.RecordBatch:
         group = Group.of([s for _, s in held])
         names = [c for c, _ in held]
-        links = links + [(names[i], names[j]) for i, j in joining(group.inside(percent))]
+        inside, part = joining(group.inside(percent))
+        links = [(h, c) for c, h in heads.items() if h != c] + [(names[i], names[j]) for i, j in inside]
+        label = {p: c for p, c in zip(part[::-1], names[::-1])} | {p: heads[c] for p, c in zip(part, names) if c in heads}
         return pa.record_batch({
             "gid": pa.array([names[0]], pa.int64()), "members": pa.array([names], _LONGS), "sizes": pa.array([group.sizes.tolist()], _INTS),
             "union": pa.array([group.union.tobytes()], pa.binary()), "bits": pa.array([group.packed()], pa.binary()),
+            "labels": pa.array([[label[p] for p in part]], _LONGS),
             "a": pa.array([[a for a, _ in links]], _LONGS), "b": pa.array([[b for _, b in links]], _LONGS),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, links, total, leader, last = [], [], 0, (None, None, None), None
-        for batch in pieces(batches):
-            for key, name, tokens in zip(batch.column(0).to_pylist(), batch.column(KEYS).to_pylist(), shingle_sets(Words(batch.column(KEYS + 1), lower=True))):
-                if name == last:
-                    continue  # a row that is there twice
-                if held and (len(held) == MEMBERS or total + len(tokens) > GROUP_TOKENS):
-                    yield row(held, links)
-                    held, links, total = [], [], 0
-                if key != leader[0]:
-                    leader = (key, name, tokens)
-                elif linked_sets(leader[2], tokens, percent):
-                    links.append((leader[1], name))
-                held.append((name, tokens))
-                total, last = total + len(tokens), name
+        held, heads, total, leader, last = [], {}, 0, (None, None, None), None
+        for batch in batches:
+            for piece in pieces([batch]):
+                words = Words(piece.column(KEYS + 1), lower=True)
+                for key, name, tokens in zip(piece.column(0).to_pylist(), piece.column(KEYS).to_pylist(), shingle_sets(words)):
+                    if name == last:
+                        continue  # a row that is there twice
+                    if held and (len(held) == MEMBERS or total + len(tokens) > GROUP_TOKENS):
+                        yield row(held, heads)
+                        held, heads, total = [], {}, 0
+                    if key != leader[0]:
+                        leader = (key, name, tokens)
+                        heads[name] = name
+                    elif linked_sets(leader[2], tokens, percent):
+                        heads[name] = leader[1]
+                    held.append((name, tokens))
+                    total, last = total + len(tokens), name
         if held:
-            yield row(held, links)
+            yield row(held, heads)
 
     return sorted_rows.mapInArrow(run, GROUPS)
 
@@ -228,7 +297,8 @@ def opened(asks: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     unpacked once per block, and only one is held.
     """
     asks = stored(asks, "asks")
-    wanted = asks.groupBy("own").agg(F.collect_set("cls").alias("wanted"))  # at most as many as a group has members
+    # Both small tables are written, so that the groups are shuffled only where these are large.
+    wanted = stored(asks.groupBy("own").agg(F.collect_set("cls").alias("wanted")), "wanted")  # at most as many as a group has members
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +311,7 @@ def opened(asks: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
     matrix = groups.select("gid", "members", "sizes", "union", "bits")
     sets = matrix.join(wanted, F.col("gid") == F.col("own")).drop("own").mapInArrow(unpack, "cls long, tokens binary")
-    blocks = asks.groupBy("gid").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    blocks = stored(asks.groupBy("gid").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
     queries = asks.join(sets, "cls").join(blocks, "gid").select(
         "gid", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "cls", "tokens",
         *[F.lit(None).cast(t).alias(c) for c, t in matrix.dtypes[1:]],
@@ -272,14 +342,19 @@ def opened(asks: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _placed(classes: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
-    """cls, gid, n and keys of every class in a group, with its component by ``links`` and the component's size."""
-    labels = connected_components(links).select(F.col("node").alias("cls"), "component")
-    where = groups.select("gid", F.explode("members").alias("cls"))
-    rows = where.join(classes.select("cls", "n", *[f"k{i}" for i in range(KEYS)]), "cls").join(labels, "cls", "left")
-    rows = stored(rows.withColumn("component", F.coalesce("component", "cls")), "placed")
-    size = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(size, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+def _placed(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """cls, gid, n and keys of every class in a group, with its group's label as its component."""
+    where = groups.select("gid", F.explode(F.arrays_zip("members", "labels")).alias("m")).select("gid", F.col("m.members").alias("cls"), F.col("m.labels").alias("component"))
+    return stored(where.join(classes.select("cls", "n", *[f"k{i}" for i in range(KEYS)]), "cls"), "placed")
+
+
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` with the components that ``links`` of classes join."""
+    of = placed.select("cls", "component")
+    ends = links.join(of.withColumnsRenamed({"cls": "a", "component": "x"}), "a").join(of.withColumnsRenamed({"cls": "b", "component": "y"}), "b")
+    labels = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    rows = placed.join(labels, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+    return stored(rows, "placed")
 
 
 def by_key(placed: DataFrame, key: str) -> DataFrame:
@@ -294,17 +369,18 @@ def by_key(placed: DataFrame, key: str) -> DataFrame:
 
 
 def by_matrix(postings: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Asks of every set in the groups of other, larger components that share one of its prefix tokens and whose sizes fit."""
-    rows = postings.join(placed.select("cls", "gid", "component", "size"), "cls")
+    """Asks of every set in the later groups that share enough of its prefix tokens, hold sets of a fitting size and of another component."""
+    rows = postings.join(placed.select("cls", "gid", "component"), "cls")
     several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rows = stored(rows.join(several, "token"), "matrix-rows")
-    matrix = rows.groupBy("token", F.col("gid").alias("to"), F.col("component").alias("other"), F.col("size").alias("wide")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most")
+    matrix = rows.groupBy("token", F.col("gid").alias("to")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
     fits = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    larger = F.struct("size", "component") < F.struct("wide", "other")
-    asks = rows.join(matrix, "token").where(larger & fits)
-    return asks.select("cls", F.col("gid").alias("own"), "n", F.col("to").alias("gid")).distinct()
+    # Members of one group have met; of two groups the sets of one ask in the other.
+    other = (F.col("gid") < F.col("to")) & ((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component")))
+    met = rows.join(matrix, "token").where(other & fits).select("token", "cls", F.col("gid").alias("own"), "n", F.col("to").alias("gid"))
+    return met.groupBy("cls", "own", "n", "gid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= fewest(percent)).drop("c")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -322,19 +398,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     texts = own.join(classes.drop("digest"), ["doc_id", "h"])
     rows = stored(prefixes(texts, percent, common_buckets(docs)), "prefixes")
-    shared = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    postings = stored(rows.join(shared, "token"), "postings")
+    postings = stored(shared(rows, percent), "postings")
     maybe = stored(postings.select("cls").distinct(), "maybe")
     partnered = classes.join(maybe, "cls", "left_semi")
     groups = stored(grouped(own.join(partnered.drop("digest"), ["doc_id", "h"]), percent), "groups")
 
     links = stored(_pairs(groups), "links")
-    placed = _placed(classes, groups, links)
+    placed = _placed(classes, groups)
     asks = by_key(placed, "k1")
     for i in range(2, KEYS):
         asks = asks.unionByName(by_key(placed, f"k{i}"))
     links = stored(links.unionByName(opened(asks.distinct(), groups, percent)), "links")
-    placed = _placed(classes, groups, links)
+    placed = _joined(placed, links)
     found = opened(by_matrix(postings, placed, percent), groups, percent)
 
     # From classes to documents: the first doc_id of a class stands for it; a doc_id with several sets joins their classes.
