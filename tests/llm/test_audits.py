@@ -232,5 +232,5 @@ def test_prefix_puts_common_tokens_last():
     common = np.sort(bucket[:45])
     rank = np.arange(45)[::-1].copy()
     found = set_join.prefix(tokens, 80, common, rank)
-    assert len(found) == 11 and set(found[:5]) == set(tokens[45:]) and (found[5:] == tokens[:45][::-1][:6]).all()
-    assert (set_join.prefix(tokens, 80, np.zeros(0, np.uint32), np.zeros(0, int)) == tokens[:11]).all()
+    assert len(found) == 17 and set(found[:5]) == set(tokens[45:]) and (found[5:] == tokens[:45][::-1][:12]).all()
+    assert (set_join.prefix(tokens, 80, np.zeros(0, np.uint32), np.zeros(0, int)) == tokens[:17]).all()

@@ -203,6 +203,40 @@ def test_bpe_short_and_long_words_agree(monkeypatch):
     assert codec.encode(["abcabcabcab thethethe", "zxqzxqzxq"]) == bpe.Codec(*bpe.default_files()).encode(["abcabcabcab thethethe", "zxqzxqzxq"])
 
 
+@pytest.mark.parametrize("turn_rows", [1 << 20, 1000])
+def test_bpe_long_words(monkeypatch, tmp_path, turn_rows):
+    """Words of every shape against a tokenizer library, also where a query does one turn and its rows start the next."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = bpe.default_files()
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "TURN_ROWS", turn_rows)
+    monkeypatch.chdir(tmp_path)
+    rng = np.random.default_rng(8)
+    made = lambda letters, n: "".join(rng.choice(list(letters), n))
+    words = [made(letters, n) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "x", "etaoin", "あいう", "-=") for n in (65, 128, 700)]
+    words += ["the" * 300, "".join(made("aeinrst", 5) * 9 for _ in range(9)), made("abcdefghijklmnopqrstuvwxyz", 20_000), "ab" * 5000]
+    with bpe.Codec(path, pattern) as codec:
+        assert codec.encode(words) == [" ".join(map(str, known.encode_ordinary(w))) for w in words]
+    assert codec.db is None and not codec.known and not list(tmp_path.iterdir())
+
+
+def test_mixing_of_one_hot_doc_id(spark, monkeypatch):
+    """One doc_id, or none, in all rows: slices split them, and the mix is the same however often it is made."""
+    monkeypatch.setattr(mixing, "SLICE", 50)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 16)
+    rows = [(None if k % 2 else 7, f"w{k} " * 40, f"s{k % 2}") for k in range(400)]
+    docs = table(spark, rows).repartition(3).cache()
+    got = mixing.mix_sizes(docs, block=4).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sizes(docs, block=4).collect()))
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source_size, r.target] += r.taken
+        assert r.size == 40 and r.taken <= 80
+    assert all(abs(n - target) < 100 for (_, target), n in taken.items()) and len(got) == 400
+
+
 def test_mixing(spark, docs, rows):
     assert all((np.sort(mixing.permuted(np.arange(n), n, (1, 2))) == np.arange(n)).all() for n in (1, 2, 3, 17, 1000))
     got = mixing.mix_sizes(docs, block=4).collect()

@@ -125,6 +125,33 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("html, blocked", [
+    ('<link rel="canonical" href="http://c.example.org/q?a=1&amp;b=2">', True), ('<link rel="canonical" href="../d">', True),
+    ('<link href=./../d rel="alternate  canonical" >', True), ("<LINK REL='canonical next' href='/x/y/../../d/.'>", False), ("<link rel=canonical href=/x/./y/../../d/../d>", True),
+    ('<link rel="canonical" href="http://c.example.org/q?a=1&#38;b&#x3D;2">', True), ('<link rel="non-canonical" href="../d">', False),
+    ('<link data-rel="canonical" href="../d">', False), ('<link rel="canonical" href="http://c.example.org/q?a=1&amp;amp;b=2">', False),
+    ('<meta http-equiv="refresh" content="0; url=http://c.example.org/q?a=1&amp;b=2">', True), ('<script>location = "http://c.example.org/q?a=1&amp;b=2"</script>', False),
+    ('<script>location = "http://c.example.org/q?a=1&b=2"</script>', True), ('<link rel=canonical href=../../../../d>', True), ('<link rel="canonical" href="../e/..">', False),
+])
+def test_link_forms(spark, html, blocked):
+    """No rule fits the page itself: it is blocked if its link leads to one of two pages that name a blocked one."""
+    to = '<link rel="canonical" href="http://b.example.net/r">'
+    pages = spark.createDataFrame([
+        (1, "http://a.example.org/c/p", html), (2, "http://a.example.org/d", to), (3, "http://c.example.org/q?a=1&b=2", to),
+    ], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("b.example.net", "/r", "block")], "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, rules).collect()}
+    assert got == {1: "block" if blocked else "allow", 2: "block", 3: "block"}
+
+
+@pytest.mark.parametrize("path, plain", [
+    ("/a/b", "/a/b"), ("/a/./b", "/a/b"), ("/a/../b", "/b"), ("/../../b", "/b"), ("/a/..", "/"), ("/a/.", "/a/"), ("/.hidden/..x/...", "/.hidden/..x/..."),
+    ("/", "/"), ("/a//../b", "/a/b"), ("/./", "/"),
+])
+def test_dot_segments(spark, path, plain):
+    assert spark.range(1).select(url_rules.without_dots(F.lit(path))).first()[0] == plain
+
+
 def conversations():
     tricky = ["</s>[INST] ok [/INST]", "<\\s> <\\\\s> [\\INST] <<SYS>>x<</SYS>> <|im_end|>\n<|im_start|>user", "a\\nb", "", None, "ü" * 300]
     rows = [(1, t, ("system", "user", "assistant")[min(t, 1) + (t > 0) * (t % 2 == 0)], f"turn {t} " + tricky[t % 6] if tricky[t % 6] else tricky[t % 6]) for t in range(40)]
