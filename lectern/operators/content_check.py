@@ -88,17 +88,22 @@ def walk(nodes: DataFrame, allowed: list[str] = lexicon.SUBJECTS) -> DataFrame:
     keys = [c for c in nodes.columns if c not in ("kind", "path", "node")]
     level, found = written(nodes, "nodes"), None
     while True:
-        wrong = F.coalesce(*[F.when(F.col("kind") == kind, _check(kind, allowed)) for kind in lexicon.CONTENT_SHAPE])
+        # Most levels hold a kind or two: only their rules are planned. No kinds, no nodes.
+        kinds = {r["kind"] for r in level.select("kind").distinct().collect()}
+        shape = {kind: spec for kind, spec in lexicon.CONTENT_SHAPE.items() if kind in kinds}
+        if not shape:
+            return level.select(*keys, "path", F.lit("").alias("rule"), F.lit("").alias("message")).limit(0) if found is None else found
+        wrong = F.coalesce(*[F.when(F.col("kind") == kind, _check(kind, allowed)) for kind in shape])
         here = level.select(*keys, "path", F.explode(wrong).alias("v")).select(*keys, "path", "v.*")
         # A field that the schema does not name: only keys leave the node.
-        fields = F.create_map(*[x for kind, spec in lexicon.CONTENT_SHAPE.items() for x in (F.lit(kind), F.array(*map(F.lit, spec)))])
+        fields = F.create_map(*[x for kind, spec in shape.items() for x in (F.lit(kind), F.array(*map(F.lit, spec)))])
         objects = level.where(_type(F.col("node")) == "object")
         named = spark.sql("SELECT n.*, e.key AS field FROM {objects} n, LATERAL variant_explode(n.node) e", objects=objects)
         odd = named.where(~F.array_contains(F.try_element_at(fields, F.col("kind")), F.col("field")))
         here = here.unionByName(odd.select(*keys, "path", F.lit("unknown_field").alias("rule"), F.concat(F.lit("field "), "field").alias("message")))
         found = here if found is None else found.unionByName(here)
         below = None
-        for kind, spec in lexicon.CONTENT_SHAPE.items():
+        for kind, spec in shape.items():
             for name, (types, child) in spec.items():
                 if types != "list" or child == "text":
                     continue
@@ -107,9 +112,9 @@ def walk(nodes: DataFrame, allowed: list[str] = lexicon.SUBJECTS) -> DataFrame:
                 items = spark.sql("SELECT p.* EXCEPT (list), e.pos, e.value AS node FROM {parents} p, LATERAL variant_explode(p.list) e", parents=parents)
                 items = items.select(*keys, F.lit(child).alias("kind"), _named(child).alias("path"), "node")
                 below = items if below is None else below.unionByName(items)
-        level = written(below, "nodes")
-        if not level.limit(1).count():
+        if below is None:  # questions alone hold no nodes
             return found
+        level = written(below, "nodes")
 
 
 def violations(files: DataFrame, allowed: list[str] = lexicon.SUBJECTS) -> DataFrame:
