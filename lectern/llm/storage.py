@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from lectern.operators.layout import written
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.session import shared_folder
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in the shared folder; Spark drops its shuffle files as soon as it is written."""
+_scratch: list[list[str]] = []
+
+
+def stored(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder; Spark drops its shuffle files as soon as it is written.
+
+    Within ``scratch`` the table goes at its end, unless it is one to ``keep``.
+    """
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        return written(df, purpose)
+        path = shared_folder(df.sparkSession, purpose)
+        if _scratch and not keep:
+            _scratch[-1].append(path)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored in here are deleted at the end: for work whose result is stored to keep, so that nothing reads them later."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
