@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, mixing, near_dedup, passages, toxicity
-from lectern.llm.storage import stored
+from lectern.llm.storage import scratch, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,13 @@ KEY = "_llm_row"
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (similarity 0.8 or more) the row of least doc_id, nulls last, whether ids repeat or not."""
     rows = stored(docs.select(F.monotonically_increasing_id().alias(KEY), *docs.columns), "rows")
-    found = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), percent=80)
     ids = rows.select(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY).alias("_llm_rank"))
-    members = found.select(F.col("doc_id").alias(KEY), "component_id").join(ids, KEY)
-    kept = members.groupBy("component_id").agg(F.min("_llm_rank").alias("least")).select(F.col(f"least.{KEY}").alias(KEY))
+    # Sketches, sets and bands are done with once the keys to keep are written.
+    with scratch(spark):
+        found = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), percent=80)
+        members = found.select(F.col("doc_id").alias(KEY), "component_id").join(ids, KEY)
+        least = members.groupBy("component_id").agg(F.min("_llm_rank").alias("least"))
+        kept = stored(least.select(F.col(f"least.{KEY}").alias(KEY)), "kept", keep=True)
     return rows.join(kept, KEY, "left_semi").select(*docs.columns)
 
 
@@ -41,8 +44,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
     rows = stored(ordered.select(F.monotonically_increasing_id().alias(KEY), *docs.columns), "rows")
-    cut = passages.remove_repeats(rows.select(F.col(KEY).alias("doc_id"), "text")).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_llm_id"), F.col("text").alias("_llm_text"))
+    with scratch(spark):
+        cut = passages.remove_repeats(rows.select(F.col(KEY).alias("doc_id"), "text")).where("n_removed > 0")
+        cut = stored(cut.select(F.col("doc_id").alias("_llm_id"), F.col("text").alias("_llm_text")), "cut", keep=True)
     out = rows.join(cut, F.col(KEY) == F.col("_llm_id"), "left").where("_llm_id IS NULL OR _llm_text <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_llm_id").isNull(), F.col("n_chars")).otherwise(F.length("_llm_text")))
