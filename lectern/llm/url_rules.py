@@ -172,7 +172,7 @@ def _plain_sql(path: str) -> str:
 
 def _told_sql(link: str) -> str:
     """Entities by a replacement for each printable letter."""
-    numbers = f"""list_reduce(list_prepend({link}, [chr(c) FOR c IN range(33, 127)]), lambda t, c:
+    numbers = f"""list_reduce(list_prepend({link}, [chr(c::INTEGER) FOR c IN range(33, 127)]), lambda t, c:
         regexp_replace(t, '&#(0*' || ascii(c) || '|[xX]0*' || lower(hex(ascii(c))) || '|[xX]0*' || hex(ascii(c)) || ');', CASE c WHEN chr(92) THEN '\\\\' ELSE c END, 'g'))"""
     for name, letter in ENTITIES.items():
         numbers = f"replace({numbers}, '&{name};', '{letter.replace(chr(39), chr(39) * 2)}')"
