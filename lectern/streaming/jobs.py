@@ -18,12 +18,16 @@ from lectern.sinks import tables
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
-    """A stream over the parquet files of one table in a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A stream over the parquet files of one table in a folder: a file of that name, or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    # A stream reads folders: a single file is picked from its own by name.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def start(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None = None) -> StreamingQuery:
