@@ -14,7 +14,11 @@ Two layouts give the same rows:
 * otherwise both sides are cut into hash blocks. Items go to (probe block, item
   block) once per probe block, and a cogroup meets each pair of blocks once. The
   number of blocks per key comes from a count, so a key that holds a third of
-  all rows is cut into as many blocks as its size asks for.
+  all rows is cut into as many blocks as its size asks for. A row is copied once
+  per block of the other side, so blocks may be let grow with their key: up to
+  ``BLOCK_ROWS`` rows a key has at most ``BLOCKS`` of them on a side.
+
+Vector scores look at a block in ``tiles``, so their matrices stay small however large the block.
 """
 
 from __future__ import annotations
@@ -30,6 +34,15 @@ Trim = Callable[[pd.DataFrame], pd.DataFrame]
 
 PROBE_ROWS = 4096
 PROBE_BYTES = 64 << 20
+BLOCKS, BLOCK_ROWS = 8, 16_384
+TILE_ROWS, TILE_COLUMNS = 256, 2048
+
+
+def tiles(rows: int, columns: int) -> Iterator[tuple[slice, slice]]:
+    """A matrix in parts of bounded size, all columns of some rows before the next rows."""
+    for top in range(0, rows, TILE_ROWS):
+        for left in range(0, columns, TILE_COLUMNS):
+            yield slice(top, min(top + TILE_ROWS, rows)), slice(left, min(left + TILE_COLUMNS, columns))
 
 
 def match_blocks(
@@ -42,6 +55,7 @@ def match_blocks(
     probe_rows: int = PROBE_ROWS,
     probe_bytes: int = PROBE_BYTES,
     item_rows: int = 50_000,
+    grown: int = 0,
 ) -> DataFrame:
     """Partial best rows of every block pair.
 
@@ -49,12 +63,14 @@ def match_blocks(
     the score function itself compares only rows of equal key; the key columns
     must be in both inputs. ``trim`` cuts rows collected so far in a task back to
     the best per probe, so a task holds and returns no more than one block's
-    worth however many items it reads. The result is partial: rank it once more.
+    worth however many items it reads. ``grown``: blocks may grow to this many rows
+    rather than be more than ``BLOCKS`` a key; for scores that work in ``tiles``.
+    The result is partial: rank it once more.
     """
     held = fetch_small(probes, probe_rows, probe_bytes)
     if held is not None:
         return _near_items(items, held, score, schema, trim, item_rows)
-    return cogroup_blocks(probes, items, score, schema, list(keys), probe_rows, item_rows)
+    return cogroup_blocks(probes, items, score, schema, list(keys), probe_rows, item_rows, grown)
 
 
 def fetch_small(df: DataFrame, rows: int, size: int) -> pd.DataFrame | None:
@@ -102,20 +118,23 @@ def _near_items(
 
 
 def cogroup_blocks(
-    probes: DataFrame, items: DataFrame, score: Score, schema: str, keys: list[str], probe_rows: int = PROBE_ROWS, item_rows: int = 50_000
+    probes: DataFrame, items: DataFrame, score: Score, schema: str, keys: list[str], probe_rows: int = PROBE_ROWS, item_rows: int = 50_000,
+    grown: int = 0,
 ) -> DataFrame:
     """The second layout: both sides in blocks of bounded size per key, each pair of blocks met once."""
-    sizes = _block_counts(probes, keys, probe_rows, "_np")
+    sizes = _block_counts(probes, keys, probe_rows, grown, "_np")
     if keys:
-        counts = sizes.join(_block_counts(items, keys, item_rows, "_ni"), keys)
+        counts = sizes.join(_block_counts(items, keys, item_rows, grown, "_ni"), keys)
         left, right = probes.join(counts, keys), items.join(counts, keys)
     else:
-        np_, ni = sizes.first()["_np"], _block_counts(items, keys, item_rows, "_ni").first()["_ni"]
+        np_, ni = sizes.first()["_np"], _block_counts(items, keys, item_rows, grown, "_ni").first()["_ni"]
         add = {"_np": F.lit(np_), "_ni": F.lit(ni)}
         left, right = probes.withColumns(add), items.withColumns(add)
 
     def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         cols = df.columns
+        # Columns of their own: both sides may come from one table, and a cogroup takes columns by identity.
+        df = df.select(*[F.col(c).alias(c) for c in cols])
         return df.withColumn(own, F.pmod(F.xxhash64(*[c for c in cols if c not in ("_np", "_ni")]), F.col(own_n))).withColumn(
             other, F.explode(F.sequence(F.lit(0).cast("long"), (F.col(other_n) - 1).cast("long")))
         ).drop("_np", "_ni")
@@ -140,6 +159,8 @@ def _shaped(df: pd.DataFrame, schema: str) -> pd.DataFrame:
     return pd.DataFrame(columns=[part.strip().split(" ")[0] for part in schema.split(",")])
 
 
-def _block_counts(df: DataFrame, keys: list[str], block: int, name: str) -> DataFrame:
+def _block_counts(df: DataFrame, keys: list[str], block: int, grown: int, name: str) -> DataFrame:
     grouped = df.groupBy(*keys) if keys else df.groupBy()
-    return grouped.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias(name))
+    n = F.count(F.lit(1))
+    size = F.greatest(F.lit(block), F.least(F.ceil(n / BLOCKS), F.lit(grown)))
+    return grouped.agg(F.greatest(F.lit(1), F.ceil(n / size)).alias(name))

@@ -54,15 +54,19 @@ def semantic_hits(
             asked = groups.get(key)
             if asked is None:
                 continue
-            age = asked["us"].to_numpy()[:, None] - part["us"].to_numpy()[None, :]
-            values = np.round(_unit(asked["embedding"]) @ _unit(part["embedding"]).T, TIE_PLACES)
-            values = np.where((age > 0) & (age <= ttl), values, -np.inf)
-            ids = part["entry_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            best = order[values[:, order].argmax(axis=1)]
-            parts.append(pd.DataFrame({
-                "request_id": asked["request_id"].to_numpy(), "entry_id": ids[best], "score": values[np.arange(len(asked)), best],
-            }))
+            part = part.sort_values("entry_id", kind="stable")
+            now, then = asked["us"].to_numpy(), part["us"].to_numpy()
+            ids, q, e = part["entry_id"].to_numpy(), _unit(asked["embedding"]), _unit(part["embedding"])
+            entry, top = ids[np.zeros(len(asked), int)], np.full(len(asked), -np.inf)
+            for down, across in blocks.tiles(len(asked), len(part)):
+                age = now[down, None] - then[None, across]
+                values = np.where((age > 0) & (age <= ttl), np.round(q[down] @ e[across].T, TIE_PLACES), -np.inf)
+                best = values.argmax(axis=1)
+                score = values[np.arange(len(best)), best]
+                # Entries come by id: of equal ones the first tile's stays.
+                more = score > top[down]
+                top[down][more], entry[down][more] = score[more], ids[across][best[more]]
+            parts.append(pd.DataFrame({"request_id": asked["request_id"].to_numpy(), "entry_id": entry, "score": top}))
         found = pd.concat(parts) if parts else pd.DataFrame(columns=["request_id", "entry_id", "score"])
         return trim(found[found["score"] >= threshold])
 
@@ -79,7 +83,7 @@ def semantic_hits(
     partial = blocks.match_blocks(
         usable(requests.select("request_id", "subject", "grade", "us", "embedding"), bucket),
         usable(entries.select("entry_id", "subject", "grade", "us", "embedding"), F.explode(F.array(bucket, bucket + 1))),
-        score, "request_id long, entry_id long, score double", keys=KEYS, trim=trim, **limits,
+        score, "request_id long, entry_id long, score double", keys=KEYS, trim=trim, grown=blocks.BLOCK_ROWS, **limits,
     )
     first = F.min_by(F.struct("entry_id", "score"), F.struct((-F.col("score")).alias("s"), F.col("entry_id")))
     return partial.groupBy("request_id").agg(first.alias("b")).select("request_id", "b.*")

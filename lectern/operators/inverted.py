@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from lectern.operators import blocks
 from lectern.operators.layout import spread_small, written
-from lectern.operators.retrieval import TIE_PLACES, _unit, best_per_group
+from lectern.operators.retrieval import _unit, best_per_group
 
 CELLS = 4096
 ROUNDS = 8
 PROBES = 8
 SLACK = 1e-9
+ASKED = 65_536
 
 
 @dataclass
@@ -138,9 +139,9 @@ def _asked(queries: DataFrame, index: Index, probes: int | None) -> DataFrame:
     columns = [c for c in queries.columns if c not in ("edge", "met")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        # A piece has at most ASKED (question, cell) pairs, and so rows: questions may look into every cell.
+        few = max(1, ASKED // max(1, len(centres)))
+        for batch in (whole.iloc[at: at + few] for whole in batches for at in range(0, len(whole), few)):
             cosine = _cosines(batch["query_embedding"], centres)
             order = np.argsort(np.where(held, -cosine, np.inf), axis=1, kind="stable")
             wanted = np.zeros(cosine.shape, bool)
@@ -170,10 +171,9 @@ def _met(asked: DataFrame, index: Index, k: int, by: str | None, **limits: int)
             if not len(mine):
                 continue
             ids = part["vec_id"].to_numpy()
-            values = np.round(_unit(mine["query_embedding"]) @ _unit(part["embedding"]).T, TIE_PLACES)
             own = mine["query_id"].to_numpy()
-            rows, cols = best_per_group(values, ids, k)
-            found = {"query_id": own[rows], "vec_id": ids[cols], "score": values[rows, cols]}
+            rows, cols, values = best_per_group(_unit(mine["query_embedding"]), _unit(part["embedding"]), ids, k)
+            found = {"query_id": own[rows], "vec_id": ids[cols], "score": values}
             parts.append(pd.DataFrame(found | ({by: key[1]} if by else {})))
         names = ["query_id", *([by] if by else []), "vec_id", "score"]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,30 +22,80 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(block, size, out=np.zeros_like(block), where=size > 0)
 
 
-def _similarity(metric: str):
-    def cosine(q: pd.Series, c: pd.Series) -> np.ndarray:
-        return _unit(q) @ _unit(c).T
+def _cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of unit vectors."""
+    return q @ c.T
+
+
+def _squared_l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 1.0 - ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T))
+
+
+def _plain(vectors: pd.Series) -> np.ndarray:
+    return np.asarray(np.stack(vectors.to_numpy()), dtype="float64")
 
-    def squared_l2(q: pd.Series, c: pd.Series) -> np.ndarray:
-        a, b = (np.asarray(np.stack(s.to_numpy()), dtype="float64") for s in (q, c))
-        return 1.0 - ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T))
 
-    return {"cosine": cosine, "l2": squared_l2}[metric]
+METRICS = {"cosine": (_unit, _cosine), "l2": (_plain, _squared_l2)}
 
 
-def best_per_group(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k best columns of each row, ties by id."""
-    if scores.shape[1] > 4 * k:
-        # Keep every column that ties with the k-th best, then order exactly.
-        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        rows, cols = np.nonzero(scores >= edge[:, None])
-    else:
-        rows, cols = (m.ravel() for m in np.indices(scores.shape))
-    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
+def _first_k(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each row, best first, ties by id; not a number comes last."""
+    order = np.lexsort((ids[cols], -values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
     starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.array([], dtype=int)
     place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-    return rows[place < k], cols[place < k]
+    return rows[place < k], cols[place < k], values[place < k]
+
+
+def best_per_group(
+    q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, similarity: Callable[[np.ndarray, np.ndarray], np.ndarray] = _cosine
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of ``q``, of ``c`` and scores of the k most similar of ``c`` to each of ``q``, ties by id.
+
+    Works in tiles. What a row has found so far says what a later tile has to beat. Cosines are first looked at in
+    single precision, whose error is bounded; only those that may be good enough are taken in double precision.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    c, ids = c[by_id], ids[by_id]
+    rough = similarity is _cosine
+    q1, c1 = (q.astype("float32"), c.astype("float32")) if rough else (q, c)
+    margin = (q.shape[1] + 8) * 1.2e-7 if rough else 0.0
+    out, edge, held = [], np.full(len(q), -np.inf), None
+    for down, across in blocks.tiles(len(q), len(c)):
+        if across.start == 0 and held is not None:
+            out.append(held)
+            held = None
+        part, other = q[down], c[across]
+        scores = similarity(q1[down], c1[across])
+        if not rough:
+            scores = np.round(scores, TIE_PLACES)
+        limit = edge[down]
+        if held is None and scores.shape[1] > 4 * k:
+            known = np.where(np.isnan(scores), -np.inf, scores)
+            limit = np.partition(known, scores.shape[1] - k, axis=1)[:, -k] - margin
+        rows, cols = np.nonzero(~(scores < (limit - margin)[:, None]))
+        if not rough:
+            values = scores[rows, cols]
+        elif len(rows) > scores.size // 16:
+            values = np.round(similarity(part, other)[rows, cols], TIE_PLACES)
+        else:
+            values = np.round(np.einsum("ij,ij->i", part[rows], other[cols]), TIE_PLACES)
+        rows, cols = rows + down.start, cols + across.start
+        # Columns come by id: one that only equals a row's k-th best so far does not take its place.
+        better = ~(values <= edge[rows])
+        rows, cols, values = rows[better], cols[better], values[better]
+        if held is not None:
+            rows, cols, values = (np.concatenate(pair) for pair in zip(held, (rows, cols, values)))
+        held = _first_k(rows, cols, values, ids, k)
+        if len(held[0]):  # what a full row has to beat from now on
+            last = np.r_[np.flatnonzero(np.diff(held[0])), len(held[0]) - 1]
+            full = np.bincount(held[0] - down.start, minlength=len(part))[held[0][last] - down.start] == k
+            ends = held[2][last][full]
+            edge[held[0][last][full]] = np.where(np.isnan(ends), -np.inf, ends)
+    if held is not None:
+        out.append(held)
+    rows, cols, values = (np.concatenate(parts) for parts in zip(*out))
+    return rows, by_id[cols], values
 
 
 def top_hits(
@@ -60,24 +112,25 @@ def top_hits(
     ``collections`` it may use (P2). ``chunks``: vec_id, collection, embedding.
     Returns query_id, collection, vec_id, score, rank.
     """
-    similarity = _similarity(metric)
+    read, similarity = METRICS[metric]
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         parts = []
+        vectors = read(q["query_embedding"]) if len(q) else None
         for name, part in c.groupby("collection", sort=False):
-            asked = q[q["collections"].map(lambda names: name in names)] if selected else q
+            asks = q["collections"].map(lambda names: name in names).to_numpy(bool) if selected else np.ones(len(q), bool)
+            asked = q[asks]
             if not len(asked):
                 continue
             ids = part["vec_id"].to_numpy()
-            values = np.round(similarity(asked["query_embedding"], part["embedding"]), TIE_PLACES)
-            rows, cols = best_per_group(values, ids, k)
+            rows, cols, values = best_per_group(vectors[asks], read(part["embedding"]), ids, k, similarity)
             parts.append(
                 pd.DataFrame(
                     {
                         "query_id": asked["query_id"].to_numpy()[rows],
                         "collection": name,
                         "vec_id": ids[cols],
-                        "score": values[rows, cols],
+                        "score": values,
                     }
                 )
             )
@@ -97,6 +150,7 @@ def top_hits(
         score,
         "query_id long, collection string, vec_id long, score double",
         trim=trim,
+        grown=blocks.BLOCK_ROWS,
         **limits,
     )
     order = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "vec_id")
