@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,16 @@ def test_front_matter(spark):
     rows = df.select(meta.alias("m"), body.alias("b")).collect()
     assert rows[0]["m"] == {"grade": "10", "title": "last"} and rows[0]["b"] == "body --- here"
     assert rows[1]["m"] == {} and rows[1]["b"] == "--- no end" and rows[2]["b"] == "plain"
+
+
+def test_a_batch_is_answered_in_pieces(spark, monkeypatch):
+    texts = [None if i % 7 == 3 else "" if i % 7 == 5 else f"Sentence {i}. " * (i * 9) for i in range(40)]
+    monkeypatch.setattr(chunking, "PIECE_CHARS", 3000)
+    sizes = [chunking.CHUNK_SIZE, chunking.OVERLAP, chunking.MIN_CHUNK]
+    pieces = list(chunking.cut_batches(iter([pd.Series(texts[:25], dtype=object), pd.Series(texts[25:], dtype=object)]), *sizes))
+    assert len(pieces) > 20 and sum(map(len, pieces)) == 40
+    for piece in pieces:
+        assert sum(len(c["text"]) for made in piece if made for c in made) < 3000 + 2 * 40 * 9 * 12
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    got = {r["i"]: r["c"] and [tuple(c) for c in r["c"]] for r in df.select("i", chunking.chunks_of(F.col("t")).alias("c")).collect()}
+    assert got == {i: None if t is None else [tuple(c) for c in chunking.cut_text(t)] for i, t in enumerate(texts)}
