@@ -16,6 +16,8 @@ from lectern.operators import cache, ingest, ordered, progress
 from lectern.session import shared_folder
 from lectern.sinks import tables
 
+OUT_ROWS = 1 << 16
+
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
     """A stream over the parquet files of one table in a folder: a file of that name, or a folder of files."""
@@ -142,7 +144,8 @@ def keyed_scan(stream: DataFrame, key: str, us: str, tie: str, step: ordered.Ste
         held.update((ordered.dump(state),))
         until = int(rows[us].iloc[-1] + keep) // 1000 + 1
         held.setTimeoutTimestamp(max(until, held.getCurrentWatermarkMs() + 1))
-        yield rows.assign(**{name: answers})
+        for at in range(0, len(rows), OUT_ROWS):
+            yield rows.iloc[at: at + OUT_ROWS].assign(**{name: answers[at: at + OUT_ROWS]})
 
     return stream.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(
         run, f"{fields}, `{name}` boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout

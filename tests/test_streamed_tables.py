@@ -34,3 +34,13 @@ def test_a_folder_streams_all_its_files(spark, folder, parted, name):
 def test_queries_on_folders(spark, folder, parted, query):
     found = rows_of(QUERIES[query](spark, parted))
     assert found and found == rows_of(QUERIES[query](spark, folder))
+
+
+@pytest.mark.parametrize("query, scan", [("r2_ttl_cache_stream", "ttl_cache"), ("r3_rate_limit_stream", "rate_limiter")])
+def test_a_keyed_scan_gets_only_what_it_needs(spark, folder, monkeypatch, query, scan):
+    """The texts of a key's events do not go through Python."""
+    given, scans = [], getattr(jobs, scan)
+    monkeypatch.setattr(jobs, scan, lambda stream, *rest: given.append(stream.columns) or scans(stream, *rest))
+    monkeypatch.setattr(jobs, "OUT_ROWS", 7)
+    assert QUERIES[query](spark, folder).count() == spark.read.parquet(f"{folder}/events.parquet").count()
+    assert given[0] == ["event_id", "event_type" if scan == "ttl_cache" else "user_id", "us", "ts"]
