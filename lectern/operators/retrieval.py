@@ -118,7 +118,7 @@ def top_hits(
         parts = []
         vectors = read(q["query_embedding"]) if len(q) else None
         for name, part in c.groupby("collection", sort=False):
-            asks = q["collections"].map(lambda names: name in names).to_numpy(bool) if selected else np.ones(len(q), bool)
+            asks = (q["collection"] == name).to_numpy(bool) if selected else np.ones(len(q), bool)
             asked = q[asks]
             if not len(asked):
                 continue
@@ -144,11 +144,14 @@ def top_hits(
         # The store is partitioned by collection: only selected ones are read.
         wanted = queries.select(F.explode("collections").alias("collection")).distinct()
         chunks = chunks.join(wanted, "collection", "left_semi")
+    # A question goes to the blocks of its collections alone, so a chunk is copied as often as they ask for it.
+    own = [F.explode(F.array_distinct("collections")).alias("collection")] if selected else []
     partial = blocks.match_blocks(
-        queries.select("query_id", "query_embedding", *(["collections"] if selected else [])),
+        queries.select("query_id", "query_embedding", *own),
         chunks.select("vec_id", "collection", "embedding"),
         score,
         "query_id long, collection string, vec_id long, score double",
+        keys=["collection"] if selected else [],
         trim=trim,
         grown=blocks.BLOCK_ROWS,
         **limits,

@@ -57,3 +57,17 @@ def test_pairs_of_question_and_cell_come_in_bounded_pieces(spark, monkeypatch):
     whole = sorted(map(tuple, inverted._asked(asked, index, 3).select("query_id", "cell").collect()))
     monkeypatch.setattr(inverted, "ASKED", 100)
     assert whole == sorted(map(tuple, inverted._asked(asked, index, 3).select("query_id", "cell").collect()))
+
+
+def test_selected_collections_meet_their_own_questions_alone(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"c{i % 5}", [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    store = spark.createDataFrame(rows, "vec_id long, collection string, embedding array<float>")
+    names = [["c0"], ["c1", "c3", "c1"], ["c9"], [], ["c4", "c0"]]
+    asked = spark.createDataFrame([(i, v, names[i % 5]) for i, _, v in rows[:40]], "query_id long, query_embedding array<float>, collections array<string>")
+    near = sorted(map(tuple, retrieval.top_hits(asked, store, selected=True).collect()))
+    assert {(q, c) for q, c, *_ in near} == {(i, c) for i in range(40) for c in names[i % 5] if c != "c9"}
+    keyed, cogroup = [], blocks.cogroup_blocks
+    monkeypatch.setattr(blocks, "cogroup_blocks", lambda *given: keyed.append(given[4]) or cogroup(*given))
+    assert near == sorted(map(tuple, retrieval.top_hits(asked, store, selected=True, probe_rows=3, item_rows=9).collect()))
+    assert keyed == [["collection"]]
