@@ -170,7 +170,7 @@ def _missing(node: Column, path: Column, kind: str) -> Column:
 
 
 def _blank(c: Column) -> Column:
-    return strip(c) == ""
+    return ~c.rlike(r"(?U)\S")
 
 
 def _blank_items(items: Column, path: Column, rule: str, noun: str) -> Column:
@@ -263,13 +263,19 @@ def violations(subjects: DataFrame, allowed: list[str] = lexicon.SUBJECTS, depth
         topics,
     )
     cols = [c for c in subjects.columns if c not in ("topics", "path")]
-    found = subjects.select(*cols, F.explode(every).alias("v")).select(*cols, "v.*")
     # What lies deeper than was parsed is walked level by level.
     left = _or_empty(F.flatten(F.transform(
         F.col("topics"), lambda t: _or_empty(F.flatten(F.transform(t["subtopics"], lambda s: _deeper(s, _named(root, "Topic", t["name"]), depth - 1))), _LEFT),
     )), _LEFT)
-    deep = subjects.select(*cols, F.explode(left).alias("d"))
-    deep = written(deep.select(*cols, F.lit("subtopic").alias("kind"), "d.path", "d.text"), "deep-content")
+    # Both come from one pass over the content, told apart by the rule.
+    none = F.lit(None).cast("string")
+    both = F.concat(
+        F.transform(every, lambda v: F.struct(v["path"].alias("path"), v["rule"].alias("rule"), v["message"].alias("message"), none.alias("text"))),
+        F.transform(left, lambda d: F.struct(d["path"].alias("path"), none.alias("rule"), none.alias("message"), d["text"].alias("text"))),
+    )
+    rows = written(subjects.select(*cols, F.explode(both).alias("v")).select(*cols, "v.*"), "violations")
+    found = rows.where("rule IS NOT NULL").drop("text")
+    deep = rows.where("rule IS NULL").select(*cols, F.lit("subtopic").alias("kind"), "path", "text")
     if not deep.limit(1).count():
         return found
     node = F.try_parse_json("text")

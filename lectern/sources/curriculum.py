@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.layout import written
+
 QUESTION = "struct<question: string, acceptable_answers: array<string>, hints: array<string>>"
 CONCEPT = f"struct<name: string, summary: string, steps: array<string>, questions: array<{QUESTION}>>"
 DEPTH = 4
@@ -47,15 +49,34 @@ def load(files: DataFrame, depth: int = DEPTH) -> DataFrame:
     def named(doc: str) -> Column:
         return F.when(F.col("flat"), F.coalesce(f"{doc}.subject", stem)).otherwise(F.element_at(parts, -2))
 
-    # Who wins is decided on names alone; a file's content is parsed once, and only if it won.
-    # The one-element explode keeps the optimiser from repeating the parse per field.
-    head = F.from_json("value", "struct<subject: string, grade: string, topics: string>")
-    names = files.select("path", "flat", F.explode(F.array(head)).alias("h")).where(
-        F.col("h.subject").isNotNull() | F.col("h.topics").isNotNull() | F.col("h.grade").isNotNull()
-    )
+    # Who wins is decided on names alone. The one-element explode keeps the optimiser from repeating the parse per field;
+    # whether there are topics is asked only of a file that has neither subject nor grade.
+    topics = F.from_json("value", "struct<topics: string>")["topics"]
+    head = F.explode(F.array(F.from_json("value", "struct<subject: string, grade: string>"))).alias("h")
+    read = F.col("h.subject").isNotNull() | F.col("h.grade").isNotNull() | topics.isNotNull()
+    heads = files.select("path", "flat", "value", head)
+    names = written(heads.select(named("h").alias("subject"), "path", "flat", read.alias("read")), "names")
     last = F.max_by("path", F.struct((~F.col("flat")).alias("nested"), F.col("path")))
-    winners = names.select(named("h").alias("subject"), "path", "flat").groupBy("subject").agg(last.alias("path"))
-    doc = F.explode(F.array(F.from_json("value", content_schema(depth))))
-    return files.join(winners, "path").select("subject", "path", doc.alias("doc")).select(
-        "subject", "doc.grade", "doc.topics", "path"
+    winners = written(names.where("read").groupBy("subject").agg(last.alias("path")).where("path IS NOT NULL"), "winners")
+    # A file whose path wins by the file's own name, and by no other, is parsed where it lies. Only the rest is joined:
+    # paths that lose, and paths with several files or names.
+    own = names.where("path IS NOT NULL").groupBy("path").agg(
+        F.min("read").alias("read"), F.min(F.struct("subject")).alias("least"), F.max(F.struct("subject")).alias("most")
+    )
+    won = winners.groupBy("path").agg(F.collect_list(F.struct("subject")).alias("won"))
+    plain = F.col("read") & (F.col("least") == F.col("most")) & (F.size("won") == 1) & (F.col("least") == F.get("won", F.lit(0)))
+    rest = written(own.join(won, "path", "left").where(~F.coalesce(plain, F.lit(False))).select("path", "won"), "rest")
+    doc = F.explode(F.array(F.from_json("value", content_schema(depth)))).alias("doc")
+    if winners.count() < rest.count():
+        return files.join(winners, "path").select("subject", "path", doc).select("subject", "doc.grade", "doc.topics", "path")
+    here = files.where("path IS NOT NULL").join(rest, "path", "left_anti").select("path", "flat", "value", doc)
+    # A document that could not be read whole may lack its subject.
+    field = F.coalesce("doc.subject", F.from_json("value", "struct<subject: string>")["subject"], stem)
+    plain_rows = here.select(
+        F.when(F.col("flat"), field).otherwise(F.element_at(parts, -2)).alias("subject"), "doc.grade", "doc.topics", "path"
     )
+    shared = rest.where("won IS NOT NULL").select("path", F.explode("won").alias("w")).select("path", "w.subject")
+    if not shared.limit(1).count():
+        return plain_rows
+    named_rows = files.join(shared, "path").select("subject", "path", doc).select("subject", "doc.grade", "doc.topics", "path")
+    return plain_rows.unionByName(named_rows)

@@ -218,3 +218,46 @@ def test_grading_matches_brute_force(spark):
         answer = (said[r["i"]][1] or "\0").lower()
         keys = [k.lower() for k in accepted.get(said[r["i"]][0], [])]
         assert r["correct"] == any(answer == k or SequenceMatcher(None, answer, k).ratio() > 0.8 for k in keys)
+
+
+def _tracked(monkeypatch, module):
+    """The tables that a module writes, by purpose."""
+    made, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, purpose: made.append(purpose) or write(df, purpose))
+    return made
+
+
+def test_load_keeps_files_of_one_path_and_files_without_a_name(spark):
+    text = lambda **fields: json.dumps(fields | {"topics": [{"name": "T"}]})
+    rows = [
+        ("/c/a.json", text(subject="A", grade=1), True), ("/c/b.json", text(subject="A", grade=2), True),  # b wins A
+        ("/c/d.json", text(subject="D", grade=3), True), ("/c/d.json", text(subject="E", grade=4), True),  # one path, two names
+        ("/c/n.json", text(), True), ("/c/x.json", "{broken", True), (None, text(subject="N"), True),
+        ("/c/g.json", text(subject="G", grade=5), True), ("/c/G/content.json", text(subject="z", grade=6), False),
+        ("/c/b.json", "{broken", True),
+    ]
+    files = spark.createDataFrame(rows, "path string, value string, flat boolean")
+    found = sorted((r["subject"], r["grade"] or "", r["path"]) for r in source.load(files).collect())
+    assert found == sorted([
+        ("A", "2", "/c/b.json"), ("A", "", "/c/b.json"), ("D", "3", "/c/d.json"), ("D", "4", "/c/d.json"), ("E", "3", "/c/d.json"),
+        ("E", "4", "/c/d.json"), ("n", "", "/c/n.json"), ("G", "6", "/c/G/content.json"),
+    ])
+
+
+def test_load_neither_sorts_nor_shuffles_the_content(spark):
+    rows = [(f"/c/{i}.json", json.dumps({"subject": f"S{i}", "grade": 1, "topics": []}), True) for i in range(20)]
+    plan = source.load(spark.createDataFrame(rows, "path string, value string, flat boolean"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_violations_read_the_content_once(spark, tree, monkeypatch):
+    made = _tracked(monkeypatch, curriculum)
+    out = curriculum.violations(tree)
+    assert made == ["violations"] and "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() > 0
+
+
+@pytest.mark.parametrize("text", ["", " ", "  \n", " a ", "\né", "\u0085", None])
+def test_blank_is_what_strip_leaves_empty(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(curriculum._blank(F.col("t")).alias("b"), (curriculum.strip(F.col("t")) == "").alias("s")).first()
+    assert row["b"] == row["s"]
