@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern import views
 from lectern.functions.words import let, words
 from lectern.operators import content_check, curriculum
+from lectern.operators.layout import written
 from lectern.plans.questions import sql_words
 from lectern.plans.registry import query
 from lectern.session import shared_folder
@@ -160,7 +161,8 @@ SELECT subject, topic, concept, ord, concat(summary, '?') AS question FROM (
 )
 def lookups(spark, folder):
     """Every concept that opens a sentence, looked up by name with its first question."""
-    flat = _flat(spark, folder)
+    # Read three times: parsed once, and written without the columns that no step asks for.
+    flat = written(_flat(spark, folder).select("subject", "topic", "concept", "subtopic_path", "ord", "questions"), "concepts")
     opening = F.coalesce(F.get("subtopic_path", F.lit(1)), F.lit("P0")) == "P0"
     asked = flat.where(opening).select("subject", "topic", "concept").distinct()
     found = curriculum.lookup_concepts(flat, asked)
@@ -187,7 +189,7 @@ UNION ALL SELECT subject, topic, concat('S', j), ord, concept FROM named WHERE n
 )
 def at_path(spark, folder):
     """Every browse entry asks for the concepts at its path."""
-    flat = _flat(spark, folder)
+    flat = written(_flat(spark, folder).select("subject", "topic", "concept", "subtopic_path", "ord"), "concepts")
     asked = curriculum.browse_entries(flat).select("subject", "topic", "path")
     out = curriculum.concepts_below_paths(flat, asked)
     return out.select("subject", "topic", F.array_join("path", "/").alias("at"), F.array_join("ord", ".").alias("ord"), "concept")

@@ -261,3 +261,14 @@ def test_violations_read_the_content_once(spark, tree, monkeypatch):
 def test_blank_is_what_strip_leaves_empty(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(curriculum._blank(F.col("t")).alias("b"), (curriculum.strip(F.col("t")) == "").alias("s")).first()
     assert row["b"] == row["s"]
+
+
+@pytest.mark.parametrize("name", ["p14_lookups", "p15_concepts_at_path"])
+def test_concepts_asked_several_times_are_parsed_once(spark, tmp_path, name):
+    from lectern import plans
+
+    rows = [(1, "A b c. D, e\nF", "en", "web", 13), (2, "G h", "de", "web", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = plans.load()[0][name](spark, str(tmp_path))
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() > 0
