@@ -1,16 +1,21 @@
 """Class-based bigram language model in the manner of Brown, with exchange clustering.
 
 P(text) is the product over its tokens of P(class | class before) * P(word | class);
-a text begins and ends with the end token. What is clustered are units: each of the
-``UNITS`` commonest words is one, and all other words fall into ``ENDINGS`` units by
-their last two bytes, so every word of any corpus has a class. Exchange clustering
-moves units between classes as long as that raises the likelihood of the unit
+a text begins and ends with the end token. Classes are found in two steps.
+
+The frame: each of the ``UNITS`` commonest words is a unit, and all other words start in ``ENDINGS`` units by
+their last two bytes. Exchange clustering moves units between classes as long as that raises the likelihood of the unit
 bigrams, which are counted over all training texts; their table, of (UNITS +
 ENDINGS + 1) ** 2 counts at most, is all that the driver sees of them.
 
-Word counts cover every word of every training text and stay distributed. The
+The rest: every other word of the training texts, however rare, then goes to the class that its own bigrams, all of
+them, make likeliest under the frame; ties go to the smaller class. Spark deals the words' neighbours by word and
+each task settles the words it was dealt. The transitions are counted anew with the classes that all words ended in.
+Only a word that no training text holds keeps the class of its ending: it has no bigrams.
+
+Counts and classes cover every word of every training text and stay distributed. The
 ``LISTED`` commonest words (a bounded list) are looked up where the texts lie; each
-other word of a text meets its count by a join, once per text.
+other word meets its count and class by a join, with the word before and the word behind it.
 
 Smoothing: one is added to each count of a class's words and for one unseen word;
 transitions are drawn to the classes' shares by one observation.
@@ -58,7 +63,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Units:
-    """Unit of each word: its place among the commonest words, or its ending. Unit UNITS is the end token."""
+    """Unit of each word: its place among the listed words, or its ending. Unit UNITS is the end token.
+
+    Endings come before the listed words past the UNITS commonest, whose units are the last.
+    """
 
     def __init__(self, listed: list[str]):
         self.listed = pa.array(listed, pa.large_string())
@@ -66,35 +74,44 @@ class Units:
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Place among the listed words (-1: not there) and unit of every word."""
         place = pc.fill_null(pc.index_in(word_strings(words), self.listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        last = words.data[words.end - 1].astype(np.int64)
-        before = np.where(words.end - words.start > 1, words.data[np.maximum(words.end - 2, 0)], 0)
-        ending = (last * 31 + before * 17) % ENDINGS
-        return place, np.where((place >= 0) & (place < UNITS), place, UNITS + 1 + ending)
+        return place, np.where(place < 0, endings(words), np.where(place < UNITS, place, place + ENDINGS + 1))
+
+    def frame(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with the unit of the ending for all but the UNITS commonest."""
+        place, unit = self.of(words)
+        return place, np.where(unit < UNITS, unit, endings(words))
 
 
-def with_ends(words: Words, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def endings(words: Words) -> np.ndarray:
+    """The unit of each word's last two bytes."""
+    last = words.data[words.end - 1].astype(np.int64)
+    before = np.where(words.end - words.start > 1, words.data[np.maximum(words.end - 2, 0)], 0)
+    return UNITS + 1 + (last * 31 + before * 17) % ENDINGS
+
+
+def with_ends(words: Words, unit: np.ndarray, end: int = UNITS) -> tuple[np.ndarray, np.ndarray]:
     """Units of all texts with the end token behind each, and where each text begins."""
     first = words.first + np.arange(len(words.first))
-    out = np.full(first[-1], UNITS, np.int64)
+    out = np.full(first[-1], end, np.int64)
     out[np.arange(len(unit)) + np.repeat(np.arange(len(words.counts)), words.counts)] = unit
     return out, first[:-1]
 
 
-def before(units: np.ndarray, first: np.ndarray) -> np.ndarray:
+def before(units: np.ndarray, first: np.ndarray, end: int = UNITS) -> np.ndarray:
     """The unit before each; before a text stands the end token."""
-    out = np.r_[UNITS, units[:-1]]
-    out[first[first < len(units)]] = UNITS
+    out = np.r_[end, units[:-1]]
+    out[first[first < len(units)]] = end
     return out
 
 
 def unit_bigrams(texts: DataFrame, units: Units) -> DataFrame:
-    """(prev, next, n) over all texts."""
+    """(prev, next, n) over all texts, in units of the frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = UNITS + ENDINGS + 1
         for batch in pieces(batches, limit=TEXT_BYTES):
             words = Words(batch.column(0), lower=True)
-            now, first = with_ends(words, units.of(words)[1])
+            now, first = with_ends(words, units.frame(words)[1])
             pair, n = np.unique(before(now, first) * width + now, return_counts=True)
             yield pa.record_batch({"prev": pa.array(pair // width), "next": pa.array(pair % width), "n": pa.array(n)})
 
@@ -154,52 +171,190 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> n
     return of
 
 
+def neighbours(texts: DataFrame, units: Units, of: np.ndarray) -> DataFrame:
+    """(word, sides) for every word but the UNITS commonest, a row per piece of text that holds it.
+
+    Two bytes per occurrence: the class before, and CLASSES plus the class behind, both of the frame.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=TEXT_BYTES):
+            words = Words(batch.column(0), lower=True)
+            place, unit = units.frame(words)
+            now, first = with_ends(words, unit)
+            left, here = of[before(now, first)], of[now]
+            at = np.arange(len(unit)) + np.repeat(np.arange(len(words.counts)), words.counts)
+            moving = np.flatnonzero((place < 0) | (place >= UNITS))
+            spelt = word_strings(words).take(pa.array(moving)).dictionary_encode()
+            code = spelt.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            at = at[moving][order]
+            sides = np.stack([left[at], CLASSES + here[at + 1]], axis=1).astype(np.uint8)
+            ends = np.r_[0, 2 * np.cumsum(np.bincount(code, minlength=len(spelt.dictionary)))].astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(spelt.dictionary), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sides))])
+            yield pa.record_batch({"word": spelt.dictionary.cast(pa.string()), "sides": packed})
+
+    return texts.mapInArrow(run, "word string, sides binary")
+
+
+def settled(sides: DataFrame, likely: np.ndarray) -> DataFrame:
+    """(word, n, class): for each word the class that its neighbours make likeliest. ``likely``: log10 by side and class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def best(words: pa.Array, seen: np.ndarray) -> pa.RecordBatch:
+            # Rounded, so that equal classes tie whatever the order of the sum.
+            chosen = np.argmax(np.round(seen @ likely, 9), axis=1)
+            return pa.record_batch({"word": words, "n": pa.array(seen.sum(axis=1) // 2), "class": pa.array(chosen, pa.int64())})
+
+        # Rows come in order of their word; the last word of a batch may go on in the next.
+        last, held = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                words = part.column(0)
+                new = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]
+                group = np.cumsum(new) - 1
+                size = pc.binary_length(part.column(1)).to_numpy()
+                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8)
+                seen = np.bincount(np.repeat(group, size) * 2 * CLASSES + codes, minlength=(group[-1] + 1) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+                heads = words.take(pa.array(np.flatnonzero(new)))
+                if last is not None:
+                    if heads[0].as_py() == last:
+                        seen[0] += held
+                    else:
+                        yield best(pa.array([last], pa.string()), held[None])
+                if len(heads) > 1:
+                    yield best(heads[:-1], seen[:-1])
+                last, held = heads[-1].as_py(), seen[-1].copy()
+        if last is not None:
+            yield best(pa.array([last], pa.string()), held[None])
+
+    return sides.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class long")
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
+    """log10 of P(class | class before), drawn to the classes' shares by one observation."""
+    share = (table.sum(axis=0) + 1) / (table.sum() + len(table))
+    return np.log10((table + share[None, :]) / (table.sum(axis=1) + 1)[:, None])
+
+
 class Model:
     """What scoring needs where the texts lie: the listed words with counts, classes, and two tables of logarithms."""
 
-    def __init__(self, units: Units, counts: np.ndarray, of: np.ndarray, step: np.ndarray, divisor: np.ndarray, ends: int):
+    def __init__(self, units: Units, counts: np.ndarray, of: np.ndarray, step: np.ndarray | None, divisor: np.ndarray | None, ends: int):
         self.units, self.counts, self.of, self.step, self.divisor, self.ends = units, counts, of, step, divisor, ends
 
 
+class Pairs:
+    """The tokens of a piece of text with their classes, and the pairs that hold a word which is not listed."""
+
+    def __init__(self, words: Words, model: Model):
+        self.place, unit = model.units.of(words)
+        now, self.first = with_ends(words, unit)
+        self.now, self.prior = model.of[now], model.of[before(now, self.first)]
+        cold = np.flatnonzero(self.place < 0)
+        spelt = word_strings(words).take(pa.array(cold)).dictionary_encode()
+        self.names, code = spelt.dictionary, np.full(len(self.place), -1, np.int64)
+        code[cold] = spelt.indices.to_numpy()
+        self.start = np.zeros(len(self.names), np.int64)
+        self.start[code[cold]] = model.of[unit[cold]]
+        # A token's key: its class, or CLASSES and more for a word that is not listed.
+        key, _ = with_ends(words, code, -1)
+        left = before(key, self.first, -1)
+        self.unlisted = (key >= 0) | (left >= 0)
+        self.key, self.left = np.where(key < 0, self.now, CLASSES + key), np.where(left < 0, self.prior, CLASSES + left)
+
+    def tally(self, group: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        """The different pairs that hold an unlisted word, in each group of tokens: words (null: listed), classes, times."""
+        at, width = np.flatnonzero(self.unlisted), CLASSES + len(self.names)
+        pair, which = np.unique(self.left[at] * width + self.key[at], return_inverse=True)
+        of = np.zeros(len(at), np.int64) if group is None else group[at]
+        both, times = np.unique(of * max(1, len(pair)) + which, return_counts=True)
+        of, pair = both // max(1, len(pair)), pair[both % max(1, len(pair))]
+        out = {}
+        for word, kind, key in (("prev", "pc", pair // width), ("next", "nc", pair % width)):
+            cold = key >= CLASSES
+            out[word] = self.names.take(pa.array(key - CLASSES, mask=~cold)).cast(pa.string())
+            out[kind] = pa.array(np.where(cold, np.r_[self.start, 0][np.where(cold, key - CLASSES, -1)], key))
+        return of, out | {"times": pa.array(times)}
+
+
+def _with_classes(pairs: DataFrame, table: DataFrame, prev: Column, next_: Column) -> DataFrame:
+    """The pairs with the classes of their unlisted words, and the count ``n`` of the second; one without a class keeps that of its ending.
+
+    ``prev`` and ``next_``: what spreads the rows whose word is listed. It holds a space, as no word does.
+    """
+    for word, kind, spread in (("prev", "pc", prev), ("next", "nc", next_)):
+        known = table.select(F.col("word").alias("_w"), F.col("class").alias("_c"), F.col("n").alias("n" if word == "next" else "_n"))
+        met = pairs.join(known, F.coalesce(word, spread) == F.col("_w"), "left")
+        pairs = met.withColumn(kind, F.coalesce("_c", kind)).drop("_w", "_c", "_n")
+    return pairs
+
+
+def class_bigrams(texts: DataFrame, model: Model, table: DataFrame) -> np.ndarray:
+    """How often a class follows a class in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=TEXT_BYTES):
+            pairs = Pairs(Words(batch.column(0), lower=True), model)
+            listed = ~pairs.unlisted
+            pair, n = np.unique(pairs.prior[listed] * CLASSES + pairs.now[listed], return_counts=True)
+            none = pa.nulls(len(pair), pa.string())
+            yield pa.record_batch({"prev": none, "pc": pa.array(pair // CLASSES), "next": none, "nc": pa.array(pair % CLASSES), "times": pa.array(n)})
+            yield pa.record_batch(pairs.tally()[1])
+
+    pairs = texts.mapInArrow(run, "prev string, pc long, next string, nc long, times long")
+    other = lambda word: F.concat(F.lit(" "), F.coalesce(word, F.concat_ws(" ", "pc", "nc")))
+    met = _with_classes(pairs, table, other("next"), other("prev")).groupBy("pc", "nc").agg(F.sum("times").alias("n")).toArrow()
+    out = np.zeros((CLASSES, CLASSES), np.int64)
+    out[met.column("pc").to_numpy(), met.column("nc").to_numpy()] = met.column("n").to_numpy()
+    return out
+
+
 def fit(texts: DataFrame) -> tuple[Model, DataFrame, int, int]:
-    """The model, the table of word counts, and the number of tokens and of distinct tokens."""
+    """The model, the table of words with their counts and classes, and the number of tokens and of distinct tokens."""
+    spark = texts.sparkSession
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = stored(word_counts(texts), "word-counts")
-    listed = counts.orderBy(F.desc("n"), "word").limit(LISTED).toArrow()
-    units = Units(listed.column("word").to_pylist())
-    shared = texts.sparkSession.sparkContext.broadcast(units)
+    order = [F.desc("n"), F.col("word")]
+    listed = stored(word_counts(texts).orderBy(*order).limit(LISTED), "word-counts").orderBy(*order).toArrow()
+    words, counts = listed.column("word").to_pylist(), listed.column("n").to_numpy().astype(np.int64)
+    units = Units(words)
 
     pairs = unit_bigrams(texts, units).toArrow()
     width = UNITS + ENDINGS + 1
     bigrams = np.zeros((width, width), np.int64)
     bigrams[pairs.column("prev").to_numpy(), pairs.column("next").to_numpy()] = pairs.column("n").to_numpy()
     of = exchange(bigrams)
-
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = Words(batch.column(0))
-            unit, n = np.unique(shared.value.of(words)[1], return_counts=True)
-            yield pa.record_batch({"unit": pa.array(unit), "kinds": pa.array(n)})
-
-    kinds_of = np.zeros(width, np.int64)
-    for r in counts.select("word").mapInArrow(kinds, "unit long, kinds long").groupBy("unit").agg(F.sum("kinds").alias("kinds")).collect():
-        kinds_of[r["unit"]] = r["kinds"]
     ends = int(bigrams[:, UNITS].sum())
-    kinds_of[UNITS] = int(ends > 0)
-    in_class = np.bincount(of, bigrams.sum(axis=0), CLASSES)
-    table = np.zeros((CLASSES, CLASSES))
-    np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    share = (in_class + 1) / (in_class.sum() + CLASSES)
-    step = np.log10((table + share[None, :]) / (table.sum(axis=1) + 1)[:, None])
-    divisor = np.log10(in_class + np.bincount(of, kinds_of, CLASSES) + 1)
-    model = Model(units, listed.column("n").to_numpy().astype(np.int64), of, step, divisor, ends)
-    return model, counts, int(bigrams.sum()), int(kinds_of.sum())
+    frame = np.zeros((CLASSES, CLASSES), np.int64)
+    np.add.at(frame, (of[:, None], of[None, :]), bigrams)
+
+    # What a class before and a class behind say for each class; that of the end token takes no words.
+    step = transitions(frame)
+    likely = np.r_[step - np.log10(frame.sum(axis=0) + 1)[None, :], step.T]
+    likely[:, CLASSES - 1] = -1e9
+    common = [(w, int(n), int(c)) for w, n, c in zip(words[:UNITS], counts, of)]
+    table = settled(neighbours(texts, units, of), likely).unionByName(spark.createDataFrame(common, "word string, n long, class long"))
+    table = stored(table, "word-classes")
+    own = table.orderBy(*order).limit(LISTED).toArrow()
+    of = np.r_[of, own.column("class").to_numpy()[UNITS:]].astype(np.int64)
+    model = Model(units, counts, of, None, None, ends)
+
+    after = class_bigrams(texts, model, table)
+    kinds = np.zeros(CLASSES, np.int64)
+    for r in table.groupBy("class").agg(F.count(F.lit(1)).alias("kinds")).collect():
+        kinds[r["class"]] = r["kinds"]
+    kinds[CLASSES - 1] = int(ends > 0)
+    model.step = transitions(after)
+    model.divisor = np.log10(after.sum(axis=0) + kinds + 1)
+    return model, table, int(after.sum()), int(kinds.sum())
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, kinds: int) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score for each row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    told = "row long, doc_id long, word string, times long, n_tokens long, known long, top double, rest double"
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    told = "row long, doc_id long, n_tokens long, known long, top double, rest double, prev string, pc long, next string, nc long, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -208,41 +363,38 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, kinds:
         for batch in pieces(batches, "text"):
             row = batch.column(0).to_numpy(zero_copy_only=False)
             words = Words(batch.column(2), lower=True)
-            place, unit = m.units.of(words)
-            now, first = with_ends(words, unit)
-            c, p = m.of[now], m.of[before(now, first)]
-            rest = np.add.reduceat(m.step[p, c] - m.divisor[c], first)
+            pairs = Pairs(words, m)
+            steps = np.where(pairs.unlisted, 0.0, m.step[pairs.prior, pairs.now] - m.divisor[pairs.now])
             text = np.repeat(np.arange(len(row)), words.counts)
-            # Place -1 reads the last entry, which is that of no count.
-            top = np.bincount(text, log_count[place], len(row)) + log_end
-            known = np.bincount(text, place >= 0, len(row)).astype(np.int64) + int(m.ends > 0)
             n = len(row)
-            # No word holds a space, so these keys match no count, and they spread over all partitions.
-            yield _rows(row, batch.column(1), pa.array([f" {r}" for r in row]), None, words.counts + 1, known, top, rest)
-            cold = np.flatnonzero(place < 0)
-            if len(cold):
-                strings = word_strings(words).take(pa.array(cold)).dictionary_encode()
-                code = strings.indices.to_numpy().astype(np.int64)
-                both, times = np.unique(text[cold] * len(strings.dictionary) + code, return_counts=True)
-                word = strings.dictionary.take(pa.array(both % len(strings.dictionary)))
-                yield _rows(row[both // len(strings.dictionary)], None, word, times, None, None, None, None)
-
-    def _rows(row, doc_id, word, times, n_tokens, known, top, rest) -> pa.RecordBatch:
-        n = len(row)
-        column = lambda x, kind: pa.nulls(n, kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
-        return pa.record_batch({
-            "row": column(row, pa.int64()), "doc_id": column(doc_id, pa.int64()), "word": word.cast(pa.string()),
-            "times": column(times, pa.int64()), "n_tokens": column(n_tokens, pa.int64()), "known": column(known, pa.int64()),
-            "top": column(top, pa.float64()), "rest": column(rest, pa.float64()),
-        })
+            # Place -1 reads the last entry, which is that of no count.
+            top = np.bincount(text, log_count[pairs.place], n) + log_end
+            known = np.bincount(text, pairs.place >= 0, n).astype(np.int64) + int(m.ends > 0)
+            yield _rows(n, {
+                "row": pa.array(row), "doc_id": batch.column(1), "n_tokens": pa.array(words.counts + 1), "known": pa.array(known),
+                "top": pa.array(top), "rest": pa.array(np.add.reduceat(steps, pairs.first)),
+            })
+            of, cold = pairs.tally(np.repeat(np.arange(n), words.counts + 1))
+            if len(of):
+                yield _rows(len(of), {"row": pa.array(row[of])} | cold)
+
+    kinds_of = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [part.split(" ") for part in told.split(", ")]
+
+    def _rows(n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.record_batch({name: given[name].cast(kinds_of[kind]) if name in given else pa.nulls(n, kinds_of[kind]) for name, kind in fields})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    met = rows.mapInArrow(run, told).join(counts, "word", "left")
+    # Rows without an unlisted word spread over all partitions.
+    spread = F.concat(F.lit(" "), F.col("row").cast("string"))
+    met = _with_classes(rows.mapInArrow(run, told), counts, spread, spread)
+    steps = [(i, j, float(model.step[i, j] - model.divisor[j])) for i in range(CLASSES) for j in range(CLASSES)]
+    met = met.join(F.broadcast(spark.createDataFrame(steps, "pc long, nc long, step double")), ["pc", "nc"], "left")
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
         (F.sum("known") + F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
         (F.sum("top") + F.coalesce(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))), F.lit(0.0))).alias("top"),
-        F.sum("rest").alias("rest"),
+        (F.sum("rest") + F.coalesce(F.sum(F.col("times") * F.col("step")), F.lit(0.0))).alias("rest"),
     )
     return sums.select(
         "doc_id", "n_tokens", "n_known",

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -302,6 +303,35 @@ def test_class_lm(docs, rows):
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in unseen) and len(unseen) == len(rows)
 
 
+def test_class_lm_rare_words_move(spark, monkeypatch):
+    """A word past the commonest ones goes where its own bigrams put it, whatever its ending, listed or not."""
+    common, rare, rng = class_lm.UNITS // 2, 300, random.Random(3)
+    kinds = {"a": [f"a{i}x" for i in range(common)], "b": [f"b{i}x" for i in range(common)]}
+    texts = [" ".join(rng.choice(kinds["ab"[k % 2]]) for k in range(200)) for _ in range(300)]
+    # Both kinds of rare words have the same endings and counts; they differ in their neighbours alone.
+    for i in range(rare):
+        for _ in range(3):
+            a, b = rng.choice(kinds["a"]), rng.choice(kinds["b"])
+            texts.append(f"{a} v{i}q {a} {b} u{i}q {b} {a}")  # v stands for b, u for a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores, seen = [], []
+    for listed in (class_lm.LISTED, class_lm.UNITS + 100):
+        monkeypatch.setattr(class_lm, "LISTED", listed)
+        fitted = class_lm.fit(docs)
+        probes = ["a1x v7q a2x b3x u8q b4x", "a1x u7q a2x b3x v8q b4x", "a1x v299q u298q b3x", "a1x u299q v298q b3x", "a1x v5q zzz u6q b1x"]
+        got = class_lm.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), *fitted).collect()
+        scores.append([r.score for r in sorted(got, key=lambda r: r.doc_id)])
+        seen.append({r["word"]: (r["n"], r["class"]) for r in fitted[1].collect()})
+        assert fitted[2:] == (sum(len(t.split()) + 1 for t in texts), len({w for t in texts for w in t.split()}) + 1)
+        assert np.allclose((10 ** fitted[0].step).sum(axis=1), 1)
+    assert seen[0] == seen[1] == {w: (n, seen[0][w][1]) for w, n in Counter(w for t in texts for w in t.split()).items()}
+    u, v = (Counter(seen[0][f"{k}{i}q"][1] for i in range(rare)) for k in "uv")
+    assert sum((u & v).values()) <= 5, (u, v)
+    # Right places are likelier than wrong ones, and a bounded list changes no score.
+    assert scores[0][0] > scores[0][1] + 2 and scores[0][2] > scores[0][3] + 1
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+
+
 def test_exchange_finds_classes():
     """Units that follow each other in a cycle of three groups come out as three classes."""
     rng = np.random.default_rng(0)
