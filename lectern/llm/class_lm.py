@@ -10,12 +10,13 @@ ENDINGS + 1) ** 2 counts at most, is all that the driver sees of them.
 
 The rest: every other word of the training texts, however rare, then goes to the class that its own bigrams, all of
 them, make likeliest under the frame; ties go to the smaller class. Spark deals the words' neighbours by word and
-each task settles the words it was dealt. The transitions are counted anew with the classes that all words ended in.
+each task settles the words it was dealt, first the listed words (below), then all others, which see the listed ones
+in their new classes. The transitions are counted anew with the classes that all words ended in.
 Only a word that no training text holds keeps the class of its ending: it has no bigrams.
 
 Counts and classes cover every word of every training text and stay distributed. The
 ``LISTED`` commonest words (a bounded list) are looked up where the texts lie; each
-other word meets its count and class by a join, with the word before and the word behind it.
+other word meets its count and class by a join, and by a second one where two of them follow each other.
 
 Smoothing: one is added to each count of a class's words and for one unseen word;
 transitions are drawn to the classes' shares by one observation.
@@ -171,39 +172,52 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> n
     return of
 
 
-def neighbours(texts: DataFrame, units: Units, of: np.ndarray) -> DataFrame:
-    """(word, sides) for every word but the UNITS commonest, a row per piece of text that holds it.
+# A neighbour in one byte: its class, plus CLASSES if it is not listed, plus 2 * CLASSES if it stands behind.
+SIDES = 4 * CLASSES
 
-    Two bytes per occurrence: the class before, and CLASSES plus the class behind, both of the frame.
+
+def neighbours(texts: DataFrame, units: Units, of: np.ndarray, listed: bool) -> DataFrame:
+    """(word, sides) for the listed words past the UNITS commonest, or for all that are not listed.
+
+    A row per piece of text that holds the word, two bytes per occurrence. ``of``: class of each
+    unit; the listed words are still seen by their endings, the others see them with their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=TEXT_BYTES):
             words = Words(batch.column(0), lower=True)
-            place, unit = units.frame(words)
-            now, first = with_ends(words, unit)
-            left, here = of[before(now, first)], of[now]
+            place, unit = units.frame(words) if listed else units.of(words)
+            now, first = with_ends(words, of[unit] + CLASSES * (place < 0), CLASSES - 1)
+            left = before(now, first, CLASSES - 1)
             at = np.arange(len(unit)) + np.repeat(np.arange(len(words.counts)), words.counts)
-            moving = np.flatnonzero((place < 0) | (place >= UNITS))
+            moving = np.flatnonzero(place >= UNITS if listed else place < 0)
             spelt = word_strings(words).take(pa.array(moving)).dictionary_encode()
             code = spelt.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            at = at[moving][order]
-            sides = np.stack([left[at], CLASSES + here[at + 1]], axis=1).astype(np.uint8)
+            at = at[moving][np.argsort(code, kind="stable")]
+            sides = np.stack([left[at], 2 * CLASSES + now[at + 1]], axis=1).astype(np.uint8)
             ends = np.r_[0, 2 * np.cumsum(np.bincount(code, minlength=len(spelt.dictionary)))].astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(spelt.dictionary), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sides))])
+            packed = pa.Array.from_buffers(pa.binary(), len(spelt.dictionary), [None, pa.py_buffer(ends), pa.py_buffer(sides)])
             yield pa.record_batch({"word": spelt.dictionary.cast(pa.string()), "sides": packed})
 
     return texts.mapInArrow(run, "word string, sides binary")
 
 
 def settled(sides: DataFrame, likely: np.ndarray) -> DataFrame:
-    """(word, n, class): for each word the class that its neighbours make likeliest. ``likely``: log10 by side and class."""
+    """(word, n, class): for each word the class that its neighbours make likeliest. ``likely``: log10 by class of the neighbour, before and behind, and class.
+
+    Rows without a word hold how often (n) a class has a neighbour, as class * SIDES + neighbour.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros((CLASSES, SIDES), np.int64)
+
         def best(words: pa.Array, seen: np.ndarray) -> pa.RecordBatch:
             # Rounded, so that equal classes tie whatever the order of the sum.
-            chosen = np.argmax(np.round(seen @ likely, 9), axis=1)
+            near = seen.reshape(-1, 2, 2, CLASSES).sum(axis=2).reshape(-1, 2 * CLASSES)
+            chosen = np.argmax(np.round(near @ likely, 9), axis=1)
+            order = np.argsort(chosen, kind="stable")
+            at = np.flatnonzero(np.r_[True, np.diff(chosen[order]) > 0])
+            met[chosen[order[at]]] += np.add.reduceat(seen[order], at)
             return pa.record_batch({"word": words, "n": pa.array(seen.sum(axis=1) // 2), "class": pa.array(chosen, pa.int64())})
 
         # Rows come in order of their word; the last word of a batch may go on in the next.
@@ -216,7 +230,7 @@ def settled(sides: DataFrame, likely: np.ndarray) -> DataFrame:
                 group = np.cumsum(new) - 1
                 size = pc.binary_length(part.column(1)).to_numpy()
                 codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8)
-                seen = np.bincount(np.repeat(group, size) * 2 * CLASSES + codes, minlength=(group[-1] + 1) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+                seen = np.bincount(np.repeat(group, size) * SIDES + codes, minlength=(group[-1] + 1) * SIDES).reshape(-1, SIDES)
                 heads = words.take(pa.array(np.flatnonzero(new)))
                 if last is not None:
                     if heads[0].as_py() == last:
@@ -228,6 +242,8 @@ def settled(sides: DataFrame, likely: np.ndarray) -> DataFrame:
                 last, held = heads[-1].as_py(), seen[-1].copy()
         if last is not None:
             yield best(pa.array([last], pa.string()), held[None])
+        some = np.flatnonzero(met)
+        yield pa.record_batch({"word": pa.nulls(len(some), pa.string()), "n": pa.array(met.ravel()[some]), "class": pa.array(some, pa.int64())})
 
     return sides.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n long, class long")
 
@@ -246,7 +262,7 @@ class Model:
 
 
 class Pairs:
-    """The tokens of a piece of text with their classes, and the pairs that hold a word which is not listed."""
+    """The tokens of a piece of text with their classes, and which are not listed (cold)."""
 
     def __init__(self, words: Words, model: Model):
         self.place, unit = model.units.of(words)
@@ -254,60 +270,75 @@ class Pairs:
         self.now, self.prior = model.of[now], model.of[before(now, self.first)]
         cold = np.flatnonzero(self.place < 0)
         spelt = word_strings(words).take(pa.array(cold)).dictionary_encode()
-        self.names, code = spelt.dictionary, np.full(len(self.place), -1, np.int64)
+        self.names, code = spelt.dictionary.cast(pa.string()), np.full(len(self.place), -1, np.int64)
         code[cold] = spelt.indices.to_numpy()
         self.start = np.zeros(len(self.names), np.int64)
         self.start[code[cold]] = model.of[unit[cold]]
-        # A token's key: its class, or CLASSES and more for a word that is not listed.
-        key, _ = with_ends(words, code, -1)
-        left = before(key, self.first, -1)
-        self.unlisted = (key >= 0) | (left >= 0)
-        self.key, self.left = np.where(key < 0, self.now, CLASSES + key), np.where(left < 0, self.prior, CLASSES + left)
-
-    def tally(self, group: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, pa.Array]]:
-        """The different pairs that hold an unlisted word, in each group of tokens: words (null: listed), classes, times."""
-        at, width = np.flatnonzero(self.unlisted), CLASSES + len(self.names)
-        pair, which = np.unique(self.left[at] * width + self.key[at], return_inverse=True)
-        of = np.zeros(len(at), np.int64) if group is None else group[at]
-        both, times = np.unique(of * max(1, len(pair)) + which, return_counts=True)
-        of, pair = both // max(1, len(pair)), pair[both % max(1, len(pair))]
-        out = {}
-        for word, kind, key in (("prev", "pc", pair // width), ("next", "nc", pair % width)):
-            cold = key >= CLASSES
-            out[word] = self.names.take(pa.array(key - CLASSES, mask=~cold)).cast(pa.string())
-            out[kind] = pa.array(np.where(cold, np.r_[self.start, 0][np.where(cold, key - CLASSES, -1)], key))
-        return of, out | {"times": pa.array(times)}
-
-
-def _with_classes(pairs: DataFrame, table: DataFrame, prev: Column, next_: Column) -> DataFrame:
-    """The pairs with the classes of their unlisted words, and the count ``n`` of the second; one without a class keeps that of its ending.
-
-    ``prev`` and ``next_``: what spreads the rows whose word is listed. It holds a space, as no word does.
+        self.code, _ = with_ends(words, code, -1)
+        self.left = before(self.code, self.first, -1)
+        self.listed = (self.code < 0) & (self.left < 0)
+
+    def alone(self, group: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        """Each different cold word of a group of tokens with the classes of its listed neighbours (null: cold), and times."""
+        at = np.flatnonzero(self.code >= 0)
+        near = np.where(self.left[at] < 0, self.prior[at], CLASSES), np.where(self.code[at + 1] < 0, self.now[at + 1], CLASSES)
+        width = CLASSES + 1
+        of, key, times = _tally(group[at], (self.code[at] * width + near[0]) * width + near[1])
+        word, sides = key // width**2, (key // width % width, key % width)
+        left, right = (pa.array(x, mask=x == CLASSES) for x in sides)
+        return of, {"word": self.names.take(pa.array(word)), "c": pa.array(self.start[word]), "left": left, "right": right, "times": pa.array(times)}
+
+    def together(self, group: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        """Each different pair of cold words in a group of tokens, the classes of their endings, and times."""
+        at, width = np.flatnonzero((self.code >= 0) & (self.left >= 0)), len(self.names)
+        of, key, times = _tally(np.zeros(len(at), np.int64) if group is None else group[at], self.left[at] * width + self.code[at])
+        out = {"times": pa.array(times)}
+        for word, kind, which in (("word", "c", key // max(1, width)), ("next", "nc", key % max(1, width))):
+            out |= {word: self.names.take(pa.array(which)), kind: pa.array(self.start[which])}
+        return of, out
+
+
+def _tally(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (group, key) and how often each occurs."""
+    if len(key) and (int(group.max()) + 1) * (int(key.max()) + 1) < 1 << 62:
+        span = int(key.max()) + 1
+        both, times = np.unique(group * span + key, return_counts=True)
+        return both // span, both % span, times
+    # Too large for one number: keys are numbered first.
+    keys, which = np.unique(key, return_inverse=True)
+    both, times = np.unique(group * max(1, len(keys)) + which, return_counts=True)
+    return both // max(1, len(keys)), keys[both % max(1, len(keys))], times
+
+
+def _classed(rows: DataFrame, table: DataFrame, word: str, kind: str, spread: Column | None = None) -> DataFrame:
+    """The rows with the count ``n`` and the class of a cold word; one without a class keeps that of its ending.
+
+    ``spread`` spreads rows without a word; it holds a space, as no word does.
     """
-    for word, kind, spread in (("prev", "pc", prev), ("next", "nc", next_)):
-        known = table.select(F.col("word").alias("_w"), F.col("class").alias("_c"), F.col("n").alias("n" if word == "next" else "_n"))
-        met = pairs.join(known, F.coalesce(word, spread) == F.col("_w"), "left")
-        pairs = met.withColumn(kind, F.coalesce("_c", kind)).drop("_w", "_c", "_n")
-    return pairs
+    known = table.select(F.col("word").alias("_w"), F.col("class").alias("_c"), F.col("n").alias("n"))
+    key = F.col(word) if spread is None else F.coalesce(word, spread)
+    return rows.drop("n").join(known, key == F.col("_w"), "left").withColumn(kind, F.coalesce("_c", kind)).drop("_w", "_c")
 
 
 def class_bigrams(texts: DataFrame, model: Model, table: DataFrame) -> np.ndarray:
-    """How often a class follows a class in all texts."""
+    """How often a class follows a class where both words are listed, or neither."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=TEXT_BYTES):
             pairs = Pairs(Words(batch.column(0), lower=True), model)
-            listed = ~pairs.unlisted
-            pair, n = np.unique(pairs.prior[listed] * CLASSES + pairs.now[listed], return_counts=True)
+            n = np.bincount(pairs.prior[pairs.listed] * CLASSES + pairs.now[pairs.listed], minlength=CLASSES**2)
+            pair = np.flatnonzero(n)
             none = pa.nulls(len(pair), pa.string())
-            yield pa.record_batch({"prev": none, "pc": pa.array(pair // CLASSES), "next": none, "nc": pa.array(pair % CLASSES), "times": pa.array(n)})
-            yield pa.record_batch(pairs.tally()[1])
-
-    pairs = texts.mapInArrow(run, "prev string, pc long, next string, nc long, times long")
-    other = lambda word: F.concat(F.lit(" "), F.coalesce(word, F.concat_ws(" ", "pc", "nc")))
-    met = _with_classes(pairs, table, other("next"), other("prev")).groupBy("pc", "nc").agg(F.sum("times").alias("n")).toArrow()
+            yield pa.record_batch({"word": none, "c": pa.array(pair // CLASSES), "next": none, "nc": pa.array(pair % CLASSES), "times": pa.array(n[pair])})
+            cold = pairs.together()[1]
+            yield pa.record_batch({name: cold[name] for name in ("word", "c", "next", "nc", "times")})
+
+    pairs = texts.mapInArrow(run, "word string, c long, next string, nc long, times long")
+    spread = F.concat_ws(" ", F.lit(""), "c", "nc")
+    met = _classed(_classed(pairs, table, "word", "c", spread), table, "next", "nc", spread)
+    counted = met.groupBy("c", "nc").agg(F.sum("times").alias("n")).toArrow()
     out = np.zeros((CLASSES, CLASSES), np.int64)
-    out[met.column("pc").to_numpy(), met.column("nc").to_numpy()] = met.column("n").to_numpy()
+    out[counted.column("c").to_numpy(), counted.column("nc").to_numpy()] = counted.column("n").to_numpy()
     return out
 
 
@@ -331,16 +362,24 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame, int, int]:
 
     # What a class before and a class behind say for each class; that of the end token takes no words.
     step = transitions(frame)
-    likely = np.r_[step - np.log10(frame.sum(axis=0) + 1)[None, :], step.T]
+    ahead = step - np.log10(frame.sum(axis=0) + 1)[None, :]
+    likely = np.r_[ahead, step.T]
     likely[:, CLASSES - 1] = -1e9
-    common = [(w, int(n), int(c)) for w, n, c in zip(words[:UNITS], counts, of)]
-    table = settled(neighbours(texts, units, of), likely).unionByName(spark.createDataFrame(common, "word string, n long, class long"))
-    table = stored(table, "word-classes")
-    own = table.orderBy(*order).limit(LISTED).toArrow()
-    of = np.r_[of, own.column("class").to_numpy()[UNITS:]].astype(np.int64)
+    moved = settled(neighbours(texts, units, of, listed=True), likely).where("word IS NOT NULL").toArrow()
+    moved = dict(zip(moved.column("word").to_pylist(), moved.column("class").to_pylist()))
+    of = np.r_[of, [moved[w] for w in words[UNITS:]]].astype(np.int64)
+    own = np.r_[of[:UNITS], of[UNITS + ENDINGS + 1:]][: len(words)]
+    common = spark.createDataFrame(pa.table({"word": pa.array(words, pa.string()), "n": pa.array(counts), "class": pa.array(own)}))
+    rest = stored(settled(neighbours(texts, units, of, listed=False), likely).unionByName(common), "word-classes")
+    table = rest.where("word IS NOT NULL")
     model = Model(units, counts, of, None, None, ends)
 
     after = class_bigrams(texts, model, table)
+    # Where a listed and a cold word meet, settling the cold one has counted it.
+    for r in rest.where("word IS NULL").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        kind, near = divmod(r["class"], SIDES)
+        if near % (2 * CLASSES) < CLASSES:
+            after[(near, kind) if near < CLASSES else (kind, near - 2 * CLASSES)] += r["n"]
     kinds = np.zeros(CLASSES, np.int64)
     for r in table.groupBy("class").agg(F.count(F.lit(1)).alias("kinds")).collect():
         kinds[r["class"]] = r["kinds"]
@@ -354,7 +393,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, kinds:
     """doc_id, n_tokens, n_known, base_score and score for each row of (doc_id, text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    told = "row long, doc_id long, n_tokens long, known long, top double, rest double, prev string, pc long, next string, nc long, times long"
+    told = (
+        "row long, doc_id long, n_tokens long, known long, top double, rest double, word string, c long, left long, right long, "
+        "next string, nc long, times long"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -364,7 +406,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, kinds:
             row = batch.column(0).to_numpy(zero_copy_only=False)
             words = Words(batch.column(2), lower=True)
             pairs = Pairs(words, m)
-            steps = np.where(pairs.unlisted, 0.0, m.step[pairs.prior, pairs.now] - m.divisor[pairs.now])
+            steps = np.where(pairs.listed, m.step[pairs.prior, pairs.now] - m.divisor[pairs.now], 0.0)
             text = np.repeat(np.arange(len(row)), words.counts)
             n = len(row)
             # Place -1 reads the last entry, which is that of no count.
@@ -374,9 +416,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, kinds:
                 "row": pa.array(row), "doc_id": batch.column(1), "n_tokens": pa.array(words.counts + 1), "known": pa.array(known),
                 "top": pa.array(top), "rest": pa.array(np.add.reduceat(steps, pairs.first)),
             })
-            of, cold = pairs.tally(np.repeat(np.arange(n), words.counts + 1))
-            if len(of):
-                yield _rows(len(of), {"row": pa.array(row[of])} | cold)
+            group = np.repeat(np.arange(n), words.counts + 1)
+            for of, cold in (pairs.alone(group), pairs.together(group)):
+                if len(of):
+                    yield _rows(len(of), {"row": pa.array(row[of])} | cold)
 
     kinds_of = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     fields = [part.split(" ") for part in told.split(", ")]
@@ -385,16 +428,26 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, kinds:
         return pa.record_batch({name: given[name].cast(kinds_of[kind]) if name in given else pa.nulls(n, kinds_of[kind]) for name, kind in fields})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    # Rows without an unlisted word spread over all partitions.
-    spread = F.concat(F.lit(" "), F.col("row").cast("string"))
-    met = _with_classes(rows.mapInArrow(run, told), counts, spread, spread)
-    steps = [(i, j, float(model.step[i, j] - model.divisor[j])) for i in range(CLASSES) for j in range(CLASSES)]
-    met = met.join(F.broadcast(spark.createDataFrame(steps, "pc long, nc long, step double")), ["pc", "nc"], "left")
-    sums = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("known") + F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
-        (F.sum("top") + F.coalesce(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))), F.lit(0.0))).alias("top"),
-        (F.sum("rest") + F.coalesce(F.sum(F.col("times") * F.col("step")), F.lit(0.0))).alias("rest"),
+    told_rows = stored(rows.mapInArrow(run, told), "scored-words")
+    step = [(i * CLASSES + j, float(model.step[i, j] - model.divisor[j])) for i in range(CLASSES) for j in range(CLASSES)]
+    step = F.broadcast(spark.createDataFrame(step, "_k long, _d double"))
+
+    def stepped(rows: DataFrame, prev: str, now: str, name: str) -> DataFrame:
+        return rows.join(step.withColumnRenamed("_d", name), F.col(prev) * CLASSES + F.col(now) == F.col("_k"), "left").drop("_k")
+
+    none = F.lit(0.0)
+    alone = _classed(told_rows.where("next IS NULL"), counts, "word", "c", F.concat(F.lit(" "), F.col("row").cast("string")))
+    alone = stepped(stepped(alone, "left", "c", "_l"), "c", "right", "_r").select(
+        "row", "doc_id", "n_tokens", F.coalesce("known", F.when(F.col("n") > 0, F.col("times")), F.lit(0)).alias("known"),
+        F.coalesce(F.col("top"), F.col("times") * F.log10(F.col("n") + F.lit(1.0)), none).alias("top"),
+        F.coalesce("rest", F.col("times") * (F.coalesce("_l", none) + F.coalesce("_r", none))).alias("rest"),
+    )
+    both = _classed(_classed(told_rows.where("next IS NOT NULL"), counts, "word", "c"), counts, "next", "nc")
+    both = stepped(both, "c", "nc", "_b").select(
+        "row", "doc_id", "n_tokens", F.lit(0).cast("long").alias("known"), none.alias("top"), (F.col("times") * F.col("_b")).alias("rest")
+    )
+    sums = alone.unionByName(both).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("top").alias("top"), F.sum("rest").alias("rest"),
     )
     return sums.select(
         "doc_id", "n_tokens", "n_known",

@@ -332,6 +332,14 @@ def test_class_lm_rare_words_move(spark, monkeypatch):
     assert scores[0] == pytest.approx(scores[1], abs=1e-9)
 
 
+def test_class_lm_tally():
+    group, key = np.array([0, 0, 1, 1, 1]), np.array([5, 5, 7, 5, 7])
+    for factor in (1, 1 << 59):  # the second does not fit one number with its group
+        of, keys, times = class_lm._tally(group, key * factor)
+        assert sorted(zip(of.tolist(), (keys // factor).tolist(), times.tolist())) == [(0, 5, 2), (1, 5, 1), (1, 7, 2)]
+    assert all(len(x) == 0 for x in class_lm._tally(group[:0], key[:0]))
+
+
 def test_exchange_finds_classes():
     """Units that follow each other in a cycle of three groups come out as three classes."""
     rng = np.random.default_rng(0)
