@@ -336,7 +336,8 @@ def class_bigrams(texts: DataFrame, model: Model, table: DataFrame) -> np.ndarra
     pairs = texts.mapInArrow(run, "word string, c long, next string, nc long, times long")
     spread = F.concat_ws(" ", F.lit(""), "c", "nc")
     met = _classed(_classed(pairs, table, "word", "c", spread), table, "next", "nc", spread)
-    counted = met.groupBy("c", "nc").agg(F.sum("times").alias("n")).toArrow()
+    # Stored, small as it is: the shuffles behind it, of all pairs of words, then go with it.
+    counted = stored(met.groupBy("c", "nc").agg(F.sum("times").alias("n")), "class-bigrams").toArrow()
     out = np.zeros((CLASSES, CLASSES), np.int64)
     out[counted.column("c").to_numpy(), counted.column("nc").to_numpy()] = counted.column("n").to_numpy()
     return out
@@ -351,7 +352,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame, int, int]:
     words, counts = listed.column("word").to_pylist(), listed.column("n").to_numpy().astype(np.int64)
     units = Units(words)
 
-    pairs = unit_bigrams(texts, units).toArrow()
+    pairs = stored(unit_bigrams(texts, units), "unit-bigrams").toArrow()
     width = UNITS + ENDINGS + 1
     bigrams = np.zeros((width, width), np.int64)
     bigrams[pairs.column("prev").to_numpy(), pairs.column("next").to_numpy()] = pairs.column("n").to_numpy()
@@ -365,12 +366,12 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame, int, int]:
     ahead = step - np.log10(frame.sum(axis=0) + 1)[None, :]
     likely = np.r_[ahead, step.T]
     likely[:, CLASSES - 1] = -1e9
-    moved = settled(neighbours(texts, units, of, listed=True), likely).where("word IS NOT NULL").toArrow()
+    moved = stored(settled(neighbours(texts, units, of, listed=True), likely).where("word IS NOT NULL"), "listed-classes").toArrow()
     moved = dict(zip(moved.column("word").to_pylist(), moved.column("class").to_pylist()))
     of = np.r_[of, [moved[w] for w in words[UNITS:]]].astype(np.int64)
     own = np.r_[of[:UNITS], of[UNITS + ENDINGS + 1:]][: len(words)]
     common = spark.createDataFrame(pa.table({"word": pa.array(words, pa.string()), "n": pa.array(counts), "class": pa.array(own)}))
-    rest = stored(settled(neighbours(texts, units, of, listed=False), likely).unionByName(common), "word-classes")
+    rest = stored(settled(neighbours(texts, units, of, listed=False), likely).unionByName(common), "word-classes", codec="zstd")
     table = rest.where("word IS NOT NULL")
     model = Model(units, counts, of, None, None, ends)
 
@@ -428,7 +429,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tokens: int, kinds:
         return pa.record_batch({name: given[name].cast(kinds_of[kind]) if name in given else pa.nulls(n, kinds_of[kind]) for name, kind in fields})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    told_rows = stored(rows.mapInArrow(run, told), "scored-words")
+    told_rows = stored(rows.mapInArrow(run, told), "scored-words", codec="zstd")
     step = [(i * CLASSES + j, float(model.step[i, j] - model.divisor[j])) for i in range(CLASSES) for j in range(CLASSES)]
     step = F.broadcast(spark.createDataFrame(step, "_k long, _d double"))
 

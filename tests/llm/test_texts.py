@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, class_lm, mixing, near_dedup, passages, toxicity
 from lectern.llm.components import connected_components
+from lectern.llm.storage import stored
 from lectern.llm.words import Words
 
 
@@ -332,6 +333,37 @@ def test_class_lm_rare_words_move(spark, monkeypatch):
     assert scores[0] == pytest.approx(scores[1], abs=1e-9)
 
 
+def test_class_lm_gives_back_its_shuffles(spark, monkeypatch):
+    """Fitting leaves no shuffle of words or pairs of words behind, only sums over classes."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(100)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(class_lm, "LISTED", class_lm.UNITS + 100)
+    jvm = spark._jvm
+
+    def held():
+        files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(files) if f.getName().startswith("shuffle_")}
+
+    before = held()
+    class_lm.fit(docs)
+    assert sum(size for name, size in held().items() if name not in before) < 200_000
+
+
+def test_stored_sends_batches_of_bounded_bytes(spark):
+    """Texts of a megabyte reach Python some at a time, and the session's settings are as before."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch({"rows": pa.array([batch.num_rows]), "bytes": pa.array([batch.nbytes])})
+
+    before = dict(spark.conf.getAll)
+    texts = spark.range(40, numPartitions=1).select(F.repeat(F.lit("ab cd ef "), 110_000).alias("text"))
+    sizes = stored(texts.mapInArrow(run, "rows long, bytes long"), "sizes").collect()
+    assert sum(r.rows for r in sizes) == 40 and max(r.bytes for r in sizes) <= 16 << 20
+    assert dict(spark.conf.getAll) == before
+
+
 def test_class_lm_tally():
     group, key = np.array([0, 0, 1, 1, 1]), np.array([5, 5, 7, 5, 7])
     for factor in (1, 1 << 59):  # the second does not fit one number with its group
