@@ -37,6 +37,7 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 BATCH = 32
 BLOCK_BYTES = 32 << 20
+TEXT_BYTES = 512 << 10
 SMALL = 32
 
 _MULTIPLY = np.random.default_rng(77).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +93,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty) and MinHash signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT_BYTES):
             sets = list(shingle_sets(Words(batch.column(1), lower=True)))
             yield pa.record_batch({
                 "doc_id": batch.column(0),
@@ -128,7 +129,7 @@ def class_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The full shingle set of each of ``reps``, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT_BYTES):
             sets = shingle_sets(Words(batch.column(1), lower=True))
             digest, packed = [], []
             for s in sets:

@@ -32,6 +32,7 @@ from lectern.llm.words import Words, pieces
 
 SAMPLE = 8_000
 WORD_BATCH, BLOCK = 1 << 15, 1 << 20
+TEXT_BYTES = 512 << 10
 BUCKETS_LOG2, DIM = 18, 8
 GRAMS = (3, 4, 5)
 
@@ -338,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("half", half)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT_BYTES):
             found = [b"\n".join(w) for w in distinct_words(Words(batch.column(2), lower=True))]
             yield pa.record_batch({"toxic": batch.column(0), "half": batch.column(1), "words": pa.array(found, pa.binary())})
 
@@ -357,7 +358,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT_BYTES):
             yield batch.append_column(name, pa.array(model.scores(batch.column(text))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
