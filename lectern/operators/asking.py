@@ -59,9 +59,9 @@ def gather_context(
     chosen = retrieval.select_collections(asked, collections).groupBy("request_id").agg(
         F.collect_set("collection").alias("collections")  # three at most
     )
-    queries = asked.join(chosen, "request_id").select(
+    queries = layout.written(asked.join(chosen, "request_id").select(
         F.col("request_id").alias("query_id"), F.col("embedding").alias("query_embedding"), "collections"
-    )
+    ), "queries")
     used = retrieval.retrieve_context(queries, chunks, k, budget, selected=True, **options)
     rows = F.array_sort(F.collect_list(F.struct("position", "text", "collection")))  # six at most
     return used.groupBy(F.col("query_id").alias("request_id")).agg(

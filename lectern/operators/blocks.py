@@ -16,7 +16,8 @@ Two layouts give the same rows:
   number of blocks per key comes from a count, so a key that holds a third of
   all rows is cut into as many blocks as its size asks for. A row is copied once
   per block of the other side, so blocks may be let grow with their key: up to
-  ``BLOCK_ROWS`` rows a key has at most ``BLOCKS`` of them on a side.
+  ``BLOCK_ROWS`` rows a key has at most ``BLOCKS`` of them on a side, and fewer
+  where the other side alone makes enough pairs of blocks to keep tasks busy.
 
 Vector scores look at a block in ``tiles``, so their matrices stay small however large the block.
 """
@@ -26,15 +27,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators import layout
+
 Score = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 Trim = Callable[[pd.DataFrame], pd.DataFrame]
 
 PROBE_ROWS = 4096
 PROBE_BYTES = 64 << 20
-BLOCKS, BLOCK_ROWS = 8, 16_384
+BLOCKS, BLOCK_ROWS = 8, 65_536
 TILE_ROWS, TILE_COLUMNS = 256, 2048
 
 
@@ -122,13 +125,16 @@ def cogroup_blocks(
     grown: int = 0,
 ) -> DataFrame:
     """The second layout: both sides in blocks of bounded size per key, each pair of blocks met once."""
-    sizes = _block_counts(probes, keys, probe_rows, grown, "_np")
+    sizes, other = _block_counts(probes, keys, probe_rows, grown, "_np"), _block_counts(items, keys, item_rows, grown, "_ni")
+    counts = (sizes.join(other, keys) if keys else sizes.crossJoin(other)).select(
+        *keys, _fewer("_np", "_ni").alias("_np"), _fewer("_ni", "_np").alias("_ni")
+    )
+    # A row a key: written, so that neither side is shuffled for it by a key that may be hot.
+    counts = layout.written(counts, "blocks")
     if keys:
-        counts = sizes.join(_block_counts(items, keys, item_rows, grown, "_ni"), keys)
         left, right = probes.join(counts, keys), items.join(counts, keys)
     else:
-        np_, ni = sizes.first()["_np"], _block_counts(items, keys, item_rows, grown, "_ni").first()["_ni"]
-        add = {"_np": F.lit(np_), "_ni": F.lit(ni)}
+        add = {name: F.lit(n) for name, n in counts.first().asDict().items()}
         left, right = probes.withColumns(add), items.withColumns(add)
 
     def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
@@ -160,7 +166,14 @@ def _shaped(df: pd.DataFrame, schema: str) -> pd.DataFrame:
 
 
 def _block_counts(df: DataFrame, keys: list[str], block: int, grown: int, name: str) -> DataFrame:
+    """The blocks of each key, and how few they may be."""
     grouped = df.groupBy(*keys) if keys else df.groupBy()
     n = F.count(F.lit(1))
     size = F.greatest(F.lit(block), F.least(F.ceil(n / BLOCKS), F.lit(grown)))
-    return grouped.agg(F.greatest(F.lit(1), F.ceil(n / size)).alias(name))
+    least = F.ceil(n / max(block, grown))
+    return grouped.agg(F.greatest(F.lit(1), F.ceil(n / size)).alias(name), F.greatest(F.lit(1), least).alias(f"{name}_least"))
+
+
+def _fewer(own: str, other: str) -> Column:
+    """No more blocks than make ``BLOCKS`` squared pairs with those of the other side, as far as blocks may grow."""
+    return F.greatest(F.col(f"{own}_least"), F.least(F.col(own), F.ceil(F.lit(BLOCKS * BLOCKS) / F.col(other))))

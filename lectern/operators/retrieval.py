@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import lexicon
-from lectern.functions.words import strip
 from lectern.operators import blocks, layout
 
 TIE_PLACES = 12
+#: At least ten letters from the first that is no space to the last; a text is read no further than that takes.
+TEN_LONG = r"(?sU)\S.{8,}?\S"
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -73,7 +74,12 @@ def best_per_group(
         if held is None and scores.shape[1] > 4 * k:
             known = np.where(np.isnan(scores), -np.inf, scores)
             limit = np.partition(known, scores.shape[1] - k, axis=1)[:, -k] - margin
-        rows, cols = np.nonzero(~(scores < (limit - margin)[:, None]))
+        # Rows whose largest score is too small are left at once; not a number stays.
+        floor = (limit - margin).astype(scores.dtype)
+        floor = np.nextafter(floor, floor.dtype.type(-np.inf))
+        open_ = np.flatnonzero(~(scores.max(axis=1) < floor))
+        rows, cols = np.divmod(np.flatnonzero(~(scores[open_] < floor[open_, None])), scores.shape[1])
+        rows = open_[rows]
         if not rough:
             values = scores[rows, cols]
         elif len(rows) > scores.size // 16:
@@ -142,7 +148,7 @@ def top_hits(
 
     if selected:
         # The store is partitioned by collection: only selected ones are read.
-        wanted = queries.select(F.explode("collections").alias("collection")).distinct()
+        wanted = layout.written(queries.select(F.explode("collections").alias("collection")).distinct(), "wanted")
         chunks = chunks.join(wanted, "collection", "left_semi")
     # A question goes to the blocks of its collections alone, so a chunk is copied as often as they ask for it.
     own = [F.explode(F.array_distinct("collections")).alias("collection")] if selected else []
@@ -253,7 +259,7 @@ def rank_hits(
         else:
             hit = F.contains(F.col(query_text), digits)
         final = final + F.when(hit, 0.1).otherwise(0.0)
-    kept = hits.where(F.length(strip(F.col("text"))) >= 10).withColumns(
+    kept = hits.where(F.col("text").rlike(TEN_LONG)).withColumns(
         {
             "final_score": F.round(final, TIE_PLACES),
             "source_type": F.when(priority == 100, "NEB").otherwise("External"),
