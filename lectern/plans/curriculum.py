@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern import views
 from lectern.functions.words import let, words
 from lectern.operators import content_check, curriculum
-from lectern.operators.layout import written
+from lectern.operators.layout import scratch, spread_small, written
 from lectern.plans.questions import sql_words
 from lectern.plans.registry import query
 from lectern.session import shared_folder
@@ -18,10 +21,7 @@ from lectern.views import with_views
 
 def _files(spark, folder):
     """The curriculum files, made from the documents and stored."""
-    path = shared_folder(spark, "curricula")
-    spread = spark.sparkContext.defaultParallelism
-    _made_files(views.table(spark, folder, "documents").repartition(spread, "doc_id")).write.parquet(path)
-    return spark.read.parquet(path)
+    return written(_made_files(spread_small(views.table(spark, folder, "documents"))), "curricula", codec="zstd")
 
 
 def _made_files(documents):
@@ -151,6 +151,9 @@ def load_curriculum(spark, folder):
     return out.select("subject", "grade", "path", F.array_size("topics").cast("long").alias("topics"))
 
 
+LOOKUP_PARTS = 8
+
+
 @query(
     "p14_lookups",
     _TREE + """
@@ -161,15 +164,25 @@ SELECT subject, topic, concept, ord, concat(summary, '?') AS question FROM (
 )
 def lookups(spark, folder):
     """Every concept that opens a sentence, looked up by name with its first question."""
-    # Read three times: parsed once, and written without the columns that no step asks for.
-    flat = written(_flat(spark, folder).select("subject", "topic", "concept", "subtopic_path", "ord", "questions"), "concepts")
-    opening = F.coalesce(F.get("subtopic_path", F.lit(1)), F.lit("P0")) == "P0"
-    asked = flat.where(opening).select("subject", "topic", "concept").distinct()
-    found = curriculum.lookup_concepts(flat, asked)
-    first = curriculum.lookup_question(flat, asked.withColumn("question_no", F.lit(0)))
-    return _shown(found).select("subject", "topic", "concept", "ord").join(
-        first.select("subject", "topic", "concept", "question"), ["subject", "topic", "concept"]
-    )
+    keys, opening = ["subject", "topic", "concept"], F.coalesce(F.get("subtopic_path", F.lit(1)), F.lit("P0")) == "P0"
+    part = F.pmod(F.xxhash64("subject"), F.lit(LOOKUP_PARTS)).cast("int")
+    with scratch(spark):
+        # Read three times: parsed once, and written without the columns and fields that no step asks for.
+        with scratch(spark):
+            questions = F.transform("questions", lambda q: F.struct(q["question"].alias("question")))
+            flat = written(_flat(spark, folder).select(
+                *keys, "ord", questions.alias("questions"), opening.alias("opening"), part.alias("part")
+            ), "concepts", codec="zstd", by="part", keep=True)
+        # A subject lies in one part; its shuffles go before those of the next part are made.
+        parts = []
+        for n in range(LOOKUP_PARTS):
+            concepts = flat.where(F.col("part") == n).select(*keys, "ord", "questions")
+            asked = flat.where((F.col("part") == n) & F.col("opening")).select(*keys).distinct()
+            found = curriculum.lookup_concepts(concepts, asked)
+            first = curriculum.lookup_question(concepts, asked.withColumn("question_no", F.lit(0)))
+            answered = found.select(*keys, F.array_join("ord", ".").alias("ord")).join(first.select(*keys, "question"), keys)
+            parts.append(written(answered, "lookups", codec="zstd", keep=True))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
