@@ -38,7 +38,7 @@ Trim = Callable[[pd.DataFrame], pd.DataFrame]
 PROBE_ROWS = 4096
 PROBE_BYTES = 64 << 20
 BLOCKS, BLOCK_ROWS = 8, 65_536
-TILE_ROWS, TILE_COLUMNS = 256, 2048
+TILE_ROWS, TILE_COLUMNS = 512, 2048
 
 
 def tiles(rows: int, columns: int) -> Iterator[tuple[slice, slice]]:
